@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from loomgrade.llm import chat, decontamination, url_filter
+from loomgrade.llm import bpe, chat, decontamination, simhash, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.query,
         "op2_url_filters": url_filter.query,
+        "op4_simhash": simhash.query,
+        "op6_bpe": bpe.query,
         "op10_chat_formatting": chat.query,
     }
 

@@ -1,0 +1,30 @@
+"""Connected components of links between rows, by least-label propagation with pointer jumping on the executors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgrade.session import materialise
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, root: the least node that can be reached, for every node of a link.
+
+    links: a, b of one sortable type. Each round every node takes the least label of its neighbours, and then the label
+    of its label, so paths shorten by half a round. Rounds are written to the shared folder, which cuts the lineage.
+    Labels are joined by plain equi-joins and least labels are aggregated before they shuffle, so a node with very many
+    links is no task's burden alone.
+    """
+    both = materialise(links.where("a <> b").select("a", "b").unionByName(links.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    for _ in range(most_rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("r"))
+        step = materialise(step, "labels")
+        up = step.select(F.col("node").alias("r"), F.col("r").alias("up"))
+        labels = materialise(step.join(up, "r", "left").select("node", F.coalesce("up", "r").alias("root"), (F.coalesce("up", "r") != F.col("old")).alias("moved")), "labels")
+        if labels.where("moved").limit(1).count() == 0:
+            return labels.select("node", "root")
+        labels = labels.select("node", "root")
+    raise RuntimeError("the components did not settle")
