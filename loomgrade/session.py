@@ -17,7 +17,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int = 8, **conf: str) -> Sp
         .appName("loomgrade")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "12g")
+        .config("spark.driver.memory", "6g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loomgrade-"))
