@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrade.llm import bpe, chat, decontamination, simhash, url_filter
+from loomgrade.llm import bpe, chat, decontamination, simhash, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_url_filters": url_filter.query,
         "op4_simhash": simhash.query,
         "op6_bpe": bpe.query,
+        "op7_toxicity": toxicity.query,
+        "op9_exact_topk": topk.query,
         "op10_chat_formatting": chat.query,
     }
 
@@ -19,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.SQL,
         "op2_url_filters": url_filter.SQL,
+        "op9_exact_topk": topk.SQL,
         "op10_chat_formatting": chat.SQL,
     }
