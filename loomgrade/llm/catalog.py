@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrade.llm import bpe, chat, decontamination, simhash, topk, toxicity, url_filter
+from loomgrade.llm import bpe, chat, decontamination, line_dedup, simhash, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_simhash": simhash.query,
         "op6_bpe": bpe.query,
         "op7_toxicity": toxicity.query,
+        "op8_line_dedup": line_dedup.query,
         "op9_exact_topk": topk.query,
         "op10_chat_formatting": chat.query,
     }
@@ -21,6 +22,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.SQL,
         "op2_url_filters": url_filter.SQL,
+        "op8_line_dedup": line_dedup.SQL,
         "op9_exact_topk": topk.SQL,
         "op10_chat_formatting": chat.SQL,
     }
