@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrade.llm import bpe, chat, decontamination, line_dedup, simhash, topk, toxicity, url_filter
+from loomgrade.llm import bpe, chat, decontamination, language_model, line_dedup, simhash, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontamination": decontamination.query,
         "op2_url_filters": url_filter.query,
         "op4_simhash": simhash.query,
+        "op5_lm_scoring": language_model.query,
         "op6_bpe": bpe.query,
         "op7_toxicity": toxicity.query,
         "op8_line_dedup": line_dedup.query,
