@@ -5,7 +5,7 @@ Hamming distance from its vantage points. A point lives in one shard; by the tri
 distance can only reach into the other side of a vantage point if its distance lies within that reach of the radius,
 and only then is it copied there to query. Of two points on different sides, only the outer one is copied. So every pair
 within the distance meets in a shard. A shard links its points to a representative each, never all pairs, and components
-over those links give the ids. A shard that has outgrown its size is dealt into pairs of blocks.
+over those links give the ids. A shard that has outgrown its size is dealt into blocks.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from loomgrade.session import materialise, table
 
 SHINGLE = 3
 DISTANCE = 3
-SHARD = 4096  # points that live in a shard, about
-SAMPLE = 40_000  # points that the tree is fitted to, at most
+SHARD = 1024  # points that live in a shard, about
+SAMPLE = 65_536  # points that the tree is fitted to, at most
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
@@ -61,77 +61,91 @@ def with_fingerprints(docs: DataFrame, width: int = SHINGLE, keep_text: bool = T
 
 
 class Tree:
-    """A vantage-point tree: node i has a vantage point and a radius; inner points go to child 2i+1, outer ones to 2i+2."""
+    """A vantage-point tree: node i has a vantage point and a radius; inner points go to child 2i+1, outer ones to 2i+2.
 
-    def __init__(self, sample: np.ndarray, depth: int, seed: int = 7):
+    A vantage point may look at some of the bits only: such a distance, too, changes by no more than the Hamming
+    distance does, so the triangle bound holds.
+    """
+
+    def __init__(self, sample: np.ndarray, depth: int, reach: int = DISTANCE, seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.depth = depth
-        self.point = np.zeros((1 << depth) - 1, np.uint64)
-        self.radius = np.full((1 << depth) - 1, 64, np.int64)
+        self.depth, self.reach = depth, reach
+        nodes = (1 << depth) - 1
+        self.point, self.mask, self.radius = np.zeros(nodes, np.uint64), np.full(nodes, ~np.uint64(0)), np.full(nodes, 64, np.int64)
         groups = {0: sample}
-        for i in range((1 << depth) - 1):
+        for i in range(nodes):
             own = groups.pop(i, sample[:0])
             if len(own):
-                self.point[i], self.radius[i], d = self._choose(own, rng)
+                self.point[i], self.mask[i], self.radius[i], d = self._choose(own, rng)
                 groups[2 * i + 1], groups[2 * i + 2] = own[d <= self.radius[i]], own[d > self.radius[i]]
 
-    @staticmethod
-    def _choose(own: np.ndarray, rng) -> tuple:
-        """Of a few vantage points, the one whose best radius copies the fewest points over while it parts the rest fairly."""
+    def _choose(self, own: np.ndarray, rng) -> tuple:
+        """Of points of the sample, and of the directions in which its bits vary most, what parts it fairly with the fewest copies."""
+        everything = ~np.uint64(0)
+        options = [(p, everything) for p in own[rng.integers(0, len(own), 8)]]
+        some = own[:4000]
+        bits = 2.0 * np.unpackbits(some.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") - 1
+        if len(some) > 8:
+            _, axes = np.linalg.eigh(np.cov(bits.T))
+            for axis in axes.T[:-5:-1]:
+                point = np.packbits(axis > 0, bitorder="little").view("<u8")[0]
+                for n in (8, 16, 24, 32, 48, 64):
+                    chosen = np.zeros(64, bool)
+                    chosen[np.argsort(-np.abs(axis))[:n]] = True
+                    options.append((point, np.packbits(chosen, bitorder="little").view("<u8")[0]))
         best = None
-        for p in own[rng.integers(0, len(own), 12)]:
-            d = np.bitwise_count(own ^ p).astype(np.int64)
+        for p, m in options:
+            d = np.bitwise_count((own ^ p) & m).astype(np.int64)
             below = np.cumsum(np.bincount(d, minlength=72))
-            for r in np.flatnonzero((below[:64] >= 0.3 * len(own)) & (below[:64] <= 0.7 * len(own))):
-                copied = below[min(71, r + DISTANCE)] - below[r]
-                uneven = abs(2 * below[r] - len(own)) / 2
-                if best is None or copied + uneven < best[0]:
-                    best = (copied + uneven, p, int(r), d)
-        if best is None:  # no radius parts them evenly
-            p = own[0]
-            d = np.bitwise_count(own ^ p).astype(np.int64)
-            best = (0, p, int(np.median(d)), d)
+            for r in np.flatnonzero((below[:64] >= 0.25 * len(own)) & (below[:64] <= 0.75 * len(own))):
+                copied = below[min(71, r + self.reach)] - below[r]
+                cost = copied + abs(2 * below[r] - len(own)) / 4
+                if best is None or cost < best[0]:
+                    best = (cost, p, m, int(r), d)
+        if best is None:  # no radius parts them fairly
+            d = np.bitwise_count(own ^ own[0]).astype(np.int64)
+            best = (0, own[0], everything, int(np.median(d)), d)
         return best[1:]
 
-    def shards(self, points: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
-        """Index of a point and shard, once for where it lives and once for each shard that it must query."""
+    def shards(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Index of a point, shard, and whether it lives there; else it is a copy that queries there."""
         index = np.arange(len(points))
         node = np.zeros(len(points), np.int64)
         home = np.ones(len(points), bool)
         for _ in range(self.depth):
-            d = np.bitwise_count(points[index] ^ self.point[node]).astype(np.int64)
+            d = np.bitwise_count((points[index] ^ self.point[node]) & self.mask[node]).astype(np.int64)
             r = self.radius[node]
-            inner = np.where(home, d <= r + reach, d - reach <= r)  # an outer point is copied inwards if its ball reaches
-            outer = np.where(home, d > r, d + reach > r)
-            stays = home & (d <= r)
-            index, node, home = np.concatenate((index[inner], index[outer])), np.concatenate((2 * node[inner] + 1, 2 * node[outer] + 2)), np.concatenate((stays[inner], home[outer]))
-        return index, node - ((1 << self.depth) - 1)
+            inner = d <= r + self.reach  # an outer point goes inwards too, as a copy, if its ball reaches in
+            outer = np.where(home, d > r, d + self.reach > r)  # of two points on different sides, only the outer one is copied
+            lives = home & (d <= r)
+            index, node, home = np.concatenate((index[inner], index[outer])), np.concatenate((2 * node[inner] + 1, 2 * node[outer] + 2)), np.concatenate((lives[inner], home[outer]))
+        return index, node - ((1 << self.depth) - 1), home
 
 
-def _links(left: np.ndarray, right: np.ndarray, reach: int, block: int = 512):
-    """Index pairs of points within the distance, block by block; left is right for one set."""
+def _links(left: np.ndarray, right: np.ndarray, reach: int, cells: int = 1 << 20):
+    """Index pairs of points within the distance, a million comparisons at a time; one set against itself gives each pair once."""
     same = left is right
+    block = max(1, cells // max(1, len(right)))
     for a in range(0, len(left), block):
-        rows = left[a : a + block]
         base = a if same else 0
-        i, j = np.nonzero(np.bitwise_count(rows[:, None] ^ right[None, base:]) <= reach)
-        j = j + base
+        i, j = np.nonzero(np.bitwise_count(left[a : a + block, None] ^ right[None, base:]) <= reach)
+        i, j = i + a, j + base
         if same:
-            keep = i + a < j
-            i, j = i[keep], j[keep]
-        yield i + a, j
+            i, j = i[i < j], j[i < j]
+        if len(i):
+            yield i, j
 
 
-def star_links(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[int, int]]:
-    """Links of each point to the least point of its component within these points: at most one a point."""
-    points = left if left is right else np.concatenate((left, right))
-    shift = 0 if left is right else len(left)
-    root = np.arange(len(points))
+def star_links(home: np.ndarray, copies: np.ndarray, reach: int, inside: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Links of points to the least point of their component here: at most one a point.
 
-    for i, j in _links(left, right, reach):
-        if not len(i):
-            continue
-        a, b = i, j + shift
+    Points that live here are compared with each other, if `inside`, and with the copies; copies meet elsewhere.
+    """
+    points = np.concatenate((home, copies))
+    root = np.arange(len(points))
+    found = [(i, j) for i, j in _links(home, home, reach)] if inside else []
+    found += [(i, j + len(home)) for i, j in _links(home, copies, reach)]
+    for a, b in found:
         while True:  # hook the larger root onto the smaller and shorten, until the block's links join equals
             ra, rb = root[a], root[b]
             differ = ra != rb
@@ -144,48 +158,57 @@ def star_links(left: np.ndarray, right: np.ndarray, reach: int) -> list[tuple[in
                 if (up == root).all():
                     break
                 root = up
-    least = np.full(len(points), np.iinfo(np.int64).max)
     signed = points.view(np.int64)
+    least = np.full(len(points), np.iinfo(np.int64).max)
     np.minimum.at(least, root, signed)
     mine = least[root]
-    return [(int(x), int(y)) for x, y in zip(signed[mine != signed].tolist(), mine[mine != signed].tolist(), strict=True)]
+    other = mine != signed
+    return signed[other], mine[other]
 
 
 def near_links(points: DataFrame, reach: int = DISTANCE, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
     """a, b: links between different fingerprints (column fp, distinct) whose components are those of all pairs within reach."""
     spark = points.sparkSession
     n = points.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n) / shard))))
-    depth = min(depth, 18)  # 262,144 shards: the tree is broadcast and stays below 5 MB; larger shards go by blocks
+    # 262,144 shards at most: the tree is broadcast and stays below 8 MB; larger shards go by blocks
+    depth = min(18, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
     picked = [r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
-    tree = spark.sparkContext.broadcast(Tree(np.array(picked, np.int64).view(np.uint64), depth))
+    tree = spark.sparkContext.broadcast(Tree(np.array(picked, np.int64).view(np.uint64), depth, reach))
 
     def deal(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            index, node = tree.value.shards(fp.view(np.uint64), reach)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[index]), pa.array(node)], names=["fp", "shard"])
-
-    dealt = materialise(points.select("fp").mapInArrow(deal, "fp bigint, shard bigint"), "shards")
-    # a shard of too many points is dealt into blocks, and each pair of blocks is a task's group
-    most = 4 * shard
-    sizes = dealt.groupBy("shard").count().where(F.col("count") > most)
-    blocks = sizes.select("shard", F.ceil(F.col("count") / most).cast("int").alias("blocks"))
-    rows = dealt.join(F.broadcast(blocks) if _small(blocks) else blocks, "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))
-    rows = rows.withColumn("cell", F.explode(cells)).select("shard", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), own.alias("block"), "fp")
+            for a in range(0, len(fp), 2000):
+                own = fp[a : a + 2000]
+                index, node, home = tree.value.shards(own.view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(own[index]), pa.array(node), pa.array(home)], names=["fp", "shard", "home"])
+
+    dealt = materialise(points.select("fp").mapInArrow(deal, "fp bigint, shard bigint, home boolean"), "shards")
+    # a shard of too many points goes by blocks of those that live there and chunks of copies; each pair of them is a group
+    most = 8 * shard
+    sizes = dealt.groupBy("shard").agg(F.count_if("home").alias("h"), F.count("*").alias("c"))
+    large = sizes.where((F.col("h") > most) | (F.col("c") > 32 * most)).select("shard", F.ceil(F.greatest(F.col("h"), F.lit(1)) / most).cast("int").alias("blocks"), F.ceil(F.col("c") / (32 * most)).cast("int").alias("chunks"))
+    large = materialise(large, "large")
+    plain = dealt.withColumns({"block": F.lit(0), "chunk": F.lit(0), "own": F.col("home")})
+    if large.limit(1).count():
+        large = F.broadcast(large) if _small(large) else large
+        plain = plain.join(large.select("shard"), "shard", "left_anti")
+        own, part = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
+        blocks, chunks = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+        # whoever lives in a block is needed with every chunk; others query the blocks after their own, in one chunk of each
+        cell = lambda b, c: F.struct(b.alias("block"), c.alias("chunk"), (F.col("home") & (b == own)).alias("own"))
+        lives = F.transform(chunks, lambda c: cell(own, c))
+        queries = F.transform(F.when(F.col("home"), F.filter(blocks, lambda b: b > own)).otherwise(blocks), lambda b: cell(b, part))
+        cells = F.when(F.col("home"), F.concat(lives, queries)).otherwise(queries)
+        plain = plain.unionByName(dealt.join(large, "shard").withColumn("cell", F.explode(cells)).select("fp", "shard", "home", "cell.block", "cell.chunk", "cell.own"))
 
     def link(key, cell):
         fp = cell.column("fp").to_numpy().view(np.uint64)
-        if key[1].as_py() == key[2].as_py():
-            found = star_links(fp, fp, reach)
-        else:
-            left = cell.column("block").to_numpy() == key[1].as_py()
-            found = star_links(fp[left], fp[~left], reach)
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-    return rows.groupBy("shard", "i", "j").applyInArrow(link, "a bigint, b bigint")
+        own = cell.column("own").to_numpy(zero_copy_only=False)
+        a, b = star_links(fp[own], fp[~own], reach, inside=key[2].as_py() == 0)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return plain.groupBy("shard", "block", "chunk").applyInArrow(link, "a bigint, b bigint")
 
 
 def _small(df: DataFrame, most: int = 50_000) -> bool:
