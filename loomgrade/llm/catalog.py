@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from loomgrade.llm import bpe, chat, decontamination, language_model, line_dedup, simhash, topk, toxicity, url_filter
+from loomgrade.llm import bpe, chat, decontamination, language_model, line_dedup, simhash, token_counts, topk, toxicity, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_decontamination": decontamination.query,
         "op2_url_filters": url_filter.query,
+        "op3_token_counts": token_counts.query,
         "op4_simhash": simhash.query,
         "op5_lm_scoring": language_model.query,
         "op6_bpe": bpe.query,
@@ -23,6 +24,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontamination": decontamination.SQL,
         "op2_url_filters": url_filter.SQL,
+        "op3_token_counts": token_counts.SQL,
         "op8_line_dedup": line_dedup.SQL,
         "op9_exact_topk": topk.SQL,
         "op10_chat_formatting": chat.SQL,
