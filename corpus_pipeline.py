@@ -1,6 +1,66 @@
-"""placeholder until the stages' operators are in"""
+"""A corpus pipeline of five operators: toxicity, line dedup, SimHash near-dedup, benchmark decontamination, BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+All stages but the last return the columns of docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgrade.llm import bpe, decontamination, line_dedup, simhash, toxicity
+from loomgrade.session import materialise, ship, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    ship(spark)
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that an earlier line equals or nearly equals; n_chars follows."""
+    ship(spark)
+    return line_dedup.dedup_lines(docs).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked ones, that of the least doc_id."""
+    ship(spark)
+    return simhash.deduplicate(docs).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words stand in passages of test items."""
+    ship(spark)
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), action="drop").select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether they decode to its text."""
+    import public_tokenizers
+
+    ship(spark)
+    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: Toxicity, fingerprints and BPE have no SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if i == 0 else materialise(docs, name), sf_dir)
+    return docs
