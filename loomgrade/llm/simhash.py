@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrade.llm.common import append_columns, as_bytes, space_words, without
-from loomgrade.llm.components import components
+from loomgrade.operators.components import components
 from loomgrade.session import materialise, table
 
 SHINGLE = 3
