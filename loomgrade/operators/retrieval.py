@@ -1,6 +1,6 @@
 """Hybrid ranking: cosine, evidence of sub-sections, weighted score, floor, diversity, weighted rank fusion.
 
-Scores are rounded to six places before they are ranked and ties go to the smaller id, so an order never depends on how
+Scores are rounded to six or eight places before they are ranked and ties go to the smaller id, so an order never depends on how
 rows are dealt. Queries are a stated set: they are broadcast in blocks of a checked size against all rows.
 """
 
@@ -94,7 +94,7 @@ def subunit_scores(candidates: DataFrame, subunits: DataFrame, queries: DataFram
     rows = candidates.select("query_id", "skill_id").join(subunits, "skill_id").join(queries.select("query_id", "prompt", "qvec"), "query_id")
     semantic = six(F.greatest(V.cosine(F.col("qvec"), F.col("svec")), F.lit(0.0)))
     lexical = X.overlap(X.words(F.col("prompt")), X.words(F.concat_ws(" ", "title", "content")))
-    return rows.select("query_id", "skill_id", "subunit_id", "title", "content", semantic.alias("semantic"), six(lexical).alias("lexical")).withColumn("relevance", six(0.75 * F.col("semantic") + 0.25 * F.col("lexical")))
+    return rows.select("query_id", "skill_id", "subunit_id", "title", "content", semantic.alias("semantic"), six(lexical).alias("lexical")).withColumn("relevance", F.round(0.75 * F.col("semantic") + 0.25 * F.col("lexical"), 8))
 
 
 def evidence(scored: DataFrame, k: int = 3) -> DataFrame:
@@ -114,7 +114,7 @@ def weighted_score(rows: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """score from cosine, evidence, prior and community_boost; missing parts count as 0."""
     part = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     score = (config.alpha * part("cosine") + config.beta * part("evidence") + config.gamma * part("prior")) * (1 + config.boost * part("community_boost"))
-    return rows.withColumn("score", six(score))
+    return rows.withColumn("score", F.round(score, 8))
 
 
 def centroids(rows: DataFrame) -> DataFrame:

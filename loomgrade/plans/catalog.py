@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomgrade.plans import retrieval
+
+GROUPS = (retrieval,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["fused_topn"](spark, sf_dir)
+    return retrieval.fused_topn(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: made[0] for group in GROUPS for name, made in group.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: made[1] for group in GROUPS for name, made in group.QUERIES.items() if made[1]}
