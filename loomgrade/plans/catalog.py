@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrade.plans import retrieval
+from loomgrade.plans import graph, retrieval
 
-GROUPS = (retrieval,)
+GROUPS = (retrieval, graph)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
