@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrade.plans import graph, retrieval
+from loomgrade.plans import graph, maintenance, retrieval
 
-GROUPS = (retrieval, graph)
+GROUPS = (retrieval, graph, maintenance)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
