@@ -22,13 +22,13 @@ from loomgrade.llm.common import without
 from loomgrade.session import materialise, table
 
 THRESHOLD = 1
-LEAST_CHARS = 24  # shorter lines are duplicates only if they are equal
+LEAST_CHARS = 24  # more than threshold; shorter lines are duplicates only if they are equal
 CROWD = 64  # a segment of more lines is split again
 
 
 def segments(line: Column, n: Column, k: int) -> list[Column]:
     """Start (from 0) and size of the k segments of a line of n characters; the last ones take what does not divide."""
-    base = F.floor(n / k).cast("int")
+    base = F.call_function("div", n, F.lit(k)).cast("int")
     longer = n - base * k
     out = []
     for i in range(k):
@@ -51,8 +51,9 @@ def _own_keys(line: Column, n: Column, k: int, *salt: Column) -> list[Column]:
 
 
 def _probe_key(line: Column, n: Column, k: int, d: int, i: int, s: int, *salt: Column) -> Column:
+    """For lines of k + d characters at least; a segment shifted by what `probes` allows then lies within the line."""
     a, size = segments(line, n - d, k)[i]
-    return F.when((n - d >= k) & (a + s >= 0) & (a + s + size <= n), F.xxhash64(F.substr(line, a + s + 1, size), F.lit(i), n - d, *salt))
+    return F.xxhash64(F.substr(line, a + s + 1, size), F.lit(i), n - d, *salt)
 
 
 def _rest(line: Column, a: Column, size: Column) -> Column:
@@ -67,9 +68,9 @@ def _choose(which: Column, options: list[Column]) -> Column:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """doc_id, h, pos, line, digest of every line that is not blank. Equal rows of docs count once or more, alike."""
+    """doc_id, h, pos, line, n (its length), digest of every line that is not blank. Equal rows of docs count once or more, alike."""
     lines = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("pos", "line"))
-    return lines.where(F.trim("line") != "").withColumn("digest", F.unhex(F.md5("line")))
+    return lines.where(F.trim("line") != "").withColumn("n", F.length("line")).withColumn("digest", F.unhex(F.md5("line")))
 
 
 def _order() -> Column:
@@ -94,20 +95,24 @@ def _cold_and_hot(own: DataFrame, probe: DataFrame, crowd: int) -> tuple[DataFra
 def duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
     """Different lines with their first occurrence (digest, first), and the digests of those that an earlier line makes duplicates."""
     k = threshold + 1
-    line, n = F.col("line"), F.length("line")
+    line, n = F.col("line"), F.col("n")
     keys = [F.lit(None)]
     specs = probes(k)
     if threshold:
         long = n >= least_chars
         own = F.when(long, F.array(*_own_keys(line, n, k)))
-        probe = F.when(long, F.array(*[F.when(n - d >= least_chars, _probe_key(line, n, k, d, i, s)) for d, i, s in specs]))
+        tries = {d: [_probe_key(line, n, k, e, i, s) for e, i, s in specs if e <= d] for d in range(k)}
+        probe = F.when(~long, None)
+        for d in range(k - 1):
+            probe = probe.when(n < least_chars + d + 1, F.array(*tries[d]))
+        probe = probe.otherwise(F.array(*tries[threshold]))
         keys = [F.any_value(own).alias("own"), F.any_value(probe).alias("probe")]
     lines = occurrences(docs)
     different = materialise(lines.groupBy("digest").agg(F.min(_order()).alias("first"), *(keys if threshold else [])), "lines")
     if not threshold:
         return different, different.select("digest").limit(0)
     own = different.select("digest", F.posexplode("own").alias("at", "key"))
-    probe = different.select("digest", F.posexplode("probe").alias("at", "key")).where("key IS NOT NULL")
+    probe = different.select("digest", F.posexplode("probe").alias("at", "key"))
     pairs, hot_own, hot_probe = _cold_and_hot(own, probe, crowd)
     pairs = materialise(pairs.distinct(), "pairs")
     needed = pairs.select(F.col("p").alias("digest")).unionByName(pairs.select(F.col("q").alias("digest")))
@@ -161,7 +166,7 @@ def _crowded(own: DataFrame, probe: DataFrame, texts: DataFrame, threshold: int,
         if long.limit(1).count() == 0:
             return found
         own = long.select("digest", "first", "line", F.posexplode(F.array(*_own_keys(line, n, k, F.col("key")))).alias("at", "key"))
-        tries = [F.when(F.col("d") == d, _probe_key(line, n, k, d, i, s, F.col("key"))) for d, i, s in specs]
+        tries = [F.when((F.col("d") == d) & (n - d >= k), _probe_key(line, n, k, d, i, s, F.col("key"))) for d, i, s in specs]
         probe = probe.where(n - F.col("d") > threshold).select("digest", "first", "line", "d", F.posexplode(F.array(*tries)).alias("at", "key")).where("key IS NOT NULL")
         pairs, own, probe = _cold_and_hot(own, probe, crowd)
         found.append(_verified(materialise(pairs.distinct(), "pairs"), texts, threshold))
