@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrade.plans import graph, maintenance, retrieval
+from loomgrade.plans import graph, maintenance, retrieval, state, transcripts
 
-GROUPS = (retrieval, graph, maintenance)
+GROUPS = (retrieval, graph, maintenance, transcripts, state)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
