@@ -15,3 +15,19 @@ REFUSED_SPEAKERS = ("system", "System", "SYSTEM")
 REFUSED_PREFIXES = ("Ignore previous instructions", "You are now", "Override", "SYSTEM PROMPT", "New instructions", "Disregard")
 GENERIC_DIRECTORIES = ("home", "root", "tmp", "var", "usr", "opt", "etc", "srv", "data", "workspace", "work", "projects", "repos", "src", "code")
 LIFECYCLE_FILES = ("SKILL.md", "SKILL.md.pending", "SKILL.md.rejected", "SKILL.md.retired")
+IGNORED_DIRECTORIES = (
+    ".git",
+    "target",
+    "node_modules",
+    ".github",
+    ".claude",
+    ".opencode",
+    ".cursor",
+    ".continue",
+    ".aider",
+    ".codeium",
+    ".windsurf",
+    ".gemini",
+    ".amazonq",
+)
+SECTIONS = {"## procedures": "procedure", "## conventions": "convention", "## assets": "asset", "## evidence": "evidence", "## summary": "summary"}
