@@ -34,7 +34,7 @@ def fingerprints(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def skill_files(spark: SparkSession, roots: list[str]) -> DataFrame:
-    """path, text of active files whose folder holds no retired marker."""
+    """path, text of active files whose folder holds no retired marker. Spark lists no empty files, so a marker says something."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     rows = files.select("path", "content", lifecycle_name(F.col("path")).alias("kind"), F.regexp_replace("path", "/[^/]*$", "").alias("folder")).where(_kept(F.col("path")))
     retired = rows.where(F.col("kind") == "SKILL.md.retired").select("folder").distinct()
@@ -77,8 +77,8 @@ def parse_skills(files: DataFrame) -> DataFrame:
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
     """session_id (the file's path), line (from 0), json of every line of JSONL files, each read as a whole."""
-    files = spark.read.option("wholetext", "true").text(path)
-    return files.select(F.col("_metadata.file_path").alias("session_id"), F.posexplode(F.split("value", "\n")).alias("line", "json"))
+    files = spark.read.text(path, wholetext=True)
+    return files.select(F.col("_metadata.file_path").alias("session_id"), F.posexplode(F.split("value", "\n", -1)).alias("line", "json"))
 
 
 def strict_transcript(lines: DataFrame) -> DataFrame:
