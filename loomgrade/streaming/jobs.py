@@ -36,13 +36,10 @@ def idempotent(events: DataFrame, key: str = "idempotency_key", time: str = "ts"
 def suppress(calls: DataFrame) -> DataFrame:
     """calls (session_id, repo, call_id, version, at) with suppressed: whether the session's last answer had this version.
 
-    A session's state is one version; it ends after an hour without calls.
+    A session's state is one version. It has no timeout: with a processing-time one, a run over what is there never ends.
     """
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get[0] if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["at", "call_id"])
         out = []
@@ -50,10 +47,9 @@ def suppress(calls: DataFrame) -> DataFrame:
             out.append(last is not None and v == last)
             last = int(v)
         state.update((last,))
-        state.setTimeoutDuration(3_600_000)
         yield pd.DataFrame({"session_id": rows["session_id"], "repo": rows["repo"], "call_id": rows["call_id"], "suppressed": out})
 
-    return calls.groupBy("session_id", "repo").applyInPandasWithState(walk, "session_id string, repo string, call_id long, suppressed boolean", "version long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return calls.groupBy("session_id", "repo").applyInPandasWithState(walk, "session_id string, repo string, call_id long, suppressed boolean", "version long", "append", GroupStateTimeout.NoTimeout)
 
 
 def breaker(calls: DataFrame, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:

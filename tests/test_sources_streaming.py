@@ -1,6 +1,7 @@
 """Files in and out, and streaming jobs against the batch results of the same rules."""
 
 import json
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -67,7 +68,9 @@ def dropped(spark, tmp_path, rows, schema):
     folder = tmp_path / "in"
     folder.mkdir()
     for i in range(0, len(rows), 3):
-        (folder / f"{i:03}.json").write_text("\n".join(json.dumps(r) for r in rows[i : i + 3]))
+        file = folder / f"{i:03}.json"
+        file.write_text("\n".join(json.dumps(r) for r in rows[i : i + 3]))
+        os.utime(file, (1_700_000_000 + i, 1_700_000_000 + i))  # the source takes the oldest first
     return jobs.drops(spark, str(folder), schema, 1)
 
 
