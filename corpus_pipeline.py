@@ -6,6 +6,8 @@ All stages but the last return the columns of docs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,28 +15,41 @@ from loomgrade.llm import bpe, decontamination, line_dedup, simhash, toxicity
 from loomgrade.session import materialise, ship, table
 
 
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _guarded(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """`stage` applied to docs, whose other columns bear plain names meanwhile, so that none can clash with its results."""
+    others = [c for c in docs.columns if c not in OWN]
+    plain = docs.select(*[c for c in docs.columns if c in OWN], *[F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(others)])
+    done = stage(plain)
+    return done.select(*[F.col(f"extra_{others.index(c)}").alias(c) if c in others else F.col(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
     ship(spark)
-    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic")).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return _guarded(docs, lambda d: toxicity.drop_toxic(d, labels))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that an earlier line equals or nearly equals; n_chars follows."""
     ship(spark)
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    return _guarded(docs, line_dedup.dedup_lines)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked ones, that of the least doc_id."""
     ship(spark)
-    return simhash.deduplicate(docs).select(*docs.columns)
+    return _guarded(docs, simhash.deduplicate)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stand in passages of test items."""
     ship(spark)
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), action="drop").select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return _guarded(docs, lambda d: decontamination.decontaminate(d, items, action="drop"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    encoded = bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    encoded = bpe.encode(docs.select(*OWN), public_tokenizers.path("byte_bpe_50k.json"))
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 

@@ -126,6 +126,18 @@ def test_pipeline_stage_by_stage(spark):
     assert all(r.round_trip and r.n_tokens == len(r.ids) for r in coded.values()) and SuffixAutomaton([]).scan([b"x"]) == ([], set(), 0)
 
 
+def test_stages_take_odd_rows(spark):
+    import corpus_pipeline as P
+
+    rows = [(1, None, "en", "s", 0), (None, "a b c", None, None, None), (3, "", "en", "s", 0), (3, "", "en", "s", 0), (4, "x " * 9000, "en", "s", 18000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").selectExpr("*", "doc_id AS score", "'p' AS predicted", "1 AS n_lines", "2 AS fp", "3 AS n_hit", "4 AS n_tokens", "5 AS ids")
+    for _, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and 0 < out.count() <= len(rows) and stage(spark, docs.where("false"), SF).count() == 0
+        assert {(r.score, r.fp) for r in out.collect()} <= {(1, 2), (None, 2), (3, 2), (4, 2)}
+    assert P.STAGES[-1][1](spark, docs, SF).where("round_trip").count() == len(rows)
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
