@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrade.llm.common import append_columns, as_bytes, space_words, without
+from loomgrade.llm.common import append_columns, as_bytes, bounded_sample, space_words, without
 from loomgrade.operators.components import components
 from loomgrade.session import materialise, table
 
@@ -172,8 +172,8 @@ def near_links(points: DataFrame, reach: int = DISTANCE, shard: int = SHARD, sam
     n = points.count()
     # 262,144 shards at most: the tree is broadcast and stays below 8 MB; larger shards go by blocks
     depth = min(18, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
-    picked = [r.fp for r in points.orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()] if depth else []
-    tree = spark.sparkContext.broadcast(Tree(np.array(picked, np.int64).view(np.uint64), depth, reach))
+    picked = [r.fp for r in bounded_sample(points.select("fp"), ["fp"], sample).collect()] if depth else []
+    tree = spark.sparkContext.broadcast(Tree(np.array(sorted(picked), np.int64).view(np.uint64), depth, reach))
 
     def deal(batches):
         for batch in batches:
