@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgrade.llm.common import bounded_sample
 from loomgrade.session import materialise, table
 
 K = 10
@@ -118,7 +119,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = B
     spark = candidates.sparkSession
     queries = materialise(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = max(1, -(-queries.count() // block))
-    seeds = candidates.orderBy(F.xxhash64("vec_id", "v")).limit(sample).collect() if blocks else []
+    seeds = bounded_sample(candidates, ["vec_id", "v"], sample).collect()
     by_dim: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for d in {len(r.v) for r in seeds}:
         own = [r for r in seeds if len(r.v) == d]
