@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrade.llm.common import alnum_words, append_columns, as_bytes, without
+from loomgrade.llm.common import alnum_words, append_columns, as_bytes, bounded_sample, without
 from loomgrade.session import materialise, table
 
 ROWS = 20_000  # labelled rows that are learnt from, at most
@@ -153,7 +153,7 @@ def learnable(labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, most_rows: int = ROWS, most_terms: int = TERMS, most_examples: int = EXAMPLES) -> Index:
     """The index of labelled rows. docs: doc_id, text; labels: doc_id, toxic. Without any labels every score is 0."""
     spark = docs.sparkSession
-    own = spark.createDataFrame(learnable(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).collect(), "doc_id bigint, y int")
+    own = spark.createDataFrame(sorted(bounded_sample(learnable(labels), ["doc_id"], most_rows).collect())[:most_rows], "doc_id bigint, y int")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
 
     def words():
@@ -222,8 +222,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those predicted toxic."""
     index = fit(docs, labels)
-    marked = score(docs.withColumnsRenamed({}), index)
-    return marked.where("predicted = 0").drop("score", "predicted")
+    return score(docs, index).where("predicted = 0").drop("score", "predicted")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
