@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_BYTES = 10 * 1024 * 1024
+BLOCK = 1024  # batches of events that are scanned together
 
 
 def ingest(requests: DataFrame) -> DataFrame:
@@ -140,10 +141,14 @@ def circuit_breaker(calls: DataFrame, threshold: int = 5, open_seconds: float =
 def coalesced_refresh(events: DataFrame, batch: int = 64) -> DataFrame:
     """batch, events, reloads (1 if one of them says that the graph was rebuilt) and the version that is served after it.
 
-    events: seq (from 0, the order), event_type, version. The version never falls.
+    events: seq (from 0, the order), event_type, version. The version never falls. Batches are scanned in blocks, each
+    by itself, so the only window over everything has a row a block.
     """
     rows = events.withColumn("batch", F.floor(F.col("seq") / batch).cast("bigint")).groupBy("batch").agg(F.count("*").alias("events"), F.max((F.col("event_type") == "graph.rebuilt").cast("int")).alias("reloads"), F.max(F.when(F.col("event_type") == "graph.rebuilt", F.col("version"))).alias("v"))
-    return rows.withColumn("served", F.max("v").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))).drop("v")
+    rows = rows.withColumn("block", F.floor(F.col("batch") / BLOCK).cast("bigint"))
+    before = rows.groupBy("block").agg(F.max("v").alias("v")).select("block", F.max("v").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    own = F.max("v").over(Window.partitionBy("block").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("own", own).join(before, "block").select("batch", "events", "reloads", F.greatest("own", "before").alias("served"))
 
 
 def backoff_schedule(attempts: int = 3, base_ms: int = 50, jitter_ms: int = 7, most_ms: int = 2000) -> list[int]:

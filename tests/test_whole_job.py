@@ -1,0 +1,21 @@
+"""Queries that once left rows out: against the whole job's rows."""
+
+from oracle import compare
+
+from loomgrade.operators import state as S
+from loomgrade.plans import state
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_refresh_sees_every_event(spark):
+    sql = """SELECT batch, events, reloads, max(v) OVER (ORDER BY batch) AS served FROM (SELECT event_id // 64 AS batch, count(*) AS events, max((event_id % 50 = 7)::INT) AS reloads,
+  max(event_id // 100) FILTER (event_id % 50 = 7) AS v FROM events GROUP BY 1)"""
+    assert compare(spark, SF, state.coalesced_refresh, sql) > 16
+
+
+def test_refresh_carries_the_version_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 3)
+    e = spark.range(40).selectExpr("id AS seq", "CASE WHEN id IN (9, 21) THEN 'graph.rebuilt' ELSE 'other' END AS event_type", "id AS version")
+    got = {r.batch: (r.events, r.reloads, r.served) for r in S.coalesced_refresh(e, 2).collect()}
+    assert got == {b: (2, int(b in (4, 10)), None if b < 4 else 9 if b < 10 else 21) for b in range(20)}
