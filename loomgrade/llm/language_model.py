@@ -8,8 +8,8 @@ The network reads classes: each of the `head` most frequent words is a class of
 classes by frequency, the rest is one class. P(word | history) = softmax over groups of classes, times softmax over the
 classes of the group, times the word's add-one share of its class, so the factors sum to one over the vocabulary with
 one unseen word. Training starts from the counts' own class shares and runs in parallel, one network a shard, whose
-weights are averaged by their tokens after each round; a fixed share of the training documents
-takes part. Scoring carries the state across windows, so a document's log-likelihood is that of its whole text.
+weights are averaged by their tokens after each round; every training document takes part. Scoring carries
+the state across windows, so a document's log-likelihood is that of its whole text.
 """
 
 from __future__ import annotations
@@ -38,8 +38,6 @@ SHARD_TOKENS = 600_000  # tokens that one of the networks trained side by side s
 MOST_SHARDS = 2_000
 ROUNDS = 1
 RATE = 0.02
-SHARE = 32  # one training document in so many trains the network, at most; all are counted
-LEAST_TOKENS = 300_000  # a smaller share of the documents trains only if it has so many tokens
 FLUSH = 200_000  # different words that a counting task holds at once
 BATCH_BYTES = 8 << 20
 END = b""  # the end of a text; no word is empty
@@ -287,7 +285,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS, share: int = SHARE, rate: float = RATE) -> tuple[Vocabulary, np.ndarray]:
+def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vocabulary, np.ndarray]:
     """Vocabulary and weights. docs: the training documents (doc_id, text); counts: their words, written once."""
     spark = docs.sparkSession
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -306,11 +304,10 @@ def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, roun
     if not known:
         return words, network.w
     shared = spark.sparkContext.broadcast(words)
-    share = int(max(1, min(share, n // LEAST_TOKENS)))
-    shards = int(min(MOST_SHARDS, max(1, n // share // SHARD_TOKENS)))
+    shards = int(min(MOST_SHARDS, max(1, n // SHARD_TOKENS)))
     h = F.xxhash64("doc_id", "text")
-    picked = docs.where(F.pmod(h, F.lit(share)) == 0).select("text", F.pmod(F.shiftright(h, 20), F.lit(shards)).cast("int").alias("shard"))
-    picked = materialise(picked.repartition("shard"), "training")
+    dealt = docs.select("text", F.pmod(F.shiftright(h, 20), F.lit(shards)).cast("int").alias("shard"))
+    dealt = materialise(dealt.repartition("shard"), "training")
     for rounds_done in range(rounds):
         now = spark.sparkContext.broadcast(network.w)
 
@@ -335,7 +332,7 @@ def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, roun
                     total, n = total + np.frombuffer(w), n + m
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
-        made = picked.groupBy("shard").applyInArrow(run, "part bigint, w binary, n bigint").groupBy("part").applyInArrow(add, "w binary, n bigint").collect()
+        made = dealt.groupBy("shard").applyInArrow(run, "part bigint, w binary, n bigint").groupBy("part").applyInArrow(add, "w binary, n bigint").collect()
         total = sum(x.n for x in made)
         if not total:
             break

@@ -2,6 +2,7 @@
 
 from oracle import compare
 
+from loomgrade.llm import language_model
 from loomgrade.operators import state as S
 from loomgrade.plans import state
 
@@ -19,3 +20,11 @@ def test_refresh_carries_the_version_over_blocks(spark, monkeypatch):
     e = spark.range(40).selectExpr("id AS seq", "CASE WHEN id IN (9, 21) THEN 'graph.rebuilt' ELSE 'other' END AS event_type", "id AS version")
     got = {r.batch: (r.events, r.reloads, r.served) for r in S.coalesced_refresh(e, 2).collect()}
     assert got == {b: (2, int(b in (4, 10)), None if b < 4 else 9 if b < 10 else 21) for b in range(20)}
+
+
+def test_network_learns_from_every_document(spark, monkeypatch):
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('a', id % 7, repeat(' b c d', 700)) AS text")
+    dealt, keep = [], language_model.materialise
+    monkeypatch.setattr(language_model, "materialise", lambda df, name: dealt.append((name, out := keep(df, name))) or out)
+    language_model.fit(docs, keep(language_model.word_counts(docs), "counts"))
+    assert [df.count() for name, df in dealt if name == "training"] == [300]
