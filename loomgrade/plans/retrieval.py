@@ -32,7 +32,7 @@ def scope_match(spark, sf):
 
 def _lexical(spark, sf, tokens):
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tokens(F.col("text")).alias("q"))
-    docs = B.skills(spark, sf).select("skill_id", tokens(F.substring("text", 1, 1000)).alias("d"))
+    docs = B.skills(spark, sf).select("skill_id", tokens(F.col("text")).alias("d"))
     pair = lambda block: docs.crossJoin(block).select("item_id", "skill_id", R.six(X.overlap(F.col("q"), F.col("d"))).alias("overlap"))
     return R.in_blocks(items, pair, "item_id")
 

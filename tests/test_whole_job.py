@@ -1,10 +1,11 @@
 """Queries that once left rows out: against the whole job's rows."""
 
+import pytest
 from oracle import compare
 
 from loomgrade.llm import language_model
 from loomgrade.operators import state as S
-from loomgrade.plans import state
+from loomgrade.plans import retrieval, state
 
 SF = "/root/testdata/sf0.01"
 
@@ -28,3 +29,18 @@ def test_network_learns_from_every_document(spark, monkeypatch):
     monkeypatch.setattr(language_model, "materialise", lambda df, name: dealt.append((name, out := keep(df, name))) or out)
     language_model.fit(docs, keep(language_model.word_counts(docs), "counts"))
     assert [df.count() for name, df in dealt if name == "training"] == [300]
+
+
+def whole(query, *cuts):
+    """The query's SQL without its cuts: pairs of what stands there and what replaces it."""
+    sql = query[1]
+    for cut, by in cuts:
+        assert cut in sql, cut
+        sql = sql.replace(cut, by)
+    return sql
+
+
+@pytest.mark.parametrize("name", ["token_overlap", "lexical_baseline_rank"])
+def test_overlaps_see_whole_texts(spark, name):
+    query = retrieval.QUERIES[name]
+    assert compare(spark, SF, query[0], whole(query, ("substr(text, 1, 1000)", "text")))
