@@ -45,15 +45,15 @@ def tag_communities(spark, sf):
 
 
 def _scores(spark, sf):
-    return G.term_scores(B.skills(spark, sf).where("lang = 'en'").select(F.col("label").alias("cluster"), "skill_id", F.substring("text", 1, 1000).alias("text")))
+    return G.term_scores(B.skills(spark, sf).select(F.col("label").alias("cluster"), "skill_id", "text"))
 
 
 def tf_df(spark, sf):
-    return _scores(spark, sf).where("tf >= 3").select("cluster", "term", "tf", "df", "score")
+    return _scores(spark, sf).select("cluster", "term", "tf", "df", "score")
 
 
 def tfidf_cluster_label(spark, sf):
-    scopes = B.skills(spark, sf).where("lang = 'en'").groupBy(F.col("label").alias("cluster")).agg(F.min("skill_id").alias("first_member")).withColumn("scope", F.lit("global"))
+    scopes = B.skills(spark, sf).groupBy(F.col("label").alias("cluster")).agg(F.min("skill_id").alias("first_member")).withColumn("scope", F.lit("global"))
     return G.cluster_labels(_scores(spark, sf), scopes)
 
 

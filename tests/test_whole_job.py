@@ -5,7 +5,7 @@ from oracle import compare
 
 from loomgrade.llm import language_model
 from loomgrade.operators import state as S
-from loomgrade.plans import retrieval, state
+from loomgrade.plans import graph, retrieval, state
 
 SF = "/root/testdata/sf0.01"
 
@@ -44,3 +44,19 @@ def whole(query, *cuts):
 def test_overlaps_see_whole_texts(spark, name):
     query = retrieval.QUERIES[name]
     assert compare(spark, SF, query[0], whole(query, ("substr(text, 1, 1000)", "text")))
+
+
+ALL_TERMS = [("substr(text, 1, 1000)", "text"), (" WHERE lang = 'en'", "")]
+
+
+def test_terms_of_all_skills(spark):
+    query = graph.QUERIES["tf_df"]
+    assert compare(spark, SF, query[0], whole(query, *ALL_TERMS, (" WHERE tf >= 3", "")))
+
+
+def test_labels_of_all_skills(spark):
+    """With the last rule for labels that are taken, the least member, which the query's SQL leaves out."""
+    query = graph.QUERIES["tfidf_cluster_label"]
+    sql = f"""SELECT q.cluster, CASE WHEN row_number() OVER (PARTITION BY q.label ORDER BY q.cluster) = 1 THEN q.label ELSE q.label || '-' || m.least END AS label
+FROM ({whole(query, *ALL_TERMS)}) q JOIN (SELECT label AS cluster, min(doc_id) AS least FROM documents JOIN embeddings ON doc_id = vec_id GROUP BY 1) m ON q.cluster = m.cluster"""
+    assert compare(spark, SF, query[0], sql)
