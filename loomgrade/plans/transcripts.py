@@ -97,9 +97,9 @@ def skeleton_steps(spark, sf):
 
 def _candidates(spark, sf):
     d = table(spark, sf, "documents")
-    name = F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 4 == 1, F.lit("")).otherwise(F.substring("text", 1, 70))
+    name = F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 4 == 1, F.lit("")).otherwise(F.col("text"))
     some = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x")))
-    return d.select("doc_id", name.alias("name"), F.substring("text", 1, 300).alias("description"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"), some.alias("procedures"), F.array().cast("array<string>").alias("conventions"))
+    return d.select("doc_id", name.alias("name"), F.col("text").alias("description"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"), some.alias("procedures"), F.array().cast("array<string>").alias("conventions"))
 
 
 def contract_violations(spark, sf):
@@ -112,11 +112,11 @@ def sanitize_entries(spark, sf):
 
 
 def slugify(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.slugify(F.substring("text", 1, 40), "untitled").alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", X.slugify(F.col("text"), "untitled").alias("slug"))
 
 
 def subunit_dedup(spark, sf):
-    rows = B.lines(spark, sf).select("skill_id", "position", F.lit("procedure").alias("kind"), F.lit("t").alias("title"), F.substring("line", 1, 4).alias("content"))
+    rows = B.lines(spark, sf).select("skill_id", "position", F.lit("procedure").alias("kind"), F.lit("t").alias("title"), F.col("line").alias("content"))
     return T.dedup_subunits(rows, ["skill_id"]).select("skill_id", "position", "content")
 
 
@@ -125,7 +125,7 @@ def greedy_reduce(spark, sf):
 
 
 def sentence_split(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.substring("text", 1, 300))).alias("nr", "sentence"))
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("nr", "sentence"))
 
 
 ANY = lambda c, ps: "(" + " OR ".join(f"contains({c}, '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + ")"

@@ -5,7 +5,7 @@ from oracle import compare
 
 from loomgrade.llm import language_model
 from loomgrade.operators import state as S
-from loomgrade.plans import graph, retrieval, state
+from loomgrade.plans import graph, retrieval, state, transcripts
 
 SF = "/root/testdata/sf0.01"
 
@@ -60,3 +60,24 @@ def test_labels_of_all_skills(spark):
     sql = f"""SELECT q.cluster, CASE WHEN row_number() OVER (PARTITION BY q.label ORDER BY q.cluster) = 1 THEN q.label ELSE q.label || '-' || m.least END AS label
 FROM ({whole(query, *ALL_TERMS)}) q JOIN (SELECT label AS cluster, min(doc_id) AS least FROM documents JOIN embeddings ON doc_id = vec_id GROUP BY 1) m ON q.cluster = m.cluster"""
     assert compare(spark, SF, query[0], sql)
+
+
+WHOLE_TEXTS = {
+    "sentence_split": [("substr(text, 1, 300)", "text")],
+    "subunit_dedup": [("substr(unnest(string_split(text, chr(10))), 1, 4)", "unnest(string_split(text, chr(10)))")],
+    "slugify": [("substr(text, 1, 40)", "text")],
+    "contract_violations": [("substr(text, 1, 70)", "text"), ("substr(text, 1, 300)", "text")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE_TEXTS))
+def test_whole_texts_and_lines(spark, name):
+    query = transcripts.QUERIES[name]
+    assert compare(spark, SF, query[0], whole(query, *WHOLE_TEXTS[name]))
+
+
+def test_contract_sees_the_end_of_a_text(spark, tmp_path):
+    name = "a" * 80 + " B"
+    spark.createDataFrame([(2, name, "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = transcripts.contract_violations(spark, str(tmp_path)).first().violations
+    assert "name is not valid kebab-case" in got and "name exceeds 64 chars" in got
