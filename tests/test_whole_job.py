@@ -4,6 +4,7 @@ import pytest
 from oracle import compare
 
 from loomgrade.llm import language_model
+from loomgrade.operators import graph as G
 from loomgrade.operators import state as S
 from loomgrade.plans import graph, retrieval, state, transcripts
 
@@ -81,3 +82,28 @@ def test_contract_sees_the_end_of_a_text(spark, tmp_path):
     spark.createDataFrame([(2, name, "s")], "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = transcripts.contract_violations(spark, str(tmp_path)).first().violations
     assert "name is not valid kebab-case" in got and "name exceeds 64 chars" in got
+
+
+MODULO = {
+    "skills_with_communities": [(" AND li.skill_id % 5 <> 0", "")],
+    "communities_with_members": [(" FILTER (WHERE skill_id % 3 = 0)", "")],
+    "scope_policy": [(" WHERE skill_id % 9 = 0", "")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(MODULO))
+def test_no_ids_left_out(spark, name):
+    query = graph.QUERIES[name]
+    assert compare(spark, SF, query[0], whole(query, *MODULO[name]))
+
+
+def test_scope_of_a_cluster_without_a_ninth_id(spark, tmp_path):
+    spark.createDataFrame([(i, "x", "en", "s") for i in (1, 2, 10)], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, [1.0], 0), (2, [1.0], 1), (10, [1.0], 0)], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert {r.cluster: r.scope for r in graph.scope_policy(spark, str(tmp_path)).collect()} == {0: "project", 1: "project"}
+
+
+def test_skills_without_communities_stay(spark):
+    skills = spark.createDataFrame([(1, "a"), (2, "b")], "skill_id bigint, name string")
+    links = spark.createDataFrame([(1, "c-0")], "skill_id bigint, community_id string")
+    assert {r.skill_id: r.communities for r in G.skills_with_communities(skills, links).collect()} == {1: ["c-0"], 2: []}
