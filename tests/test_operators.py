@@ -121,6 +121,24 @@ def test_components(spark, links):
                 changed = True
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
     assert got == {x: min(s) for x, s in near.items()}
+    rounds = {r.node: r.root for r in components(spark.createDataFrame(links, "a bigint, b bigint"), finish=0, hot=3).collect()}
+    assert rounds == got
+
+
+@pytest.mark.parametrize("n,finish", [(10_000, 1_000_000), (3_000, 300), (400, 0)])
+def test_components_of_shuffled_paths(spark, n, finish):
+    """Rounds do not grow with a path's length; a second path of strings stays apart."""
+    order = np.random.default_rng(n).permutation(n)
+    links = [(f"p{a:06d}", f"p{b:06d}") for a, b in zip(order[:-1].tolist(), order[1:].tolist(), strict=True)] + [("q1", "q0"), ("q1", "q1"), ("q1", None)]
+    got = components(spark.createDataFrame(links, "a string, b string"), finish=finish, hot=50).groupBy("root").count().collect()
+    assert {(r.root, r["count"]) for r in got} == {("p000000", n), ("q0", 2)}
+
+
+def test_components_of_a_hub(spark):
+    links = [(2_000, i) for i in range(2_000)]
+    got = components(spark.createDataFrame(links, "a bigint, b bigint"), finish=0, hot=100).select("root").distinct().collect()
+    assert [r.root for r in got] == [0]
+    assert components(spark.createDataFrame([], "a bigint, b bigint"), finish=0).count() == 0
 
 
 def test_similar_pairs_in_blocks(spark, monkeypatch):
