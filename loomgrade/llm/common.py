@@ -2,19 +2,25 @@
 
 Conventions of all operators here:
 - Result columns replace input columns of the same name (compared without case); all other columns pass through.
-- Helper columns start with `__lg_`; an input column of such a name is refused.
+- Helper columns start with `__lg_`; `apart` renames an input column of such a name meanwhile.
+- Batches are worked on in parts of bounded text, so a worker's memory does not follow the batch.
 - A null text counts as an empty one.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgrade.session import ship
+
 #: A-Z to a-z, other ASCII but digits and letters to a space; bytes of other characters stay.
 ALNUM = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: A-Z to a-z.
@@ -41,20 +47,56 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+PART_BYTES = 4 << 20  # text that is worked on at once
+_shared: list[Broadcast] = []
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    """A broadcast of a value of proven size, known to `release`."""
+    held = spark.sparkContext.broadcast(value)
+    _shared.append(held)
+    return held
+
+
+def release() -> None:
+    """Destroy what `share` has broadcast. Only for when every result that uses it has been written."""
+    while _shared:
+        _shared.pop().destroy()
+
+
+def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose first table may have columns of helpers' names; they bear free names while it works."""
+
+    @functools.wraps(operator)
+    def inner(df: DataFrame, *args, **kwargs) -> DataFrame:
+        clash = [c for c in df.columns if c.lower().startswith("__lg_")]
+        if not clash:
+            return operator(df, *args, **kwargs)
+        free = "kept_" + "_" * max(len(c) for c in df.columns)
+        names = {c: f"{free}{i}" for i, c in enumerate(clash)}
+        back = {v: k for k, v in names.items()}
+        done = operator(df.withColumnsRenamed(names), *args, **kwargs)
+        return done.select(*[F.col(f"`{c}`").alias(back.get(c, c)) for c in done.columns])
+
+    return inner
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """`df` less the columns that results will replace."""
     low = {n.lower() for n in names}
-    if any(c.lower().startswith("__lg_") for c in df.columns):
-        raise ValueError("column names that start with __lg_ are reserved")
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in low])
 
 
-def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str, drop: tuple[str, ...] = ()) -> DataFrame:
+def append_columns(
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], ddl: str, drop: tuple[str, ...] = (), sized: str = "text", part_bytes: int = PART_BYTES
+) -> DataFrame:
     """`df` with new columns made batch by batch on the executors, without a shuffle.
 
     make: called once a task; what it returns maps a batch to a list of values for each new column.
     drop: input columns that the batches have but the result has not.
+    sized: the string column by whose bytes batches are cut into parts; a longer value is a part by itself.
     """
+    ship(df.sparkSession)
     new = T.StructType.fromDDL(ddl)
     keep = [c for c in df.columns if c not in drop]
     schema = T.StructType([df.schema[c] for c in keep] + new.fields)
@@ -65,13 +107,19 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(work(batch), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=names)
+        for whole in batches:
+            for a, b in row_parts(whole.num_rows, byte_sizes(whole.column(sized)), part_bytes):
+                batch = whole.slice(a, b - a)
+                made = [x if isinstance(x, pa.Array) else pa.array(x, kind) for x, kind in zip(work(batch), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=names)
 
     return df.mapInArrow(run, schema)
 
 
+def byte_sizes(column: pa.Array) -> list[int]:
+    return [n or 0 for n in pc.binary_length(column).to_pylist()]
+
+
 def row_parts(n: int, sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Cut n rows into runs of at most `most` in total size, one row at least."""
     start, total = 0, 0

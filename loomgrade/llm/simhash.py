@@ -16,8 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrade.llm.common import append_columns, as_bytes, bounded_sample, space_words, without
+from loomgrade.llm.common import apart, append_columns, as_bytes, bounded_sample, share, space_words, without
 from loomgrade.operators.components import components
+from loomgrade.operators.skew import lookup
 from loomgrade.session import materialise, table
 
 SHINGLE = 3
@@ -173,7 +174,7 @@ def near_links(points: DataFrame, reach: int = DISTANCE, shard: int = SHARD, sam
     # 262,144 shards at most: the tree is broadcast and stays below 8 MB; larger shards go by blocks
     depth = min(18, max(0, int(np.ceil(np.log2(max(1, n) / shard)))))
     picked = [r.fp for r in bounded_sample(points.select("fp"), ["fp"], sample).collect()] if depth else []
-    tree = spark.sparkContext.broadcast(Tree(np.array(sorted(picked), np.int64).view(np.uint64), depth, reach))
+    tree = share(spark, Tree(np.array(sorted(picked), np.int64).view(np.uint64), depth, reach))
 
     def deal(batches):
         for batch in batches:
@@ -224,7 +225,8 @@ def assign(prints: DataFrame, reach: int = DISTANCE, shard: int = SHARD) -> Data
     roots = components(near_links(points, reach, shard))
     labelled = materialise(points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first"), "roots")
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    return labelled.join(least, "root").select("fp", "root", "component_id")
+    # a root may have a third of the fingerprints, and a fingerprint, as that of empty texts, a third of the documents
+    return lookup(labelled, "root", least).select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, reach: int = DISTANCE, width: int = SHINGLE, shard: int = SHARD) -> DataFrame:
@@ -236,9 +238,10 @@ def near_duplicates(docs: DataFrame, reach: int = DISTANCE, width: int = SHINGLE
     Repeated rows stay rows. An empty table gives an empty result.
     """
     prints = materialise(with_fingerprints(docs.select("doc_id", "text"), width, keep_text=False), "prints")
-    return prints.join(assign(prints, reach, shard), "fp").select("doc_id", "fp", "root", "component_id")
+    return lookup(prints, "fp", assign(prints, reach, shard)).select("doc_id", "fp", "root", "component_id")
 
 
+@apart
 def deduplicate(docs: DataFrame, reach: int = DISTANCE, width: int = SHINGLE, shard: int = SHARD) -> DataFrame:
     """`docs` with one document of each group of linked ones: that of the least doc_id (null last), ties by the text's hash.
 

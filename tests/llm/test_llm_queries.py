@@ -80,7 +80,7 @@ def test_bpe_against_the_library(spark, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    for r in catalog.queries()["op6_bpe"](spark, SF).where("doc_id < 150").collect():
+    for r in catalog.queries()["op6_bpe"](spark, SF).collect():
         ids = t.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
@@ -93,6 +93,40 @@ def test_toxicity_held_out(spark):
     assert right > 0.93 and not any(r.predicted and not r.toxic for r in got)
 
 
+def test_toxicity_against_brute_force(spark, texts):
+    """Every document's votes over all examples, then the curve that the votes of examples without themselves give."""
+    from test_llm_operators import plain_neighbours
+
+    labels = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            labels[r.doc_id] = max(labels.get(r.doc_id, 0), r.toxic)
+    examples = {}
+    for d in sorted(labels):
+        if d in texts:
+            examples.setdefault(texts[d], [d, 0])[1] |= labels[d]
+    bag = lambda t: Counter(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t)))
+    bags, ids, y = [bag(t) for t in examples], [d for d, _ in examples.values()], [v for _, v in examples.values()]
+    prior = sum(y) / len(y)
+    got = {r.doc_id: r for r in catalog.queries()["op7_toxicity"](spark, SF).collect()}
+    pairs = []
+    for d, t in list(texts.items())[::7]:
+        near = plain_neighbours(bags, y, bag(t), 15)
+        if not near:
+            continue
+        top = plain_neighbours(bags, y, bag(t), 16)
+        if len(top) == 16 and abs(top[14][0] - top[15][0]) < 1e-8:
+            continue  # a tie at the edge: which of them votes is the index's own order
+        vote = (prior + sum(s * s * y[i] for s, i in near)) / (1 + sum(s * s for s, _ in near))
+        pairs.append((math.log(vote / (1 - vote)), math.log(got[d].score / (1 - got[d].score))))
+        assert math.isclose(got[d].evidence[0].cosine, near[0][0], abs_tol=1e-8)
+        assert len({s for s, _ in near[:4]}) < 4 or [e.doc_id for e in got[d].evidence] == [ids[i] for _, i in near[:3]]
+    # one line through all of them: the score is the calibrated vote and nothing else
+    (x0, z0), (x1, z1) = min(pairs), max(pairs)
+    slope = (z1 - z0) / (x1 - x0)
+    assert slope > 0 and len(pairs) > 50 and all(math.isclose(z, z0 + slope * (x - x0), abs_tol=1e-5) for x, z in pairs)
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage against a plain version of it on what its predecessor kept."""
     import corpus_pipeline as P
