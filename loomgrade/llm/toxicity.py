@@ -1,232 +1,290 @@
 """Operator 7, toxicity: distance-weighted votes of the nearest labelled examples by exact TF-IDF cosine.
 
-The classifier is fitted to at most `most_rows` labelled rows, those of the least hashes of their ids. Their words are
-counted on the executors; the words that tell the labels apart best are the terms. Labelled rows of equal term vectors
-are one example with its votes. Block-max inverted lists hold the examples: a query visits blocks of each list, from
-the largest bound on, until no block left can reach the nearest examples. Votes are weighted by cosine and shrunk to
-the share of positives, then calibrated by a logistic curve fitted to left-out votes of the examples themselves.
-The index is bounded by its parameters and is broadcast; every document is scored where it is read, without a shuffle.
+The classifier is fitted to at most `most_rows` labelled rows, those of the least hashes of their ids; that bound is its
+only one. Rows of equal text are one example. Every word of two examples or more is a term. A term weighs by its
+frequency in the text, by how rare it is, and by how much it tells about the label: the square root of its chi-square,
+plus one, per example. So clean and toxic texts alike have vectors and neighbours, while neighbours agree in what matters.
+
+Examples stand in an order that puts like ones together and are cut into blocks. The inverted index holds, for every
+term and block, the greatest weight and the postings, in flat arrays. A query adds up the bounds of each block, visits
+blocks from the greatest bound on, and stops when no bound left reaches its nearest examples: the result is exact.
+Votes are weighted by cosine, shrunk to the share of positives, and calibrated by a logistic curve that is fitted to
+votes of the examples without themselves. The nearest examples' ids and cosines are the evidence.
+The index is bounded by its rows and is broadcast; every document is scored where it is read, without a shuffle.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from loomgrade.llm.common import alnum_words, append_columns, as_bytes, bounded_sample, without
-from loomgrade.session import materialise, table
+from loomgrade.llm.common import alnum_words, apart, append_columns, as_bytes, bounded_sample, share, without
+from loomgrade.session import table
 
-ROWS = 20_000  # labelled rows that are learnt from, at most
-TERMS = 2_048  # terms of the index, at most
-EXAMPLES = 16_384  # different term vectors in the index, at most: those of most rows
+ROWS = 4_096  # labelled rows that are learnt from, at most
 NEAREST = 15
+EVIDENCE = 3  # examples that a score names
 BLOCK = 64
-CHI2 = 30.0  # least chi-square of a term
+FIRST = 4  # blocks that a query visits first; then four times as many, and so on
+SEEDS = 48  # examples that the others are ordered by
 PULL = 10.0  # weight of the identity when the curve is fitted, in rows
-LIFT = 3.0  # a term makes the label at least so many times likelier, or halves the distance to certainty
+KEPT = 2_048  # scores of different term vectors that a task keeps for repeated texts
 
 
-def reach(bounds: list[tuple[float, float]]) -> float:
-    """Greatest product of a query with a unit vector whose weights keep to their blocks' bounds: pairs of weight and bound."""
-    left, total = 1.0, 0.0
-    spare = sum(q * q for q, _ in bounds)
-    for q, b in sorted(bounds, key=lambda x: x[1] / x[0]):
-        # what is left of the unit length goes to the other terms in proportion, unless a bound holds one back
-        if left <= 0 or q * math.sqrt(left / spare) <= b:
-            return total + math.sqrt(max(left, 0.0) * spare)
-        total += q * b
-        left -= b * b
-        spare = max(spare - q * q, 1e-300)
-    return total
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all runs start, start + 1, ..., one run after the other."""
+    total = int(sizes.sum())
+    ends = np.cumsum(sizes)
+    return np.arange(total) + np.repeat(starts - (ends - sizes), sizes)
 
 
 @dataclass
 class Index:
-    """Inverted lists of unit vectors in blocks, with the greatest weight of each block."""
+    """Terms by number; examples' vectors as flat arrays (rows of `row`, terms `term`, counts `count`), sorted by row and term."""
 
     terms: dict[bytes, int]
-    idf: np.ndarray
-    vectors: list[tuple[tuple[int, int], ...]]  # term and count
-    ones: np.ndarray  # positive rows of each example
-    rows: np.ndarray  # rows of each example
-    prior: float
-    empty: float  # share of positives among rows without terms, shrunk
+    weight: np.ndarray  # of each term
+    row: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    positive: np.ndarray  # label of each example
+    ids: np.ndarray  # doc_id of each example
+    prior: float  # share of positives
+    empty: float  # share of positives among examples without terms, shrunk
     slope: float = 1.0
     shift: float = 0.0
+    blocks: int = field(init=False, default=0)
 
     def __post_init__(self):
-        lists: list[list[tuple[int, float]]] = [[] for _ in self.idf]
-        self.units = [self.unit(v) for v in self.vectors]
-        for e, v in enumerate(self.units):
-            for t, w in v:
-                lists[t].append((e, w))
-        self.blocks = []
-        for own in lists:
-            # examples of like weight share a block, so its bound is tight
-            own = sorted(own, key=lambda x: (-x[1], x[0]))
-            self.blocks.append([([e for e, _ in b], b[0][1]) for b in (own[i : i + BLOCK] for i in range(0, len(own), BLOCK))])
-
-    def unit(self, vector) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in vector]
-        norm = math.sqrt(sum(w * w for _, w in raw)) or 1.0
-        return [(t, w / norm) for t, w in raw]
-
-    def vector(self, words: list[bytes]) -> tuple[tuple[int, int], ...]:
+        n = len(self.positive)
+        raw = (1 + np.log(np.maximum(self.count, 1))) * self.weight[self.term]
+        norm = np.sqrt(np.bincount(self.row, raw * raw, minlength=n))
+        value = raw / np.where(norm > 0, norm, 1)[self.row]
+        place = np.empty(n, np.int64)
+        place[self._order(value, n)] = np.arange(n)
+        row = place[self.row]
+        self.positive = self.positive[np.argsort(place)] if n else self.positive
+        self.ids = self.ids[np.argsort(place)] if n else self.ids
+        order = np.lexsort((row, self.term))
+        row, term, count, value = row[order], self.term[order], self.count[order], value[order]
+        self.posting, self.value = row.astype(np.int32), value
+        self.blocks = -(-n // BLOCK)
+        # an entry is a term in a block
+        block = row // BLOCK
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
+        self.entry_block = block[first].astype(np.int32)
+        self.entry_start = np.r_[first, len(row)].astype(np.int64)
+        self.entry_most = np.maximum.reduceat(value, first) if len(row) else np.zeros(0)
+        self.entry_at = np.searchsorted(term[first], np.arange(len(self.weight) + 1))
+        # the examples' own vectors, by place
+        order = np.lexsort((term, row))
+        self.row, self.term, self.count = row[order], term[order], count[order]
+        self.row_at = np.searchsorted(self.row, np.arange(n + 1))
+
+    def _order(self, value: np.ndarray, n: int) -> np.ndarray:
+        """Examples by the most like of a few seeds, so that a block holds like vectors and its bounds are tight."""
+        best, near = np.full(n, -1.0), np.zeros(n, np.int64)
+        dense = np.zeros(len(self.weight))
+        for i, seed in enumerate(np.linspace(0, max(n - 1, 0), min(n, SEEDS)).astype(np.int64)):
+            own = slice(*np.searchsorted(self.row, [seed, seed + 1]))
+            dense[self.term[own]] = value[own]
+            like = np.bincount(self.row, dense[self.term] * value, minlength=n)
+            dense[self.term[own]] = 0
+            closer = like > best
+            best[closer], near[closer] = like[closer], i
+        return np.lexsort((-best, near))
+
+    def vector(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms (ascending) and counts of a text's words."""
         get = self.terms.get
         counts = Counter(t for t in map(get, words) if t is not None)
-        return tuple(sorted(counts.items()))
-
-    def nearest(self, vector, k: int = NEAREST, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of greatest cosine (ties: least number), exactly; only examples that share a term."""
-        query = self.unit(vector)
-        weight = dict(query)
-        heads = {t: 0 for t, _ in query if self.blocks[t]}
-        seen: set[int] = set()
-        best: list[tuple[float, int]] = []  # a heap of cosine and minus number
-        while heads:
-            if len(best) == k and reach([(weight[t], self.blocks[t][h][1]) for t, h in heads.items()]) < best[0][0] - 1e-12:
-                break
-            t = max(heads, key=lambda x: (weight[x] * self.blocks[x][heads[x]][1], -x))
-            for e in self.blocks[t][heads[t]][0]:
-                if e not in seen and e != skip:
-                    seen.add(e)
-                    item = (sum(weight.get(u, 0.0) * w for u, w in self.units[e]), -e)
-                    if len(best) < k:
-                        heapq.heappush(best, item)
-                    elif item > best[0]:
-                        heapq.heapreplace(best, item)
-            heads[t] += 1
-            if heads[t] == len(self.blocks[t]):
-                del heads[t]
-        return sorted(((s, -e) for s, e in best), key=lambda x: (-x[0], x[1]))
-
-    def vote(self, vector, skip: int = -1) -> float:
-        """Share of positives among the nearest, weighted by cosine and rows, shrunk to the prior by one row's weight."""
-        if not vector:
-            return self.empty
-        top = self.nearest(vector, skip=skip)
-        won, total = self.prior, 1.0
-        for s, e in top:
-            # an example's own rows but the one left out vote with it; many equal rows count by their root
-            w = s * s * math.sqrt(self.rows[e])
-            won += w * self.ones[e] / self.rows[e]
-            total += w
-        return won / total
-
-    def score(self, vector) -> float:
-        v = min(max(self.vote(vector), 1e-6), 1 - 1e-6)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(v / (1 - v)) + self.shift))))
+        pairs = np.array(sorted(counts.items()), np.int64).reshape(-1, 2)
+        return pairs[:, 0], pairs[:, 1]
+
+    def example(self, e: int) -> tuple[np.ndarray, np.ndarray]:
+        own = slice(self.row_at[e], self.row_at[e + 1])
+        return self.term[own], self.count[own]
+
+    def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = NEAREST, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k examples of greatest cosine (ties: least place), exactly; only examples that share a term."""
+        raw = (1 + np.log(counts)) * self.weight[terms]
+        norm = math.sqrt(float(raw @ raw))
+        if not norm:
+            return np.zeros(0, np.int64), np.zeros(0)
+        query = raw / norm
+        start, stop = self.entry_at[terms], self.entry_at[terms + 1]
+        entries = _runs(start, stop - start)
+        weight = np.repeat(query, stop - start)
+        block = self.entry_block[entries]
+        bound = np.bincount(block, weight * self.entry_most[entries], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        score = np.zeros(len(self.positive))
+        done, step, least = 0, FIRST, 0.0
+        while done < len(order) and bound[order[done]] > 0 and bound[order[done]] >= least - 1e-9:
+            some = order[done : done + step]
+            some = some[(bound[some] > 0) & (bound[some] >= least - 1e-9)]
+            done, step = done + step, 4 * step
+            visited = np.zeros(self.blocks, bool)
+            visited[some] = True
+            # a block's postings add up term by term, whichever blocks are visited with it
+            own = np.flatnonzero(visited[block])
+            e = entries[own]
+            size = self.entry_start[e + 1] - self.entry_start[e]
+            p = _runs(self.entry_start[e], size)
+            score += np.bincount(self.posting[p], np.repeat(weight[own], size) * self.value[p], minlength=len(score))
+            if k < len(score):
+                least = np.partition(score if skip < 0 else np.delete(score, skip), -k)[-k] if len(score) - (skip >= 0) >= k else 0.0
+        score = np.round(score, 9)
+        if skip >= 0:
+            score[skip] = 0
+        places = np.flatnonzero((score >= round(least, 9)) & (score > 0))
+        places = places[np.lexsort((places, -score[places]))[:k]]
+        return places, score[places]
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """Share of positives among the nearest, weighted by squared cosine and shrunk to the prior by one row's weight; the nearest."""
+        if not len(terms):
+            return self.empty, np.zeros(0, np.int64), np.zeros(0)
+        places, cosine = self.nearest(terms, counts, skip=skip)
+        w = cosine * cosine
+        return float((self.prior + (w * self.positive[places]).sum()) / (1 + w.sum())), places, cosine
+
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float]]]:
+        """Calibrated score, and the nearest examples' ids with their cosines."""
+        vote, places, cosine = self.vote(terms, counts)
+        v = min(max(vote, 1e-6), 1 - 1e-6)
+        s = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log(v / (1 - v)) + self.shift))))
+        return s, list(zip(self.ids[places[:EVIDENCE]].tolist(), cosine[:EVIDENCE].tolist(), strict=True))
 
     def calibrate(self) -> None:
         """Fit the logistic curve to votes of examples without themselves; Newton steps with a pull to the identity."""
-        votes = np.array([self.vote(v, skip=e) for e, v in enumerate(self.vectors)] + [self.empty] * (1 if self.prior > 0 else 0))
+        votes = np.array([self.vote(*self.example(e), skip=e)[0] for e in range(len(self.positive))])
         if not len(votes):
             return
-        n = np.concatenate((self.rows, [1.0] * (len(votes) - len(self.rows)))).astype(float)
-        y = np.concatenate((self.ones / np.maximum(self.rows, 1), [self.empty] * (len(votes) - len(self.rows))))
-        x = np.log(np.clip(votes, 1e-6, 1 - 1e-6) / (1 - np.clip(votes, 1e-6, 1 - 1e-6)))
+        v, y = np.clip(votes, 1e-6, 1 - 1e-6), self.positive
+        x = np.log(v / (1 - v))
         a, b = 1.0, 0.0
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            g = np.array([(n * (p - y) * x).sum() + PULL * (a - 1), (n * (p - y)).sum() + PULL * b])
-            d = n * p * (1 - p)
+            g = np.array([((p - y) * x).sum() + PULL * (a - 1), (p - y).sum() + PULL * b])
+            d = p * (1 - p)
             h = np.array([[(d * x * x).sum() + PULL, (d * x).sum()], [(d * x).sum(), d.sum() + PULL]])
             step = np.clip(np.linalg.solve(h, g), -1, 1)
             a, b = a - step[0], b - step[1]
             if abs(step).max() < 1e-9:
                 break
-        self.slope, self.shift = min(max(a, 0.1), 10.0), b
+        self.slope, self.shift = float(min(max(a, 0.1), 10.0)), float(b)
 
 
 def learnable(labels: DataFrame) -> DataFrame:
     """doc_id, y: labels that may be learnt from; a doc_id of several labels counts as toxic if one of them says so."""
-    return labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 <> 0")
+    return known.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+
+
+def term_weights(d: np.ndarray, p: np.ndarray, n: int, ones: int) -> np.ndarray:
+    """Of terms in d of n examples, p of them among `ones` positives: rarity times the root of chi-square (plus one) per example."""
+    idf = np.log((n + 1) / (d + 1)) + 1
+    zeros = n - ones
+    if not ones or not zeros:
+        return idf
+    chi = n * (p * zeros - (d - p) * ones) ** 2 / (d * (n - d + 0.5) * ones * zeros)
+    return idf * np.sqrt((chi + 1) / n)
+
+
+def build(words: pa.ListArray, counts: pa.ListArray, y: np.ndarray, ids: np.ndarray) -> Index:
+    """The index of examples: each one's different words with their counts."""
+    n, ones = len(y), int(y.sum())
+    row = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    coded = words.flatten().dictionary_encode()
+    word, count = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False)
+    d = np.bincount(word, minlength=len(coded.dictionary))
+    kept = np.flatnonzero(d >= 2)
+    number = np.full(len(d), -1, np.int64)
+    number[kept] = np.arange(len(kept))
+    names = coded.dictionary.take(pa.array(kept)).to_pylist()
+    on = number[word] >= 0 if len(word) else np.zeros(0, bool)
+    row, term, count = row[on], number[word[on]], count[on].astype(np.int64)
+    p = np.bincount(term, y[row], minlength=len(kept))
+    prior = ones / n if n else 0.0
+    bare = np.bincount(row, minlength=n) == 0
+    empty = (float(y[bare].sum()) + prior) / (float(bare.sum()) + 1)
+    order = np.lexsort((term, row))
+    index = Index({w: i for i, w in enumerate(names)}, term_weights(d[kept], p, n, ones), row[order], term[order], count[order], y.astype(float), ids, prior, empty)
+    index.calibrate()
+    return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = ROWS, most_terms: int = TERMS, most_examples: int = EXAMPLES) -> Index:
-    """The index of labelled rows. docs: doc_id, text; labels: doc_id, toxic. Without any labels every score is 0."""
-    spark = docs.sparkSession
-    own = spark.createDataFrame(sorted(bounded_sample(learnable(labels), ["doc_id"], most_rows).collect())[:most_rows], "doc_id bigint, y int")
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = ROWS) -> Index:
+    """The index of labelled rows. docs: doc_id, text; labels: doc_id, toxic. Without positive labels every score is 0."""
+    known = learnable(labels)
+    own = bounded_sample(known, ["doc_id"], most_rows).collect()
+    own = docs.sparkSession.createDataFrame(sorted(own)[:most_rows], "doc_id bigint, y int")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
+    # copies of a text would make each of its words look like a sign of its label
+    text = F.coalesce("text", F.lit(""))
+    rows = rows.groupBy(F.xxhash64(text).alias("h")).agg(F.max("y").alias("y"), F.min("doc_id").alias("doc_id"), F.max(text).alias("text"))
 
-    def words():
+    def bags():
         def work(batch):
-            found = [Counter(alnum_words(t)) for t in as_bytes(batch.column("text"))]
-            return [[[{"w": w.decode(), "n": n} for w, n in f.items()] for f in found]]
+            found = [sorted(Counter(alnum_words(t)).items()) for t in as_bytes(batch.column("text"))]
+            return [[[w for w, _ in f] for f in found], [[n for _, n in f] for f in found]]
 
         return work
 
-    # copies of a text would make each of its words look like a sign of its label
-    rows = rows.groupBy(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).agg(F.max("y").alias("y"), F.max("text").alias("text"))
-    bags = materialise(append_columns(rows, words, "bag array<struct<w:string,n:bigint>>", drop=("text",)), "labelled")
-    n, ones = bags.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not n or not ones:
-        return Index({}, np.zeros(0), [], np.zeros(0), np.zeros(0), 0.0, 0.0)
-    n, ones = int(n), int(ones)
-    seen = bags.select("y", F.explode("bag.w").alias("w")).groupBy("w").agg(F.count("*").alias("d"), F.sum("y").alias("p"))
-    zeros, prior = n - ones, ones / n
-    # chi-square of term by label; only terms that speak for the label, so that clean documents mostly have none
-    chi = F.expr(f"double({n}) * pow(double(p) * {zeros} - double(d - p) * {ones}, 2) / (double(d) * ({n} - d + 0.5) * {ones}.0 * {max(zeros, 1)}.0)")
-    best = seen.withColumn("chi", chi).where((F.col("chi") >= CHI2) & (F.col("p") >= min(LIFT * prior, (1 + prior) / 2) * F.col("d"))).orderBy(F.desc("chi"), "w").limit(most_terms).select("w", "d").collect()
-    terms = {r.w.encode(): i for i, r in enumerate(best)}
-    # terms weigh by how rare they are among rows of label 0
-    idf = np.array([math.log((n + 1) / (r.d + 1)) + 1 for r in best])
-    picked = spark.createDataFrame([(r.w, i) for i, r in enumerate(best)], "w string, t int")
-    flat = bags.select("h", "y", F.explode("bag").alias("b")).select("h", "y", "b.w", "b.n").join(F.broadcast(picked), "w")
-    vectors = flat.groupBy("h").agg(F.max("y").alias("y"), F.sort_array(F.collect_list(F.struct("t", F.col("n").cast("int").alias("n")))).alias("v"))
-    found = vectors.groupBy("v").agg(F.count("*").alias("rows"), F.sum("y").alias("ones")).orderBy(F.desc("rows"), "v").limit(most_examples).collect()
-    with_terms = vectors.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    bare, bare_ones = n - with_terms[0], ones - with_terms[1]
-    index = Index(
-        terms, idf, [tuple((t, c) for t, c in r.v) for r in found], np.array([r.ones for r in found], float), np.array([r.rows for r in found], float), prior, (bare_ones + prior) / (bare + 1)
-    )
-    index.calibrate()
-    return index
+    # at most `most_rows` rows reach the driver
+    made = append_columns(rows, bags, "words array<binary>, counts array<int>", drop=("text",)).toArrow()
+    made = made.sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks()
+    flat = lambda c: made.column(c).chunk(0) if made.num_rows else pa.array([], made.schema.field(c).type)
+    return build(flat("words"), flat("counts"), np.array(made.column("y").to_pylist(), np.int64), np.array(made.column("doc_id").to_pylist(), np.int64))
 
 
+@apart
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """Add score (0 to 1) and predicted (1 from 0.5 on).
+    """Add score (0 to 1), predicted (1 from 0.5 on) and evidence (doc_id and cosine of the nearest examples, nearest first).
 
-    docs: a column text, any others. Null and empty texts, and texts without a term, have the score of such labelled rows.
-    Repeated rows score alike; an empty table gives an empty result.
+    docs: a column text, any others. Null and empty texts, and texts without a term, have the score of such examples and
+    no evidence. Ties of cosine (to nine places) go by the examples' fixed order. Repeated rows score alike; an empty
+    table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = share(docs.sparkSession, index)
 
     def make():
         own, known = shared.value, {}
 
         def work(batch):
-            out = []
+            out, why = [], []
             for text in as_bytes(batch.column("text")):
-                v = own.vector(alnum_words(text))
-                s = known.get(v)
-                if s is None:
-                    if len(known) > 100_000:
+                terms, counts = own.vector(alnum_words(text))
+                key = terms.astype(np.int32).tobytes() + counts.astype(np.int32).tobytes()
+                got = known.get(key)
+                if got is None:
+                    if len(known) >= KEPT:
                         known.clear()
-                    s = known[v] = own.score(v) if own.prior else 0.0
-                out.append(s)
-            return [out, [int(s >= 0.5) for s in out]]
+                    got = known[key] = own.score(terms, counts) if own.prior else (0.0, [])
+                out.append(got[0])
+                why.append([{"doc_id": i, "cosine": c} for i, c in got[1]])
+            return [out, [int(s >= 0.5) for s in out], why]
 
         return work
 
-    return append_columns(without(docs, ["score", "predicted"]), make, "score double, predicted int")
+    return append_columns(without(docs, ["score", "predicted", "evidence"]), make, "score double, predicted int, evidence array<struct<doc_id:bigint,cosine:double>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those predicted toxic."""
     index = fit(docs, labels)
-    return score(docs, index).where("predicted = 0").drop("score", "predicted")
+    return score(docs, index).where("predicted = 0").drop("score", "predicted", "evidence")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held_out = F.expr("coalesce(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0, false)")
-    return score(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return score(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
