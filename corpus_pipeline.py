@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrade.llm import bpe, decontamination, line_dedup, simhash, toxicity
+from loomgrade.llm.common import release
 from loomgrade.session import materialise, ship, table
 
 
@@ -57,9 +58,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ship(spark)
-    encoded = bpe.encode(docs.select(*OWN), public_tokenizers.path("byte_bpe_50k.json"))
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source"), public_tokenizers.path("byte_bpe_50k.json"), check=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", "round_trip")
 
 
 STAGES = [
@@ -76,6 +76,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs if i == 0 else materialise(docs, name), sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        release()  # what the stage has broadcast is no longer needed
+    return STAGES[-1][1](spark, docs, sf_dir)
