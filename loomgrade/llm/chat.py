@@ -46,6 +46,12 @@ def _is_text(p: Column) -> Column:
     return F.coalesce(p["kind"], F.lit("text")) == "text"
 
 
+def text_part(text: Column) -> Column:
+    """A text as parts: one, of kind text."""
+    fields = [F.lit("text").alias("kind"), text.alias("text"), *[F.lit(None).alias(c) for c in ("ref", "width", "height", "millis", "pages")]]
+    return F.array(F.struct(*fields)).cast(PARTS)
+
+
 def flatten_parts(parts: Column) -> tuple[Column, Column]:
     """A turn's text with placeholders, in the order of its parts, and its attachments as an array of structs.
 
@@ -66,10 +72,7 @@ def format_chats(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -
     (null first), ties by role and text, so repeated rows are repeated turns. Null roles and texts are empty. A null
     conv_id is a conversation like any other. One conversation is one output value; it must fit in a row, as the output must.
     """
-    if "parts" in messages.columns:
-        text, refs = flatten_parts(F.col("parts"))
-    else:
-        text, refs = escape(F.col("text")), F.array().cast("array<struct<n:bigint,kind:string,ref:string,tokens:bigint>>")
+    text, refs = flatten_parts(F.col("parts") if "parts" in messages.columns else text_part(F.col("text")))
     turns = messages.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), text.alias("body"), refs.alias("refs")).alias("t"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     head = lambda x: F.concat(F.lit("<|turn:"), escape(x["role"]), F.lit("|>"))
@@ -92,19 +95,32 @@ def format_chats(messages: DataFrame, learn: tuple[str, ...] = ("assistant",)) -
     return out.select("conv_id", whole.alias("formatted"), spans.alias("spans"), refs.alias("attachments")).withColumn("tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda s, r: s + r["tokens"]))
 
 
-def read_back(chats: DataFrame) -> DataFrame:
-    """What formatted strings and their spans say: conv_id, turns (role and text with placeholders), learnt text, lengths."""
+def read_back(chats: DataFrame, *more: str) -> DataFrame:
+    """What formatted strings and their spans say: conv_id, turns (role and text with placeholders), learnt text, lengths; and `more` columns."""
     marks = F.filter(F.split("formatted", r"<\|end\|>"), lambda x: F.startswith(x, F.lit("<|turn:")))
     turns = F.transform(marks, lambda x: F.struct(unescape(F.substring_index(F.substr(x, F.lit(8)), "|>", 1)).alias("role"), unescape(F.substr(x, F.instr(x, "|>") + 2)).alias("text")))
     learnt = F.array_join(F.transform("spans", lambda s: unescape(F.substr(F.col("formatted"), (s["start"] + 1).cast("int"), s["size"].cast("int")))), "")
-    return chats.select("conv_id", turns.alias("turns"), learnt.alias("learnt"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    return chats.select("conv_id", turns.alias("turns"), learnt.alias("learnt"), F.length("formatted").cast("bigint").alias("formatted_chars"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation through the visitor; the last columns say what it found beside text."""
     own = spark.sql("SELECT -7L AS conv_id, x AS turn, IF(x = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM (SELECT explode(array(0L, 1L)) AS x)")
-    back = read_back(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    chats = format_chats(rows.select("conv_id", "turn", "role", text_part(F.col("text")).alias("parts")))
+    found = chats.select("conv_id", "formatted", "spans", F.size("attachments").cast("bigint").alias("n_attachments"), F.col("tokens").alias("attachment_tokens"))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("learnt").cast("bigint").alias("loss_chars"), F.sha2(F.col("learnt"), 256).alias("loss_sha256"), "formatted_chars")
+    back = read_back(found, "n_attachments", "attachment_tokens")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(lines, 256).alias("turns_sha256"),
+        F.length("learnt").cast("bigint").alias("loss_chars"),
+        F.sha2(F.col("learnt"), 256).alias("loss_sha256"),
+        "formatted_chars",
+        "n_attachments",
+        "attachment_tokens",
+    )
 
 
 SQL = """
@@ -114,6 +130,6 @@ e AS (SELECT *, replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>',
 SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
   sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
-  sum(length(et) + length(er) + 16)::BIGINT AS formatted_chars
+  sum(length(et) + length(er) + 16)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, 0::BIGINT AS attachment_tokens
 FROM e GROUP BY conv_id
 """

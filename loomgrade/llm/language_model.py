@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrade.llm.common import as_bytes, row_parts, space_words, without
+from loomgrade.llm.common import apart, as_bytes, row_parts, space_words, without
 from loomgrade.session import materialise, ship, table
 
 KNOWN_WORDS = 65_536  # words whose counts are broadcast, at most
@@ -345,6 +345,7 @@ def classes(words: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     return np.array([get(w, rest) for w in tokens] + [get(END, rest)], np.int64)
 
 
+@apart
 def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataFrame) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to every row.
 

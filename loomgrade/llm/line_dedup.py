@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrade.llm.common import without
+from loomgrade.llm.common import apart, without
 from loomgrade.session import materialise, table
 
 THRESHOLD = 1
@@ -176,6 +176,7 @@ def _crowded(own: DataFrame, probe: DataFrame, texts: DataFrame, threshold: int,
         probe = probe.select("key", "digest", "first", "d", _choose(at, [_rest(line, segments(line, n - d, k)[i][0] + s, segments(line, n - d, k)[i][1]) for d, i, s in specs]).alias("line"))
 
 
+@apart
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS, crowd: int = CROWD) -> DataFrame:
     """`docs` with duplicate lines taken out of text, and n_lines, n_kept (lines before and after).
 

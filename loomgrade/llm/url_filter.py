@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrade.llm.common import LOWER, append_columns, as_bytes, without
+from loomgrade.llm.common import LOWER, apart, append_columns, as_bytes, without
 from loomgrade.session import table
 
 #: One of these is enough.
@@ -92,6 +92,7 @@ def _inner(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
+@apart
 def filter_urls(pages: DataFrame, vocabulary: Vocabulary | None = None, rules: Rules = RULES, url_col: str = "url") -> DataFrame:
     """Add host, path, rule, strict_terms, soft_terms and verdict (allow or block) to every row.
 
@@ -115,7 +116,7 @@ def filter_urls(pages: DataFrame, vocabulary: Vocabulary | None = None, rules: R
 
         return work
 
-    return append_columns(without(pages, [c.split()[0] for c in results.split(", ")]), make, results)
+    return append_columns(without(pages, [c.split()[0] for c in results.split(", ")]), make, results, sized=url_col)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

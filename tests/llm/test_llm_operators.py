@@ -87,8 +87,9 @@ def test_blocks_of_items_agree_and_cuts(spark):
     word = lambda: f"w{rng.randrange(30)}"
     items = spark.createDataFrame([(i, " ".join(word() for _ in range(rng.randrange(1, 9)))) for i in range(25)], "item_id bigint, text string")
     docs = spark.createDataFrame([(i, " ".join(word() for _ in range(60))) for i in range(25)], "doc_id bigint, text string")
-    whole, parts = ({r.doc_id: (r.n_hit, r["items"], r.longest_match) for r in decon(docs, items, window=3, block_words=n).collect()} for n in (10**6, 40))
-    assert whole == parts and any(h for h, _, _ in whole.values())
+    sizes = ({}, {"block_words": 40}, {"block_words": 40, "pass_bytes": 1}, {"block_words": 40, "pass_bytes": 20_000})
+    whole, *parts = ({r.doc_id: (r.n_hit, r["items"], r.longest_match) for r in decon(docs, items, window=3, **k).collect()} for k in sizes)
+    assert all(p == whole for p in parts) and any(h for h, _, _ in whole.values())
     item = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
     doc = spark.createDataFrame([(1, "Keep, One TWO three; four - this")], "doc_id bigint, text string")
     assert decon(doc, item, window=4, action="cut").first().text == "Keep,  - this" and decon(doc, item, window=4, action="drop").count() == 0
