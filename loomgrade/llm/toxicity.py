@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,7 +68,7 @@ class Index:
         raw = (1 + np.log(np.maximum(self.count, 1))) * self.weight[self.term]
         norm = np.sqrt(np.bincount(self.row, raw * raw, minlength=n))
         value = raw / np.where(norm > 0, norm, 1)[self.row]
-        place = np.empty(n, np.int64)
+        place = np.empty(n, np.int32)
         place[self._order(value, n)] = np.arange(n)
         row = place[self.row]
         self.positive = self.positive[np.argsort(place)] if n else self.positive
@@ -83,13 +84,13 @@ class Index:
         self.dense[row[at >= 0], at[at >= 0]] = value[at >= 0]
         every = (row, term, count)
         row, term, value = row[at < 0], term[at < 0], value[at < 0]
-        self.posting, self.value = row, value
+        self.posting, self.value = row.astype(np.int32), value
         self.blocks = -(-n // BLOCK)
         # an entry is a term in a block
         block = row // BLOCK
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])]) if len(row) else np.zeros(0, np.int64)
-        self.entry_block = block[first]
-        self.entry_start, self.entry_size = first, np.diff(np.r_[first, len(row)])
+        self.entry_block = block[first].astype(np.int32)
+        self.entry_start, self.entry_size = first.astype(np.int32), np.diff(np.r_[first, len(row)]).astype(np.int32)
         self.entry_most = np.maximum.reduceat(value, first) if len(row) else np.zeros(0)
         self.entry_at = np.searchsorted(term[first], np.arange(len(self.weight) + 1))
         # the examples' own vectors, by place
@@ -98,6 +99,10 @@ class Index:
         self.row, self.term, self.count = row[order], term[order], count[order]
         self.row_at = np.searchsorted(self.row, np.arange(n + 1))
 
+    def __getstate__(self) -> dict:
+        """What scoring needs; the examples' own vectors stay behind."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("row", "term", "count", "row_at")}
+
     def _order(self, value: np.ndarray, n: int) -> np.ndarray:
         """Examples by the most like of a few seeds, so that a block holds like vectors and its bounds are tight."""
         best, near = np.full(n, -1.0), np.zeros(n, np.int64)
@@ -221,22 +226,24 @@ def term_weights(d: np.ndarray, p: np.ndarray, n: int, ones: int) -> np.ndarray:
 def build(words: pa.ListArray, counts: pa.ListArray, y: np.ndarray, ids: np.ndarray) -> Index:
     """The index of examples: each one's different words with their counts."""
     n, ones = len(y), int(y.sum())
-    row = np.repeat(np.arange(n), np.diff(words.offsets.to_numpy()))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(words.offsets.to_numpy()))
     coded = words.flatten().dictionary_encode()
-    word, count = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), counts.flatten().to_numpy(zero_copy_only=False)
+    word, count = coded.indices.to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
     d = np.bincount(word, minlength=len(coded.dictionary))
     kept = np.flatnonzero(d >= 2)
-    number = np.full(len(d), -1, np.int64)
+    number = np.full(len(d), -1, np.int32)
     number[kept] = np.arange(len(kept))
     names = coded.dictionary.take(pa.array(kept)).to_pylist()
     on = number[word] >= 0 if len(word) else np.zeros(0, bool)
-    row, term, count = row[on], number[word[on]], count[on].astype(np.int64)
+    row, term, count = row[on], number[word[on]], count[on]
+    del word, on, coded
     p = np.bincount(term, y[row], minlength=len(kept))
     prior = ones / n if n else 0.0
     bare = np.bincount(row, minlength=n) == 0
     empty = (float(y[bare].sum()) + prior) / (float(bare.sum()) + 1)
-    order = np.lexsort((term, row))
-    index = Index({w: i for i, w in enumerate(names)}, term_weights(d[kept], p, n, ones), row[order], term[order], count[order], y.astype(float), ids, prior, empty)
+    order = np.lexsort((term, row)).astype(np.int32)
+    row, term, count = row[order], term[order], count[order]
+    index = Index({w: i for i, w in enumerate(names)}, term_weights(d[kept], p, n, ones), row, term, count, y.astype(float), ids, prior, empty)
     index.calibrate()
     return index
 
@@ -260,9 +267,15 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = ROWS) -> Index:
 
     # at most `most_rows` rows reach the driver
     made = append_columns(rows, bags, "words array<binary>, counts array<int>", drop=("text",)).toArrow()
-    made = made.sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks()
-    flat = lambda c: made.column(c).chunk(0) if made.num_rows else pa.array([], made.schema.field(c).type)
-    return build(flat("words"), flat("counts"), np.array(made.column("y").to_pylist(), np.int64), np.array(made.column("doc_id").to_pylist(), np.int64))
+    order = pc.sort_indices(made.select(["doc_id", "h"]), [("doc_id", "ascending"), ("h", "ascending")])
+    words, counts = (_one(made.column(c)).take(order) for c in ("words", "counts"))
+    y, ids = (made.column(c).take(order).to_numpy() for c in ("y", "doc_id"))
+    del made
+    return build(words, counts, y.astype(np.int64), ids.astype(np.int64))
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 @apart
