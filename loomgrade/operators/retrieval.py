@@ -37,10 +37,13 @@ class Config:
     rescue: float = 0.15
     prior_cap: float = 0.15
     prior_days: float = 30.0
+    boost_mode: str = "off"
 
     def __post_init__(self):
         if self.candidates < 1 or self.results < 1 or self.subunits < 1:
             raise ValueError("limits are positive")
+        if self.boost_mode not in ("off", "binary", "centroid"):
+            raise ValueError(f"no such boost mode: {self.boost_mode}")
 
 
 DEFAULTS = Config()
@@ -91,9 +94,12 @@ def subunit_scores(candidates: DataFrame, subunits: DataFrame, queries: DataFram
 
     candidates: query_id, skill_id; subunits: skill_id, subunit_id, title, content, svec; queries: query_id, prompt, qvec.
     """
-    rows = candidates.select("query_id", "skill_id").join(subunits, "skill_id").join(queries.select("query_id", "prompt", "qvec"), "query_id")
+    # words are split once a sub-section and once a query, before they meet
+    subunits = subunits.withColumn("__cw", X.words(F.concat_ws(" ", "title", "content")))
+    queries = queries.select("query_id", "qvec", X.words(F.col("prompt")).alias("__pw"))
+    rows = candidates.select("query_id", "skill_id").join(subunits, "skill_id").join(queries, "query_id")
     semantic = six(F.greatest(V.cosine(F.col("qvec"), F.col("svec")), F.lit(0.0)))
-    lexical = X.overlap(X.words(F.col("prompt")), X.words(F.concat_ws(" ", "title", "content")))
+    lexical = X.overlap(F.col("__pw"), F.col("__cw"))
     return rows.select("query_id", "skill_id", "subunit_id", "title", "content", semantic.alias("semantic"), six(lexical).alias("lexical")).withColumn("relevance", F.round(0.75 * F.col("semantic") + 0.25 * F.col("lexical"), 8))
 
 
@@ -125,18 +131,52 @@ def centroids(rows: DataFrame) -> DataFrame:
     return means.groupBy("community_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def ranked_candidates(queries: DataFrame, skills: DataFrame, subunits: DataFrame, usage: DataFrame, now: str, config: Config = DEFAULTS) -> DataFrame:
-    """Every scope's candidates of each query that reach the floor, with their score and rank in the scope."""
-    found = cosine_topk(queries, skills, config.candidates, ("query_id", "scope")).drop("rank", "qvec", "vec")
+def community_boost(found: DataFrame, mode: str, communities: DataFrame | None) -> DataFrame:
+    """`found` with community_boost by mode: binary (0.2 for members of a community), centroid (their community's cosine to the query), off.
+
+    found: query_id, skill_id, qvec; communities: skill_id, community_id, vec of members. A skill of several communities
+    counts with the least id. Without communities there is no boost.
+    """
+    if mode == "off" or communities is None:
+        return found.withColumn("community_boost", F.lit(0.0))
+    own = communities.groupBy("skill_id").agg(F.min("community_id").alias("community_id"))
+    if mode == "binary":
+        rows = found.join(own, "skill_id", "left")
+        return rows.withColumn("community_boost", F.when(F.col("community_id").isNotNull(), 0.2).otherwise(0.0)).drop("community_id")
+    centres = centroids(communities.join(own, ["skill_id", "community_id"], "left_semi").select("community_id", "vec"))
+    rows = found.join(own, "skill_id", "left").join(centres, "community_id", "left")
+    boost = F.least(F.greatest(V.cosine(F.col("qvec"), F.col("centroid")), F.lit(0.0)), F.lit(1.0))
+    return rows.withColumn("community_boost", six(F.coalesce(boost, F.lit(0.0)))).drop("community_id", "centroid")
+
+
+def scored_candidates(
+    queries: DataFrame, skills: DataFrame, subunits: DataFrame, usage: DataFrame, now: str, config: Config = DEFAULTS, communities: DataFrame | None = None
+) -> DataFrame:
+    """Every scope's candidates of each query that reach the floor, with their parts, score and place (`rank`) by score in the scope."""
+    # vectors alone meet the queries; texts join what is left
+    found = cosine_topk(queries.select("query_id", "qvec"), skills.select("skill_id", "scope", "vec"), config.candidates, ("query_id", "scope")).drop("rank", "vec")
+    found = community_boost(found, config.boost_mode, communities).drop("qvec")
     parts = evidence(subunit_scores(found, subunits, queries), config.subunits)
     prior = usage_prior(usage, now, config).drop("uses")
     rows = found.join(parts, ["query_id", "skill_id"], "left").join(prior, "skill_id", "left")
-    lexical = six(X.overlap(X.words(F.col("prompt")), X.words(F.col("text"))))
-    rows = weighted_score(rows.withColumn("community_boost", F.lit(0.0)).withColumn("lexical", lexical), config)
+    asked = queries.select("query_id", X.words(F.col("prompt")).alias("__pw"))
+    texts = skills.select("skill_id", X.words(F.col("text")).alias("__tw"))
+    rows = rows.join(asked, "query_id").join(texts, "skill_id").withColumn("lexical", six(X.overlap(F.col("__pw"), F.col("__tw")))).drop("__pw", "__tw")
+    rows = weighted_score(rows, config)
     rows = rows.fillna(0.0, ["evidence", "prior"]).where(F.col("score") >= config.floor)
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "scope").orderBy(F.desc("score"), "skill_id")))
 
 
+def ranked_candidates(
+    queries: DataFrame, skills: DataFrame, subunits: DataFrame, usage: DataFrame, now: str, config: Config = DEFAULTS, communities: DataFrame | None = None
+) -> DataFrame:
+    """`scored_candidates` in the order of `mmr`, which is what scopes are fused by: `rank` is the place in that order."""
+    rows = scored_candidates(queries, skills, subunits, usage, now, config, communities)
+    chosen = mmr(rows.join(skills.select("skill_id", "vec"), "skill_id"), ["query_id", "scope"], config, config.candidates)
+    order = chosen.select("query_id", "scope", "skill_id", "mmr_rank")
+    return rows.drop("rank").join(order, ["query_id", "scope", "skill_id"]).withColumnRenamed("mmr_rank", "rank")
+
+
 def mmr(rows: DataFrame, by: list[str], config: Config = DEFAULTS, k: int | None = None) -> DataFrame:
     """Greedy diversity order of each group: score against the greatest cosine to what is already chosen; ties to the smaller rank.
 

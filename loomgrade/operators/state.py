@@ -6,10 +6,11 @@ incrementally. Time is a column or a literal, never the clock.
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrade.operators.walks import walk
+
 MOST_BYTES = 10 * 1024 * 1024
 BLOCK = 1024  # batches of events that are scanned together
 
@@ -29,13 +30,21 @@ def idempotent(events: DataFrame, key: str, time: str, order: str, ttl_seconds:
 
     What was processed decides what is, so a key's events are walked in order, each key's by itself.
     """
-    rows = events.select("*", F.unix_micros(F.col(time).cast("timestamp")).alias("__t"))
-    chain = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("__t", order))).alias("e"))
-    step = lambda s, e: F.when((F.size(s) == 0) | (e["__t"] - F.element_at(s, -1)["__t"] >= ttl_seconds * 1_000_000), F.concat(s, F.array(e))).otherwise(s)
-    kind = f"array<struct<__t:bigint,{order}:bigint>>"
-    first = F.when(F.size("e") > 0, F.slice("e", 1, 1)).otherwise(F.array().cast(kind))
-    done = chain.select(key, F.explode(F.aggregate(F.slice("e", 2, 2**30), first, step)).alias("d"))
-    return done.select(key, F.col(f"d.{order}").alias(order))
+    rows = events.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("__t"), order)
+    most = ttl_seconds * 1_000_000
+
+    def rule():
+        done = None
+
+        def step(__t, **_):
+            nonlocal done
+            fresh = done is None or __t - done >= most
+            done = __t if fresh else done
+            return (fresh,)
+
+        return step
+
+    return walk(rows, key, ["__t", order], rule, "__fresh boolean").where("__fresh").select(key, order)
 
 
 def claim(queue: DataFrame, now: str, limit: int = 16) -> DataFrame:
@@ -99,43 +108,49 @@ def cache_hits(calls: DataFrame, ttl_seconds: int = 600) -> DataFrame:
 
     An answer is stored by a miss and not renewed by a hit, so a key's calls are walked in order.
     """
-    order = F.struct(F.unix_micros(F.col("at").cast("timestamp")).alias("t"), F.col("call_id").alias("call_id"), F.col("version").alias("version"))
-    chain = calls.groupBy("key").agg(F.sort_array(F.collect_list(order)).alias("e"))
-    start = F.struct(F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("bigint").alias("version"), F.array().cast("array<struct<call_id:bigint,hit:boolean>>").alias("out"))
+    rows = calls.select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "call_id", "version")
+    most = ttl_seconds * 1_000_000
+
+    def rule():
+        stored = None
 
-    def step(s: Column, e: Column) -> Column:
-        hit = F.coalesce((s["version"] == e["version"]) & (e["t"] - s["t"] < ttl_seconds * 1_000_000), F.lit(False))
-        row = F.struct(e["call_id"].alias("call_id"), hit.alias("hit"))
-        return F.struct(F.when(hit, s["t"]).otherwise(e["t"]).alias("t"), F.when(hit, s["version"]).otherwise(e["version"]).alias("version"), F.concat(s["out"], F.array(row)).alias("out"))
+        def step(t, version, **_):
+            nonlocal stored
+            hit = stored is not None and version is not None and stored[1] == version and t - stored[0] < most
+            stored = stored if hit else (t, version)
+            return (hit,)
 
-    walked = chain.select("key", F.explode(F.aggregate("e", start, step, lambda s: s["out"])).alias("o"))
-    return walked.select("key", "o.call_id", "o.hit")
+        return step
+
+    return walk(rows, "key", ["t", "call_id"], rule, "hit boolean").select("key", "call_id", "hit")
 
 
 def circuit_breaker(calls: DataFrame, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:
     """provider, call_id, state before the call (closed, open, half_open) and whether it was let through.
 
     calls: provider, call_id, at, ok. So many failures in a row open the breaker; after the pause one call tries: success
-    closes it, failure opens it again. A provider's calls are one group.
+    closes it, failure opens it again. A provider's calls are walked in order.
     """
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "call_id"])
-        failures, opened, out = 0, None, []
-        for at, ok in zip(pdf["at"], pdf["ok"], strict=True):
+    def rule():
+        failures, opened = 0, None
+
+        def step(at, ok, **_):
+            nonlocal failures, opened
             state = "closed" if opened is None else "half_open" if (at - opened).total_seconds() >= open_seconds else "open"
-            out.append(state)
-            if state == "open":
-                continue
-            if ok:
-                failures, opened = 0, None
-            else:
-                failures += 1
-                if state == "half_open" or failures >= threshold:
-                    opened = at
-        return pdf[["provider", "call_id"]].assign(state=out, allowed=[s != "open" for s in out])
-
-    return calls.select("provider", "call_id", "at", "ok").groupBy("provider").applyInPandas(walk, "provider string, call_id bigint, state string, allowed boolean")
+            if state != "open":
+                if ok:
+                    failures, opened = 0, None
+                else:
+                    failures += 1
+                    if state == "half_open" or failures >= threshold:
+                        opened = at
+            return state, state != "open"
+
+        return step
+
+    rows = calls.select("provider", "call_id", "at", "ok")
+    return walk(rows, "provider", ["at", "call_id"], rule, "state string, allowed boolean").select("provider", "call_id", "state", "allowed")
 
 
 def coalesced_refresh(events: DataFrame, batch: int = 64) -> DataFrame:

@@ -19,13 +19,13 @@ def skills(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     """query_id, prompt, qvec, qlabel: every hundredth skill asks for others like it."""
-    return skills(spark, sf).where("skill_id % 100 = 0").select(F.col("skill_id").alias("query_id"), F.substring("text", 1, 400).alias("prompt"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
+    return skills(spark, sf).where("skill_id % 100 = 0").select(F.col("skill_id").alias("query_id"), F.col("text").alias("prompt"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
 
 
 def subunits(spark: SparkSession, sf: str) -> DataFrame:
     """Three sub-sections a skill: the texts and vectors of the next ids, where they exist."""
     s = skills(spark, sf)
-    kids = s.select(F.explode(F.array(*[F.col("skill_id") - i for i in (1, 2, 3)])).alias("parent"), F.col("skill_id").alias("subunit_id"), F.col("name").alias("title"), F.substring("text", 1, 200).alias("content"), F.col("vec").alias("svec"))
+    kids = s.select(F.explode(F.array(*[F.col("skill_id") - i for i in (1, 2, 3)])).alias("parent"), F.col("skill_id").alias("subunit_id"), F.col("name").alias("title"), F.col("text").alias("content"), F.col("vec").alias("svec"))
     return s.select("skill_id").join(kids, F.col("skill_id") == F.col("parent")).drop("parent")
 
 
@@ -46,20 +46,20 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     return skills(spark, sf).select("*", status.alias("status"), own.alias("source_paths"), F.substring("text", 1, 120).alias("description"))
 
 
+def words_sql(c: str) -> str:
+    return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
+
+
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SKILLS = """sk AS (SELECT d.doc_id AS skill_id, d.source AS name, d.text, d.lang, CASE WHEN e.vec_id % 2 = 0 THEN 'project' ELSE 'global' END AS scope,
   [d.lang, d.source] AS tags, e.embedding::DOUBLE[] AS vec, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
-QUERIES = "qu AS (SELECT skill_id AS query_id, substr(text, 1, 400) AS prompt, vec AS qvec, label AS qlabel FROM sk WHERE skill_id % 100 = 0)"
-SUBUNITS = """su AS (SELECT p.skill_id, c.skill_id AS subunit_id, c.name AS title, substr(c.text, 1, 200) AS content, c.vec AS svec FROM sk p JOIN sk c ON c.skill_id BETWEEN p.skill_id + 1 AND p.skill_id + 3)"""
+QUERIES = f"qu AS (SELECT skill_id AS query_id, text AS prompt, {words_sql('text')} AS pw, vec AS qvec, label AS qlabel FROM sk WHERE skill_id % 100 = 0)"
+SUBUNITS = f"""su AS (SELECT p.skill_id, c.skill_id AS subunit_id, c.name AS title, c.text AS content, {words_sql("c.name || ' ' || c.text")} AS cw, c.vec AS svec FROM sk p JOIN sk c ON c.skill_id BETWEEN p.skill_id + 1 AND p.skill_id + 3)"""
 PATHS = """pa AS (SELECT *, ['ready', 'draft', 'deprecated', 'retired'][(skill_id % 4 + 1)::INT] AS status,
   CASE WHEN skill_id % 7 = 0 THEN []::VARCHAR[] ELSE ['/home/team/' || lang || CASE WHEN skill_id % 3 = 0 THEN '/.skills/' ELSE '/my-skills/' END || name || '/SKILL.md'] END AS source_paths,
   substr(text, 1, 120) AS description FROM sk)"""
 
 
-def words_sql(c: str) -> str:
-    return f"list_distinct(list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> ''))"
-
-
 def overlap_sql(a: str, b: str) -> str:
     return f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0 ELSE len(list_intersect({a}, {b}))::DOUBLE / len({a}) END"
 

@@ -87,29 +87,30 @@ def scope_policy(spark, sf):
 
 
 LINKS = "li AS (SELECT skill_id, 'c-' || label AS community_id FROM sk UNION ALL SELECT skill_id, 't-' || lang FROM sk)"
-TERMS = f"""wd AS (SELECT cluster, skill_id, unnest(list_filter(list_transform(list_filter(regexp_split_to_array(substr(text, 1, 1000), '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 3), lambda x: {B.LOWER.format('x')}),
-  lambda x: NOT regexp_full_match(x, '[0-9]+') AND NOT list_contains([{', '.join(repr(w) for w in STOP_WORDS)}], x))) AS term FROM (SELECT label AS cluster, skill_id, text FROM sk WHERE lang = 'en')),
-ts AS (SELECT cluster, term, tf, df, round(tf * (ln(((SELECT count(*) FROM sk WHERE lang = 'en') + 1)::DOUBLE / (df + 1)) + 1), 6) AS score FROM (SELECT cluster, term, count(*) AS tf FROM wd GROUP BY ALL) JOIN (SELECT term, count(DISTINCT skill_id) AS df FROM wd GROUP BY 1) USING (term))"""
+TERMS = f"""wd AS (SELECT cluster, skill_id, unnest(list_filter(list_transform(list_filter(regexp_split_to_array(text, '[^\\p{{L}}\\p{{N}}]+'), lambda x: strlen(x) >= 3), lambda x: {B.LOWER.format('x')}),
+  lambda x: NOT regexp_full_match(x, '[0-9]+') AND NOT list_contains([{', '.join(repr(w) for w in STOP_WORDS)}], x))) AS term FROM (SELECT label AS cluster, skill_id, text FROM sk)),
+ts AS (SELECT cluster, term, tf, df, round(tf * (ln(((SELECT count(*) FROM sk) + 1)::DOUBLE / (df + 1)) + 1), 6) AS score FROM (SELECT cluster, term, count(*) AS tf FROM wd GROUP BY ALL) JOIN (SELECT term, count(DISTINCT skill_id) AS df FROM wd GROUP BY 1) USING (term))"""
 ROOT = r"""CASE WHEN len(source_paths) > 0 THEN CASE WHEN skill_id % 3 = 0 THEN '/home/team/' || lang ELSE '/home/team/' || lang END END"""
 
 QUERIES = {
-    "skills_with_communities": (skills_with_communities, f"WITH {B.SKILLS}, {LINKS} SELECT sk.skill_id, name, coalesce(string_agg(DISTINCT community_id, ',' ORDER BY community_id), '') AS communities FROM sk LEFT JOIN li ON sk.skill_id = li.skill_id AND li.skill_id % 5 <> 0 GROUP BY ALL"),
-    "communities_with_members": (communities_with_members, f"WITH {B.SKILLS}, {LINKS} SELECT community_id, coalesce(string_agg(skill_id::VARCHAR, ',' ORDER BY skill_id) FILTER (WHERE skill_id % 3 = 0), '') AS members FROM li GROUP BY 1"),
+    "skills_with_communities": (skills_with_communities, f"WITH {B.SKILLS}, {LINKS} SELECT sk.skill_id, name, coalesce(string_agg(DISTINCT community_id, ',' ORDER BY community_id), '') AS communities FROM sk LEFT JOIN li ON sk.skill_id = li.skill_id GROUP BY ALL"),
+    "communities_with_members": (communities_with_members, f"WITH {B.SKILLS}, {LINKS} SELECT community_id, coalesce(string_agg(skill_id::VARCHAR, ',' ORDER BY skill_id), '') AS members FROM li GROUP BY 1"),
     "list_communities": (list_communities, f"WITH {B.SKILLS}, {LINKS} SELECT community_id, count(*) AS member_count FROM li GROUP BY 1"),
     "ordered_subunits": (ordered_subunits, f"WITH {B.SKILLS} SELECT skill_id, len(string_split(text, chr(10)))::BIGINT AS n, md5(array_to_string(string_split(text, chr(10)), '|')) AS digest FROM sk"),
     "inspect_neighbourhood": (inspect_neighbourhood, f"""WITH {B.SKILLS}, {LINKS}, pm AS (SELECT skill_id, min(community_id) AS p FROM li GROUP BY 1), cs AS (SELECT community_id, count(*) AS n FROM li GROUP BY 1)
 SELECT a.skill_id AS asked_id, pa.p AS community, cs.n AS community_members, b.skill_id, CASE WHEN a.name = b.name THEN a.name ELSE '' END AS shared_tags, pa.p = pb.p AS same_community
 FROM sk a JOIN sk b ON a.skill_id <> b.skill_id AND (a.label = b.label OR a.lang = b.lang OR a.name = b.name) JOIN pm pa ON a.skill_id = pa.skill_id JOIN pm pb ON b.skill_id = pb.skill_id JOIN cs ON cs.community_id = pa.p WHERE a.skill_id % 100 = 0"""),
     "tag_communities": (tag_communities, f"WITH {B.SKILLS} SELECT skill_id, scope || '-' || lang AS name, 'tag' AS source FROM sk"),
-    "tf_df": (tf_df, f"WITH {B.SKILLS}, {TERMS} SELECT cluster, term, tf, df, score FROM ts WHERE tf >= 3"),
+    "tf_df": (tf_df, f"WITH {B.SKILLS}, {TERMS} SELECT cluster, term, tf, df, score FROM ts"),
     "tfidf_cluster_label": (tfidf_cluster_label, f"""WITH {B.SKILLS}, {TERMS}, tt AS (SELECT cluster, list(term ORDER BY r) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS r FROM ts) WHERE r <= 3 GROUP BY 1),
-l2 AS (SELECT *, 'global-cluster-' || terms[1] || '-' || terms[2] AS l, row_number() OVER (PARTITION BY terms[1], terms[2] ORDER BY cluster) AS t FROM tt)
-SELECT cluster, CASE WHEN t = 1 THEN l ELSE l || '-' || terms[3] END AS label FROM l2"""),
+l2 AS (SELECT *, 'global-cluster-' || terms[1] || '-' || terms[2] AS l, row_number() OVER (PARTITION BY terms[1], terms[2] ORDER BY cluster) AS t FROM tt),
+l3 AS (SELECT cluster, CASE WHEN t = 1 THEN l ELSE l || '-' || terms[3] END AS l FROM l2)
+SELECT cluster, CASE WHEN row_number() OVER (PARTITION BY l ORDER BY cluster) = 1 THEN l ELSE l || '-' || (SELECT min(skill_id) FROM sk WHERE label = cluster) END AS label FROM l3"""),
     "density_clusters": (density_clusters, None),
     "dual_membership": (dual_membership, f"WITH {B.SKILLS} SELECT skill_id, scope || '-cluster-' || label AS name, 'hdbscan' AS source FROM sk UNION ALL SELECT skill_id, scope || '-' || lang, 'tag' FROM sk"),
     "recurrence_components": (recurrence_components, f"""WITH RECURSIVE {B.SKILLS}, pj AS (SELECT * FROM sk WHERE scope = 'project'), ed AS (SELECT a.skill_id AS a, b.skill_id AS b FROM pj a JOIN pj b ON a.skill_id <> b.skill_id AND round({B.cosine_sql('a.vec', 'b.vec')}, 6) >= 0.35),
 re AS (SELECT skill_id AS a, skill_id AS b FROM pj UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a) SELECT a AS skill_id, min(b) AS representative FROM re GROUP BY 1"""),
     "project_root_key": (project_root_key, f"WITH {B.SKILLS}, {B.PATHS} SELECT skill_id, {ROOT} AS root FROM pa"),
     "distinct_root_gate": (distinct_root_gate, f"WITH {B.SKILLS}, {B.PATHS} SELECT label AS cluster, count(DISTINCT {ROOT}) AS roots, min(skill_id) AS representative FROM pa WHERE scope = 'project' AND status IN ('ready', 'draft') AND len(source_paths) > 0 GROUP BY 1 HAVING count(DISTINCT {ROOT}) >= 2"),
-    "scope_policy": (scope_policy, f"WITH {B.SKILLS} SELECT label AS cluster, CASE WHEN bool_or(scope = 'project') THEN 'project' ELSE 'global' END AS scope FROM sk WHERE skill_id % 9 = 0 GROUP BY 1"),
+    "scope_policy": (scope_policy, f"WITH {B.SKILLS} SELECT label AS cluster, CASE WHEN bool_or(scope = 'project') THEN 'project' ELSE 'global' END AS scope FROM sk GROUP BY 1"),
 }

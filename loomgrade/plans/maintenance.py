@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgrade.functions import text as X
 from loomgrade.operators import maintenance as M
 from loomgrade.operators import metrics as Q
 from loomgrade.operators import retrieval as R
@@ -18,12 +19,8 @@ def cross_scope_duplicates(spark, sf):
 
 
 def jaccard_pairs(spark, sf):
-    """Words in common of neighbouring documents."""
-    from loomgrade.functions import text as X
-
-    s = B.skills(spark, sf).select("skill_id", X.blank_words(F.col("text")).alias("w"))
-    pairs = s.join(s.select((F.col("skill_id") - 1).alias("skill_id"), F.col("w").alias("v")), "skill_id")
-    return pairs.select("skill_id", F.round(X.jaccard(F.col("w"), F.col("v")), 6).alias("jaccard")).where("jaccard >= 0.05")
+    """Pairs of skills that have half of their words in common."""
+    return M.jaccard_join(B.skills(spark, sf).select("skill_id", X.blank_words(F.col("text")).alias("w")), 0.5)
 
 
 def merge_text_digest(spark, sf):
@@ -125,7 +122,7 @@ QUERIES = {
     "cross_scope_duplicates": (cross_scope_duplicates, f"""{S}, w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(text, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')) AS w FROM sk)
 SELECT * FROM (SELECT least(a.skill_id, b.skill_id) AS a, greatest(a.skill_id, b.skill_id) AS b, round({B.cosine_sql('a.vec', 'b.vec')}, 6) AS cosine, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.skill_id < b.skill_id AND a.scope <> b.scope) WHERE cosine >= 0.3 AND jaccard >= 0.01"""),
     "jaccard_pairs": (jaccard_pairs, f"""{S}, w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(text, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')) AS w FROM sk)
-SELECT * FROM (SELECT a.skill_id, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON b.skill_id = a.skill_id + 1) WHERE jaccard >= 0.05"""),
+SELECT * FROM (SELECT a.skill_id AS a, b.skill_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.skill_id < b.skill_id AND len(a.w) >= 0.5 * len(b.w) AND len(b.w) >= 0.5 * len(a.w)) WHERE jaccard >= 0.5"""),
     "merge_text_digest": (merge_text_digest, f"""{S}, l AS (SELECT skill_id, i, list_filter(regexp_split_to_array(line, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')[1:10] AS w FROM (SELECT skill_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM sk)),
 m AS (SELECT *, 60 - coalesce(sum(len(w)) OVER (PARTITION BY skill_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM l WHERE len(w) > 0),
 b AS (SELECT skill_id, string_agg(array_to_string(w[1:l::INT], ' '), chr(10) ORDER BY i) AS body FROM m WHERE l > 0 GROUP BY 1)

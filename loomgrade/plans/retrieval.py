@@ -31,10 +31,13 @@ def scope_match(spark, sf):
 
 
 def _lexical(spark, sf, tokens):
+    """Overlap of test items with skills by an equi-join on words; a skill's words stay together, so counts shrink before they shuffle."""
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", tokens(F.col("text")).alias("q"))
-    docs = B.skills(spark, sf).select("skill_id", tokens(F.col("text")).alias("d"))
-    pair = lambda block: docs.crossJoin(block).select("item_id", "skill_id", R.six(X.overlap(F.col("q"), F.col("d"))).alias("overlap"))
-    return R.in_blocks(items, pair, "item_id")
+    asked = items.select("item_id", F.size("q").alias("n"), F.explode("q").alias("word"))
+    own = B.skills(spark, sf).select("skill_id", F.explode(tokens(F.col("text"))).alias("word"))
+    pair = lambda block: own.join(block, "word").groupBy("item_id", "n", "skill_id").count()
+    found = R.in_blocks(asked, pair, "item_id", 1_000_000)
+    return found.select("item_id", "skill_id", R.six(F.col("count") / F.col("n")).alias("overlap"))
 
 
 def token_overlap(spark, sf):
@@ -79,25 +82,31 @@ def boost_centroid_affinity(spark, sf):
     return R.in_blocks(B.queries(spark, sf), pair)
 
 
+def _scored(spark, sf, config=CONFIG):
+    return R.scored_candidates(B.queries(spark, sf), B.skills(spark, sf), B.subunits(spark, sf), B.usage(spark, sf), B.NOW, config)
+
+
 def _ranked(spark, sf, config=CONFIG):
-    return R.ranked_candidates(B.queries(spark, sf), B.skills(spark, sf), B.subunits(spark, sf), B.usage(spark, sf), B.NOW, config)
+    s = B.skills(spark, sf)
+    members = s.select("skill_id", F.col("label").alias("community_id"), "vec")
+    return R.ranked_candidates(B.queries(spark, sf), s, B.subunits(spark, sf), B.usage(spark, sf), B.NOW, config, members)
 
 
 def score_weighted(spark, sf):
-    return _ranked(spark, sf, replace(CONFIG, floor=-1.0)).select("query_id", "scope", "skill_id", "cosine", "evidence", "prior", "score")
+    return _scored(spark, sf, replace(CONFIG, floor=-1.0)).select("query_id", "scope", "skill_id", "cosine", "evidence", "prior", "score")
 
 
 def relevance_floor(spark, sf):
-    return _ranked(spark, sf).select("query_id", "scope", "skill_id", "score", "rank")
+    return _scored(spark, sf).select("query_id", "scope", "skill_id", "score", "rank")
 
 
 def mmr_select(spark, sf):
-    rows = _ranked(spark, sf).join(B.skills(spark, sf).select("skill_id", "vec"), "skill_id")
-    return R.mmr(rows, ["query_id", "scope"], CONFIG, k=3).select("query_id", "scope", "skill_id", "mmr_rank", "mmr_score")
+    rows = _scored(spark, sf).join(B.skills(spark, sf).select("skill_id", "vec"), "skill_id")
+    return R.mmr(rows, ["query_id", "scope"], CONFIG).select("query_id", "scope", "skill_id", "mmr_rank", "mmr_score")
 
 
-def _fused(spark, sf):
-    return R.fuse(_ranked(spark, sf), CONFIG)
+def _fused(spark, sf, config=CONFIG):
+    return R.fuse(_ranked(spark, sf, config), config)
 
 
 def weighted_rrf(spark, sf):
@@ -108,6 +117,12 @@ def fused_topn(spark, sf):
     return _fused(spark, sf).where(F.col("position") <= CONFIG.results).select("query_id", "position", "skill_id", "scope", "rrf", "score")
 
 
+def boosted_ranking(spark, sf):
+    """The fused order when members of a community that suits the query are boosted."""
+    f = _fused(spark, sf, replace(CONFIG, boost_mode="centroid"))
+    return f.where(F.col("position") <= CONFIG.results).select("query_id", "position", "skill_id", "score")
+
+
 def _rescue(spark, sf):
     losers = _fused(spark, sf).where(F.col("position") > CONFIG.results).select("query_id", "skill_id")
     scored = R.subunit_scores(losers, B.subunits(spark, sf), B.queries(spark, sf))
@@ -172,18 +187,28 @@ SQL_HEAD = f"WITH {B.SKILLS}, {B.QUERIES}, {B.SUBUNITS}"
 PAIRS = f"{SQL_HEAD}, co AS (SELECT qu.*, sk.*, round(greatest({B.cosine_sql('qvec', 'vec')}, 0.0), 6) AS cosine FROM qu, sk)"
 CAND = f"{PAIRS}, ca AS (SELECT * FROM co QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY cosine DESC, skill_id) <= 50)"
 SUBS = f"""{CAND}, sb AS (SELECT *, round(0.75 * semantic + 0.25 * lexical, 8) AS relevance FROM (SELECT ca.query_id, ca.skill_id, su.subunit_id, title, content,
-  round(greatest({B.cosine_sql('ca.qvec', 'svec')}, 0.0), 6) AS semantic, round({B.overlap_sql(W('ca.prompt'), W("title || ' ' || content"))}, 6) AS lexical FROM ca JOIN su ON ca.skill_id = su.skill_id))"""
+  round(greatest({B.cosine_sql('ca.qvec', 'svec')}, 0.0), 6) AS semantic, round({B.overlap_sql('ca.pw', 'su.cw')}, 6) AS lexical FROM ca JOIN su ON ca.skill_id = su.skill_id))"""
 EVID = f"""{SUBS}, ev AS (SELECT query_id, skill_id, round(avg(semantic), 6) AS evidence FROM (SELECT * FROM sb QUALIFY row_number() OVER (PARTITION BY query_id, skill_id ORDER BY semantic DESC, subunit_id) <= 3) GROUP BY ALL),
 pr AS (SELECT user_id AS skill_id, count(*) AS uses, round(least(ln(1 + count(*)) * exp(-greatest(floor((epoch(TIMESTAMP '{B.NOW}') - floor(epoch(max(ts)))) / 86400), 0) / 30.0), 0.15), 6) AS prior FROM events GROUP BY 1)"""
-SCOR = f"""{EVID}, sc AS (SELECT query_id, scope, ca.skill_id, prompt, text, cosine, coalesce(evidence, 0.0) AS evidence, coalesce(prior, 0.0) AS prior,
-  round({B.overlap_sql(W('prompt'), W('text'))}, 6) AS lexical, round((0.45 * cosine + 0.35 * coalesce(evidence, 0.0) + 0.2 * coalesce(prior, 0.0)) * 1, 8) AS score
-  FROM ca LEFT JOIN ev USING (query_id, skill_id) LEFT JOIN pr USING (skill_id))"""
-RANK = f"{SCOR}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, skill_id) AS rank FROM sc WHERE score >= {CONFIG.floor})"
-FUSE = f"""{RANK}, fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, pri DESC, cosine DESC, lexical DESC, skill_id) AS position FROM (
-  SELECT query_id, skill_id, scope, CASE WHEN scope = 'project' THEN 3 ELSE 2 END AS pri, score, cosine, lexical, round(CASE WHEN scope = 'project' THEN 1.0 ELSE 0.7 END / (60.0 + rank), 8) AS rrf FROM rk))"""
+BOOST = "round(least(greatest(" + B.cosine_sql("qvec", "centroid") + ", 0.0), 1.0), 6)"
+SCORED = """{EVID}, tw AS (SELECT *, {WT} AS tw FROM ca), ce AS (SELECT label, list(x ORDER BY i) AS centroid FROM (SELECT label, i, avg(vec[i]) AS x FROM sk, range(1, 65) t(i) GROUP BY ALL) GROUP BY 1), sc AS (SELECT query_id, scope, tw.skill_id, prompt, text, vec, cosine, coalesce(evidence, 0.0) AS evidence, coalesce(prior, 0.0) AS prior,
+  round({OV}, 6) AS lexical, round((0.45 * cosine + 0.35 * coalesce(evidence, 0.0) + 0.2 * coalesce(prior, 0.0)) * (1 + 0.25 * {BOOST}), 8) AS score
+  FROM tw JOIN ce USING (label) LEFT JOIN ev USING (query_id, skill_id) LEFT JOIN pr USING (skill_id))"""
+_score = lambda boost: SCORED.format(EVID=EVID, WT=W("text"), OV=B.overlap_sql("pw", "tw"), BOOST=boost)
+SCOR = _score("0")
+# greedy diversity: each step takes the best of what is left, against the greatest cosine to what is taken
+_mmr = lambda scored: f"""{scored.replace('WITH ', 'WITH RECURSIVE ', 1)}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id, scope ORDER BY score DESC, skill_id) AS place FROM sc WHERE score >= {CONFIG.floor}),
+gr AS (SELECT query_id, scope, 0 AS n, []::BIGINT[] AS taken, []::DOUBLE[][] AS vecs, 0::BIGINT AS last, 0.0::DOUBLE AS value FROM rk GROUP BY ALL UNION ALL
+  SELECT query_id, scope, n + 1, list_append(taken, b.s), list_append(vecs, b.v), b.s, b.m FROM (SELECT query_id, scope, n, any_value(taken) AS taken, any_value(vecs) AS vecs, arg_max({{'s': skill_id, 'v': vec, 'm': m}}, (m, -place)) AS b FROM (
+    SELECT gr.*, rk.skill_id, rk.vec, rk.place, round(0.65 * rk.score - (1 - 0.65) * greatest(coalesce(list_max(list_transform(gr.vecs, lambda x: {B.cosine_sql('x', 'rk.vec')})), 0.0), 0.0), 6) AS m
+    FROM gr JOIN rk ON gr.query_id = rk.query_id AND gr.scope = rk.scope AND NOT list_contains(gr.taken, rk.skill_id)) GROUP BY query_id, scope, n)),
+mm AS (SELECT query_id, scope, last AS skill_id, n AS rank, value FROM gr WHERE n > 0)"""
+_fuse = lambda scored: f"""{_mmr(scored)}, fu AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, pri DESC, cosine DESC, lexical DESC, skill_id) AS position FROM (
+  SELECT query_id, skill_id, rk.scope, CASE WHEN rk.scope = 'project' THEN 3 ELSE 2 END AS pri, score, cosine, lexical, round(CASE WHEN rk.scope = 'project' THEN 1.0 ELSE 0.7 END / (60.0 + mm.rank), 8) AS rrf FROM rk JOIN mm USING (query_id, scope, skill_id)))"""
+RANK, FUSE = _mmr(SCOR), _fuse(SCOR)
 RESC = f"""{FUSE}, re AS (SELECT * FROM (SELECT sb.* FROM sb JOIN fu USING (query_id, skill_id) WHERE position > 3 QUALIFY row_number() OVER (PARTITION BY sb.query_id, sb.skill_id ORDER BY relevance DESC, subunit_id) <= 3) WHERE relevance >= 0.15)"""
 REASON = "'scope=' || scope || ' | bucket=' || CASE WHEN rrf >= 0.4 THEN 'high' WHEN rrf >= 0.2 THEN 'medium' ELSE 'low' END || ' | semantic=' || format('{:.3f}', cosine) || ' | lexical=' || format('{:.3f}', lexical)"
-LEX = lambda f: f"{SQL_HEAD}, lx AS (SELECT item_id, skill_id, round({B.overlap_sql('q', 'd')}, 6) AS overlap FROM (SELECT item_id, {f('text')} AS q FROM benchmark), (SELECT skill_id, {f('substr(text, 1, 1000)')} AS d FROM sk))"
+LEX = lambda f: f"WITH {B.SKILLS}, lx AS (SELECT item_id, skill_id, round({B.overlap_sql('q', 'd')}, 6) AS overlap FROM (SELECT item_id, {f('text')} AS q FROM benchmark), (SELECT skill_id, {f('text')} AS d FROM sk))"
 STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 CONTENT = lambda c: f"list_filter({W(c)}, lambda x: NOT list_contains({STOPS}, x))"
 
@@ -200,14 +225,9 @@ QUERIES = {
     "boost_binary": (boost_binary, f"{PAIRS} SELECT query_id, skill_id, CASE WHEN qlabel = label THEN 0.2 ELSE 0.0 END::DOUBLE AS boost FROM co QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, skill_id) <= 10"),
     "boost_centroid_affinity": (boost_centroid_affinity, f"{SQL_HEAD}, ce AS (SELECT label AS community_id, list(x ORDER BY i) AS centroid FROM (SELECT label, i, avg(vec[i]) AS x FROM sk, range(1, 65) t(i) GROUP BY ALL) GROUP BY 1) SELECT query_id, community_id, round(least(greatest({B.cosine_sql('qvec', 'centroid')}, 0.0), 1.0), 6) AS boost FROM qu, ce"),
     "score_weighted": (score_weighted, f"{SCOR} SELECT query_id, scope, skill_id, cosine, evidence, prior, score FROM sc"),
-    "relevance_floor": (relevance_floor, f"{RANK} SELECT query_id, scope, skill_id, score, rank FROM rk"),
-    "mmr_select": (mmr_select, f"""{RANK}, rv AS (SELECT rk.*, sk.vec FROM rk JOIN sk USING (skill_id)),
-m1 AS (SELECT query_id, scope, skill_id, vec, round(0.65 * score, 6) AS mmr_score FROM rv WHERE rank = 1),
-c2 AS (SELECT rv.*, greatest({B.cosine_sql('rv.vec', 'm1.vec')}, 0.0) AS w FROM rv JOIN m1 USING (query_id, scope) WHERE rv.rank > 1),
-m2 AS (SELECT *, round(0.65 * score - (1 - 0.65) * w, 6) AS mmr_score FROM c2 QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY mmr_score DESC, rank) = 1),
-c3 AS (SELECT c2.* REPLACE (greatest(c2.w, {B.cosine_sql('c2.vec', 'm2.vec')}) AS w) FROM c2 JOIN m2 USING (query_id, scope) WHERE c2.rank <> m2.rank),
-m3 AS (SELECT *, round(0.65 * score - (1 - 0.65) * w, 6) AS mmr_score FROM c3 QUALIFY row_number() OVER (PARTITION BY query_id, scope ORDER BY mmr_score DESC, rank) = 1)
-SELECT query_id, scope, skill_id, 1 AS mmr_rank, mmr_score FROM m1 UNION ALL SELECT query_id, scope, skill_id, 2, mmr_score FROM m2 UNION ALL SELECT query_id, scope, skill_id, 3, mmr_score FROM m3"""),
+    "relevance_floor": (relevance_floor, f"{RANK} SELECT query_id, scope, skill_id, score, place AS rank FROM rk"),
+    "mmr_select": (mmr_select, f"{RANK} SELECT query_id, scope, skill_id, rank AS mmr_rank, value AS mmr_score FROM mm"),
+    "boosted_ranking": (boosted_ranking, f"{_fuse(_score(BOOST))} SELECT query_id, position, skill_id, score FROM fu WHERE position <= 3"),
     "weighted_rrf": (weighted_rrf, f"{FUSE} SELECT query_id, skill_id, rrf FROM fu"),
     "fused_topn": (fused_topn, f"{FUSE} SELECT query_id, position, skill_id, scope, rrf, score FROM fu WHERE position <= 3"),
     "rescue_pool": (rescue_pool, f"{RESC} SELECT query_id, skill_id, subunit_id, relevance FROM re"),

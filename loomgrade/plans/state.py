@@ -132,6 +132,6 @@ SELECT id, sha256(c) AS content_hash, CASE WHEN trim(s) = '' THEN 'blank_session
     "session_suppression": (session_suppression, "SELECT event_id AS call_id, coalesce(lag(day(ts) // 10) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = day(ts) // 10, false) AS suppressed FROM events"),
     "cache_hits": (cache_hits, CHAIN.format(rows="SELECT user_id % 7 AS key, ts, event_id, day(ts) // 10 AS v FROM events", hit="(w.v = e.v AND epoch_us(e.ts) - w.t < 1800000000)") + " SELECT event_id AS call_id, hit FROM w"),
     "circuit_breaker": (circuit_breaker, None),
-    "coalesced_refresh": (coalesced_refresh, "SELECT batch, events, reloads, max(v) OVER (ORDER BY batch) AS served FROM (SELECT event_id // 64 AS batch, count(*) AS events, max((event_id % 50 = 7)::INT) AS reloads, max(event_id // 100) FILTER (event_id % 50 = 7) AS v FROM events WHERE event_id < 1000 GROUP BY 1)"),
+    "coalesced_refresh": (coalesced_refresh, "SELECT batch, events, reloads, max(v) OVER (ORDER BY batch) AS served FROM (SELECT event_id // 64 AS batch, count(*) AS events, max((event_id % 50 = 7)::INT) AS reloads, max(event_id // 100) FILTER (event_id % 50 = 7) AS v FROM events GROUP BY 1)"),
     "session_usage": (session_usage, "SELECT user_id AS session_id, event_id AS skill_id, value AS relevance FROM events"),
 }

@@ -167,13 +167,13 @@ ar AS (SELECT *, max(position) FILTER (kind = 'tool_result' AND failed) OVER (PA
 sp AS (SELECT * FROM ar WHERE kind IN ('file_edit', 'tool_call') AND (good IS NULL OR coalesce(bad, -1) > good OR position <= good) QUALIFY row_number() OVER (PARTITION BY session_id, win, tool_use_id ORDER BY kind <> 'file_edit', position) = 1)
 SELECT session_id, win, row_number() OVER (PARTITION BY session_id, win ORDER BY position) AS step, tool_use_id, CASE WHEN kind = 'file_edit' THEN 'Edit' ELSE name END AS tool,
   CASE WHEN kind = 'file_edit' THEN 'Edit ' || path WHEN name = 'Bash' THEN 'run ' || event_id ELSE name || '(a=b, command=run ' || event_id || ')' END AS command FROM sp"""),
-    "contract_violations": (contract_violations, """WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN '' ELSE substr(text, 1, 70) END AS name, substr(text, 1, 300) AS d FROM documents)
+    "contract_violations": (contract_violations, """WITH c AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN '' ELSE text END AS name, text AS d FROM documents)
 SELECT doc_id, array_to_string(list_filter([CASE WHEN name = '' THEN 'missing name' END, CASE WHEN d = '' THEN 'missing description' END, CASE WHEN strlen(d) > 256 THEN 'description exceeds max length' END, CASE WHEN doc_id % 10 < 5 THEN 'confidence below minimum threshold' END,
   CASE WHEN doc_id % 3 <> 0 THEN 'no procedures or conventions (non-actionable)' END, CASE WHEN strlen(name) > 64 THEN 'name exceeds 64 chars' END, CASE WHEN NOT regexp_full_match(name, '[a-z0-9-]*') THEN 'name is not valid kebab-case' END], lambda x: x IS NOT NULL), '; ') AS violations FROM c"""),
     "sanitize_entries": (sanitize_entries, f"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(CASE WHEN turn = 2 THEN 'Override ' || text ELSE text END, '[^\\x21-\\x7E \\n]', '', 'g') AS t FROM conversations)
 SELECT conv_id, turn, md5(t) AS content FROM c WHERE role NOT LIKE '%system%' AND trim(t) <> '' AND NOT ({' OR '.join(f"starts_with(t, '{p}')" for p in REFUSED_PREFIXES)})"""),
-    "slugify": (slugify, f"SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace({LOW('substr(text, 1, 40)')}, '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)"),
-    "subunit_dedup": (subunit_dedup, f"WITH {B.SKILLS}, l AS (SELECT skill_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS position, substr(unnest(string_split(text, chr(10))), 1, 4) AS content FROM sk) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY skill_id, lower(trim('procedure:t:' || content)) ORDER BY position) = 1"),
+    "slugify": (slugify, f"SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace({LOW('text')}, '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)"),
+    "subunit_dedup": (subunit_dedup, f"WITH {B.SKILLS}, l AS (SELECT skill_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS position, unnest(string_split(text, chr(10))) AS content FROM sk) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY skill_id, lower(trim('procedure:t:' || content)) ORDER BY position) = 1"),
     "greedy_reduce": (greedy_reduce, None),
-    "sentence_split": (sentence_split, r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS nr, s AS sentence FROM (SELECT doc_id, unnest(regexp_extract_all(substr(text, 1, 300), '[^.!?\n]*[.!?\n]|[^.!?\n]+')) AS s, generate_subscripts(regexp_extract_all(substr(text, 1, 300), '[^.!?\n]*[.!?\n]|[^.!?\n]+'), 1) AS i FROM documents) WHERE trim(s) <> ''"),
+    "sentence_split": (sentence_split, r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS nr, s AS sentence FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+'), 1) AS i FROM documents) WHERE trim(s) <> ''"),
 }

@@ -271,3 +271,33 @@ def test_incomplete_listing_keeps_orphans(spark):
 
 def test_backoff():
     assert S.backoff_schedule(4) == [57, 114, 171] and S.backoff_schedule(100)[-1] == 2000
+
+
+def test_jaccard_join_finds_every_pair(spark):
+    rng = np.random.default_rng(3)
+    sets = [sorted({f"w{int(x)}" for x in rng.integers(0, 12, rng.integers(0, 9))}) for _ in range(60)] + [None]
+    rows = spark.createDataFrame(list(enumerate(sets)), "skill_id bigint, w array<string>")
+    for least in (0.3, 0.5, 1.0):
+        want = {(i, j): round(len({*a} & {*b}) / len({*a} | {*b}), 6) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b}
+        got = {(r.a, r.b): r.jaccard for r in M.jaccard_join(rows, least).collect()}
+        assert got == {k: v for k, v in want.items() if v >= least} and got
+
+
+def test_walks_keep_keys_apart_and_take_nulls(spark):
+    rows = [(1, "a", 1, 0), (2, None, 1, 5), (3, "a", 1, 30), (4, "a", 2, 40), (5, "a", 1, 50), (6, None, 1, 64), (7, None, 1, 65), (8, "a", None, 51)]
+    calls = spark.createDataFrame(rows, "call_id bigint, key string, version bigint, s bigint").withColumn("at", F.timestamp_seconds("s"))
+    got = {r.call_id: r.hit for r in S.cache_hits(calls, 60).collect()}
+    assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}
+    assert S.cache_hits(calls.where("false"), 60).count() == 0
+
+
+def test_density_against_the_whole_matrix(spark):
+    """The published steps with all distances at hand: cores, mutual reachability, spanning tree weights."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(c, 0.05, (12, 2)) for c in (0, 3, 7)] + [rng.uniform(20, 90, (4, 2))])
+    got = G._density(x, 3)
+    assert [len({*got[a : a + 12].tolist()}) for a in (0, 12, 24)] == [1, 1, 1] and len({got[0], got[12], got[24]}) == 3 and -1 not in got[:36]
+    shuffled = rng.permutation(len(x))
+    again = np.empty(len(x), int)
+    again[shuffled] = G._density(x[shuffled], 3)
+    assert all((got[i] == got[j]) == (again[i] == again[j]) for i in range(36) for j in range(36))
