@@ -10,12 +10,14 @@ term and block, the greatest weight and the postings, in flat arrays. A query ad
 blocks from the greatest bound on, and stops when no bound left reaches its nearest examples: the result is exact.
 Votes are weighted by cosine, shrunk to the share of positives, and calibrated by a logistic curve that is fitted to
 votes of the examples without themselves. The nearest examples' ids and cosines are the evidence.
-The index is bounded by its rows and is broadcast; every document is scored where it is read, without a shuffle.
+The index is bounded by its rows, is built by one task and broadcast; every document is scored where it is read, without a shuffle.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import pickle
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -36,6 +38,7 @@ FIRST = 4  # blocks that a query visits first; then four times as many, and so o
 COMMON = 5  # a list of more than one in so many examples is a column
 SEEDS = 48  # examples that the others are ordered by
 PULL = 10.0  # weight of the identity when the curve is fitted, in rows
+PIECE = 4 << 20  # bytes of the index that a row holds on its way to the driver
 KEPT = 2_048  # scores of different term vectors that a task keeps for repeated texts
 
 
@@ -61,6 +64,7 @@ class Index:
     empty: float  # share of positives among examples without terms, shrunk
     slope: float = 1.0
     shift: float = 0.0
+    placed: bool = False  # rows are numbered by place already
     blocks: int = field(init=False, default=0)
 
     def __post_init__(self):
@@ -69,7 +73,7 @@ class Index:
         norm = np.sqrt(np.bincount(self.row, raw * raw, minlength=n))
         value = raw / np.where(norm > 0, norm, 1)[self.row]
         place = np.empty(n, np.int32)
-        place[self._order(value, n)] = np.arange(n)
+        place[np.arange(n) if self.placed else self._order(value, n)] = np.arange(n)
         row = place[self.row]
         self.positive = self.positive[np.argsort(place)] if n else self.positive
         self.ids = self.ids[np.argsort(place)] if n else self.ids
@@ -100,8 +104,19 @@ class Index:
         self.row_at = np.searchsorted(self.row, np.arange(n + 1))
 
     def __getstate__(self) -> dict:
-        """What scoring needs; the examples' own vectors stay behind."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("row", "term", "count", "row_at")}
+        """The examples in the narrowest numbers; lists and columns are made again where they are read."""
+        narrow = lambda x: x.astype(np.min_scalar_type(int(x.max(initial=0))))
+        plain = ("weight", "ids", "prior", "empty", "slope", "shift")
+        state = {k: getattr(self, k) for k in plain} | {k: narrow(getattr(self, k)) for k in ("row", "term", "count")}
+        return state | {"positive": self.positive.astype(np.uint8), "names": b"\n".join(self.terms)}
+
+    def __setstate__(self, state: dict) -> None:
+        names = state.pop("names")
+        self.__dict__.update(state, placed=True)
+        self.terms = {w: i for i, w in enumerate(names.split(b"\n"))} if names else {}
+        self.positive = self.positive.astype(float)
+        self.row, self.term, self.count = (state[k].astype(np.int32) for k in ("row", "term", "count"))
+        self.__post_init__()
 
     def _order(self, value: np.ndarray, n: int) -> np.ndarray:
         """Examples by the most like of a few seeds, so that a block holds like vectors and its bounds are tight."""
@@ -248,7 +263,24 @@ def build(words: pa.ListArray, counts: pa.ListArray, y: np.ndarray, ids: np.ndar
     return index
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = ROWS) -> Index:
+@dataclass(frozen=True)
+class Model:
+    """An index as bytes: the driver only passes it on, and a worker process makes it once."""
+
+    data: bytes
+    name: str
+
+    def index(self) -> Index:
+        if self.name not in _made:
+            _made.clear()
+            _made[self.name] = pickle.loads(self.data)
+        return _made[self.name]
+
+
+_made: dict[str, Index] = {}
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = ROWS) -> Model:
     """The index of labelled rows. docs: doc_id, text; labels: doc_id, toxic. Without positive labels every score is 0."""
     known = learnable(labels)
     own = bounded_sample(known, ["doc_id"], most_rows).collect()
@@ -265,31 +297,45 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = ROWS) -> Index:
 
         return work
 
-    # at most `most_rows` rows reach the driver
-    made = append_columns(rows, bags, "words array<binary>, counts array<int>", drop=("text",)).toArrow()
+    made = append_columns(rows, bags, "words array<binary>, counts array<int>", drop=("text",))
+
+    def index(batches):
+        """One task builds the index of at most `most_rows` rows and hands it on in pieces."""
+        own = [b for b in batches if b.num_rows]
+        data = pickle.dumps(_of_rows(pa.Table.from_batches(own) if own else None), protocol=5)
+        for i in range(0, len(data), PIECE):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data[i : i + PIECE]], pa.binary())], names=["at", "data"])
+
+    pieces = made.repartition(1).mapInArrow(index, "at bigint, data binary").collect()
+    data = b"".join(r.data for r in sorted(pieces, key=lambda r: r.at))
+    return Model(data, hashlib.sha256(data).hexdigest())
+
+
+def _of_rows(made: pa.Table | None) -> Index:
+    if made is None:
+        return build(pa.array([], pa.list_(pa.binary())), pa.array([], pa.list_(pa.int32())), np.zeros(0, np.int64), np.zeros(0, np.int64))
     order = pc.sort_indices(made.select(["doc_id", "h"]), [("doc_id", "ascending"), ("h", "ascending")])
     words, counts = (_one(made.column(c)).take(order) for c in ("words", "counts"))
     y, ids = (made.column(c).take(order).to_numpy() for c in ("y", "doc_id"))
-    del made
     return build(words, counts, y.astype(np.int64), ids.astype(np.int64))
 
 
 def _one(column: pa.ChunkedArray) -> pa.Array:
-    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+    return pa.concat_arrays(column.chunks)
 
 
 @apart
-def score(docs: DataFrame, index: Index) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """Add score (0 to 1), predicted (1 from 0.5 on) and evidence (doc_id and cosine of the nearest examples, nearest first).
 
     docs: a column text, any others. Null and empty texts, and texts without a term, have the score of such examples and
     no evidence. Ties of cosine (to nine places) go by the examples' fixed order. Repeated rows score alike; an empty
     table gives an empty result.
     """
-    shared = share(docs.sparkSession, index)
+    shared = share(docs.sparkSession, model)
 
     def make():
-        own, known = shared.value, {}
+        own, known = shared.value.index(), {}
 
         def work(batch):
             out, why = [], []
@@ -312,12 +358,11 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without those predicted toxic."""
-    index = fit(docs, labels)
-    return score(docs, index).where("predicted = 0").drop("score", "predicted", "evidence")
+    return score(docs, fit(docs, labels)).where("predicted = 0").drop("score", "predicted", "evidence")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    index = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     held_out = F.expr("coalesce(crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 5 = 0, false)")
-    return score(docs, index).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")
+    return score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "evidence")

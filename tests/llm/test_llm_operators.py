@@ -1,6 +1,7 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows, clashing names; operators against brute force."""
 
 import math
+import pickle
 import random
 
 import numpy as np
@@ -290,6 +291,7 @@ def test_nearest_is_exact(monkeypatch, block, labelled):
     made = [sorted((w.encode(), c) for w, c in b.items()) for b in bags]
     words = pa.array([[w for w, _ in b] for b in made], pa.list_(pa.binary()))
     index = toxicity.build(words, pa.array([[c for _, c in b] for b in made], pa.list_(pa.int32())), np.array(y), np.arange(150))
+    index = pickle.loads(pickle.dumps(pickle.loads(pickle.dumps(index))))
     for i, bag in enumerate(bags):
         terms, counts = index.vector([w.encode() for w, c in bag.items() for _ in range(c)])
         for skip in (None, i):
