@@ -6,8 +6,8 @@ rows are dealt. Queries are a stated set: they are broadcast in blocks of a chec
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,39 @@ class Config:
 
 
 DEFAULTS = Config()
+
+#: Names of the tunables. Settings that exist must go on working.
+TUNABLES = {
+    "RETRIEVAL_CANDIDATE_LIMIT": "candidates",
+    "RETRIEVAL_MAX_RESULTS": "results",
+    "RETRIEVAL_MAX_SUBUNITS_PER_SKILL": "subunits",
+    "RETRIEVAL_RESCUE_THRESHOLD": "rescue",
+    "RETRIEVAL_RELEVANCE_THRESHOLD": "floor",
+    "RETRIEVAL_MMR_LAMBDA": "diversity",
+    "RETRIEVAL_ALPHA": "alpha",
+    "RETRIEVAL_BETA": "beta",
+    "RETRIEVAL_GAMMA": "gamma",
+    "RETRIEVAL_LAMBDA": "boost",
+    "RETRIEVAL_PROJECT_SCOPE_WEIGHT": "project_weight",
+    "RETRIEVAL_GLOBAL_SCOPE_WEIGHT": "global_weight",
+    "RETRIEVAL_RRF_K": "rrf_k",
+    "RETRIEVAL_COMMUNITY_BOOST_MODE": "boost_mode",
+}
+MODES = {"binary": "binary", "centroid_affinity": "centroid", "centroid": "centroid", "affinity": "centroid", "off": "off", "none": "off", "disabled": "off"}
+
+
+def configured(values: Mapping[str, str], defaults: Config = DEFAULTS) -> Config:
+    """The configuration that named values give, such as an environment's. A blank value is the default; a wrong one is an error."""
+    changed = {}
+    for name, field in TUNABLES.items():
+        raw = values.get(name, "").strip()
+        if not raw:
+            continue
+        try:
+            changed[field] = MODES[raw.lower()] if field == "boost_mode" else type(getattr(defaults, field))(raw)
+        except (KeyError, ValueError):
+            raise ValueError(f"{name} is set but not a valid value: {raw!r}") from None
+    return replace(defaults, **changed)
 BLOCK = 10_000
 
 
