@@ -7,8 +7,8 @@ documents hold beside those.
 The network reads classes: each of the `head` most frequent words is a class of its own, other known words go into
 classes by frequency, the rest is one class. P(word | history) = softmax over groups of classes, times softmax over the
 classes of the group, times the word's add-one share of its class, so the factors sum to one over the vocabulary with
-one unseen word. Training starts from the counts' own class shares and runs in parallel, one network a shard, whose
-weights are averaged by their tokens after each round; every training document takes part. Scoring carries
+one unseen word. Training starts from the counts' own class shares and runs in parallel, one network a task of the
+scan, whose weights are averaged by their tokens after each round; every training document takes part. Scoring carries
 the state across windows, so a document's log-likelihood is that of its whole text.
 """
 
@@ -25,19 +25,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrade.llm.common import apart, as_bytes, row_parts, space_words, without
+from loomgrade.llm.common import apart, as_bytes, row_parts, share, space_words, without
 from loomgrade.session import materialise, ship, table
 
-KNOWN_WORDS = 65_536  # words whose counts are broadcast, at most
+KNOWN_WORDS = 131_072  # words whose counts are broadcast, at most
 HEAD = 192  # of those, words that are classes of their own
 TAILS = 31  # classes of the other known words
 GROUP = 16  # classes in a group of the factored softmax
 HIDDEN = 16
 WINDOW = 24  # steps of truncated backpropagation
-SHARD_TOKENS = 600_000  # tokens that one of the networks trained side by side sees, about
-MOST_SHARDS = 2_000
+ROWS = 64  # texts that are read side by side in training
+SHARD_TOKENS = 2_000_000  # tokens that one of the networks trained side by side sees at least, about
+TRAIN_TOKENS = 1_000_000  # tokens that a task holds at once
 ROUNDS = 1
-RATE = 0.02
+RATE = 0.04
 FLUSH = 200_000  # different words that a counting task holds at once
 BATCH_BYTES = 8 << 20
 END = b""  # the end of a text; no word is empty
@@ -47,10 +48,10 @@ END = b""  # the end of a text; no word is empty
 class Vocabulary:
     """Known words with their class and their log10 share of it; class `rest` is everything else, -1 no input yet."""
 
-    classes: dict[bytes, int]
-    share: np.ndarray  # by class for words of it: log10 of (c + 1) is kept by word
-    log_count: dict[bytes, float]
-    log_mass: np.ndarray
+    number: dict[bytes, int]
+    classes: np.ndarray  # of each word by number, then that of all others
+    log_count: np.ndarray  # log10 of (c + 1) of each word by number, then 0
+    log_mass: np.ndarray  # log10 of each class's share
     start: np.ndarray  # natural log of the classes' shares of all words
     n: int
     v: int
@@ -63,29 +64,19 @@ class Vocabulary:
 def vocabulary(counts: list[tuple[bytes, int]], n: int, v: int, head: int = HEAD, tails: int = TAILS) -> Vocabulary:
     """counts: the most frequent words with their counts, the end of a text among them if there is one; n, v: all tokens, all different."""
     counts = sorted(counts, key=lambda x: (-x[1], x[0]))
-    classes, mass = {}, []
-    for w, c in counts[:head]:
-        classes[w] = len(mass)
-        mass.append(c + 1.0)
-    rest = counts[head:]
-    total = sum(c + 1.0 for _, c in rest)
-    done = 0.0
-    own: list[float] = []
-    for w, c in rest:  # classes of equal mass
-        at = min(tails - 1, int(tails * done / total))
-        while len(own) <= at:
-            own.append(0.0)
-        classes[w] = len(mass) + at
-        own[at] += c + 1.0
-        done += c + 1.0
-    used = {x for x in classes.values()}
-    renumber = {x: i for i, x in enumerate(sorted(used))}
-    classes = {w: renumber[x] for w, x in classes.items()}
-    mass += [m for m in own if m > 0]
+    more = np.array([c + 1.0 for _, c in counts])
+    own = np.arange(len(counts))
+    if len(counts) > head:  # classes of about equal mass
+        rest = more[head:]
+        before = np.cumsum(rest) - rest
+        own[head:] = head + np.minimum(tails - 1, (tails * before / rest.sum()).astype(np.int64))
+        own = np.unique(own, return_inverse=True)[1]
+    size = int(own[-1]) + 1 if len(own) else 0
+    mass = np.bincount(own, more, minlength=size) if size else np.zeros(0)
     whole = float(n + v + 1)
-    mass.append(max(whole - sum(mass), 1.0))  # every other word, and one unseen
-    mass_a = np.array(mass)
-    return Vocabulary(classes, np.zeros(0), {w: float(np.log10(c + 1.0)) for w, c in counts}, np.log10(mass_a), np.log(mass_a / mass_a.sum()), n, v)
+    mass = np.append(mass, max(whole - mass.sum(), 1.0))  # every other word, and one unseen
+    number = {w: i for i, (w, _) in enumerate(counts)}
+    return Vocabulary(number, np.append(own, size), np.append(np.log10(more), 0.0), np.log10(mass), np.log(mass / mass.sum()), n, v)
 
 
 class Network:
@@ -173,8 +164,9 @@ class Network:
         d[on] = d_on
         d = d.reshape(len(x), -1, n)
         back = np.zeros_like(h)
+        inputs = np.zeros((len(x), len(h), 3 * n), h.dtype)
         for t in reversed(range(len(x))):
-            xs, before, z, r, rh, c = tapes[t]
+            _, before, z, r, rh, c = tapes[t]
             dh = back + d[t]
             dc = dh * z * (1 - c * c)
             dz = dh * (c - before) * z * (1 - z)
@@ -183,8 +175,13 @@ class Network:
             gates = np.concatenate((dz, dr), axis=1)
             grads["c"] += rh.T @ dc
             grads["u"] += before.T @ gates
-            np.add.at(grads["e"], xs, np.concatenate((gates, dc), axis=1))
+            inputs[t, :, : 2 * n], inputs[t, :, 2 * n :] = gates, dc
             back = dh * (1 - z) + drh * r + gates @ self.p["u"].T
+        # of equal inputs together
+        seen, inputs = x.reshape(-1), inputs.reshape(-1, 3 * n)
+        order = np.argsort(seen, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(seen[order]) > 0])
+        grads["e"][seen[order[first]]] += np.add.reduceat(inputs[order], first, axis=0)
         return h, -float(loss.sum()), len(on)
 
 
@@ -192,7 +189,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def train(network: Network, texts: list[np.ndarray], rate: float = 0.02, rows: int = 32, seed: int = 0) -> int:
+def train(network: Network, texts: list[np.ndarray], rate: float = RATE, rows: int = ROWS, seed: int = 0) -> int:
     """Adam over windows of the texts' classes, each text read from its start with its state carried; tokens seen."""
     first, second = np.zeros_like(network.w), np.zeros_like(network.w)
     seen = steps = 0
@@ -206,7 +203,7 @@ def train(network: Network, texts: list[np.ndarray], rate: float = 0.02, rows: i
             y[: len(texts[i]), j] = texts[i]
         x = np.full_like(y, network.k)
         x[1:] = np.where(y[:-1] >= 0, y[:-1], network.k)
-        h = np.zeros((len(own), network.h))
+        h = np.zeros((len(own), network.h), network.w.dtype)
         for a in range(0, longest, WINDOW):
             flat = np.zeros_like(network.w)
             grads, at = {}, 0
@@ -216,7 +213,7 @@ def train(network: Network, texts: list[np.ndarray], rate: float = 0.02, rows: i
                 at += n
             live = y[a] >= 0
             h, _, n = network.train_window(x[a : a + WINDOW, live], y[a : a + WINDOW, live], h[live], grads)
-            full = np.zeros((len(own), network.h))
+            full = np.zeros((len(own), network.h), network.w.dtype)
             full[live] = h
             h = full
             flat /= max(n, 1)
@@ -292,38 +289,43 @@ def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, roun
     # the least count that leaves no more words than wanted: from a histogram of a few thousand bins, as a limit would
     # send that many words of each partition to the driver
     bin_ = F.floor(F.log2(F.col("c").cast("double")) * 64).cast("int")
-    least, met = 0, 0
+    least, met = 64, 0  # words of one occurrence stand for words that training has not met, in the class of all others
     for r in sorted(counts.groupBy(bin_.alias("b")).count().collect(), key=lambda r: -r.b):
         met += r["count"]
         if met > known_words:
-            least = r.b + 1
+            least = max(least, r.b + 1)
             break
     known = [(bytes(r.w), r.c) for r in counts.where(bin_ >= least).collect()]
     words = vocabulary(known, int(n), int(v))
     network = Network(words.start)
     if not known:
         return words, network.w
-    shared = spark.sparkContext.broadcast(words)
-    shards = int(min(MOST_SHARDS, max(1, n // SHARD_TOKENS)))
-    h = F.xxhash64("doc_id", "text")
-    dealt = docs.select("text", F.pmod(F.shiftright(h, 20), F.lit(shards)).cast("int").alias("shard"))
-    dealt = materialise(dealt.repartition("shard"), "training")
+    shared = share(spark, words)
+    # a network for each task of the scan, or of a few of its parts if they are small: no text is shuffled
+    dealt = docs.select("text").coalesce(int(max(1, n // SHARD_TOKENS)))
     for rounds_done in range(rounds):
-        now = spark.sparkContext.broadcast(network.w)
+        now = share(spark, network.w)
 
-        def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own = Network(shared.value.start, weights=now.value)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = Network(shared.value.start, weights=now.value.astype(np.float32))
             seen, group, size = 0, [], 0
-            for batch in rows:
+
+            def learn():
+                slower = (1 + rounds_done) * (1 + seen / SHARD_TOKENS)
+                return train(own, group, rate / slower, seed=seen)
+
+            for batch in batches:
                 for text in as_bytes(batch.column("text")):
                     group.append(classes(shared.value, space_words(text)))
                     size += len(group[-1])
-                    if size > 1_000_000:  # a bounded part of the shard at a time
-                        seen += train(own, group, rate / (rounds_done + 1), seed=seen)
+                    if size > TRAIN_TOKENS:
+                        seen += learn()
                         group, size = [], 0
             if group:
-                seen += train(own, group, rate / (rounds_done + 1), seed=seen)
-            yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py() % 32], pa.int64()), pa.array([(own.w * seen).tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["part", "w", "n"])
+                seen += learn()
+            part = TaskContext.get().partitionId() % 32
+            total = own.w.astype(np.float64) * seen
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["part", "w", "n"])
 
         def add(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, n = 0.0, 0
@@ -332,7 +334,7 @@ def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, roun
                     total, n = total + np.frombuffer(w), n + m
             yield pa.RecordBatch.from_arrays([pa.array([np.asarray(total).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
-        made = dealt.groupBy("shard").applyInArrow(run, "part bigint, w binary, n bigint").groupBy("part").applyInArrow(add, "w binary, n bigint").collect()
+        made = dealt.mapInArrow(run, "part bigint, w binary, n bigint").groupBy("part").applyInArrow(add, "w binary, n bigint").collect()
         total = sum(x.n for x in made)
         if not total:
             break
@@ -340,9 +342,17 @@ def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, roun
     return words, network.w
 
 
+def numbers(words: Vocabulary, tokens: list[bytes]) -> np.ndarray:
+    """Numbers of the tokens and of the text's end; the last number is that of words which are not known."""
+    get, other = words.number.get, len(words.number)
+    out = np.empty(len(tokens) + 1, np.int64)
+    out[:-1] = [get(w, other) for w in tokens]
+    out[-1] = get(END, other)
+    return out
+
+
 def classes(words: Vocabulary, tokens: list[bytes]) -> np.ndarray:
-    get, rest = words.classes.get, words.size - 1
-    return np.array([get(w, rest) for w in tokens] + [get(END, rest)], np.int64)
+    return words.classes[numbers(words, tokens)]
 
 
 @apart
@@ -355,14 +365,14 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
     """
     spark = docs.sparkSession
     ship(spark)
-    shared, net = spark.sparkContext.broadcast(words), spark.sparkContext.broadcast(weights)
+    shared, net = share(spark, words), share(spark, weights)
     df = without(docs, ["n_tokens", "n_known", "train_tokens", "base_score", "score"])
     keep = [c for c in df.columns if c != "text" or "text" in docs.columns]
 
     def run(batches):
         own = shared.value
         network = Network(own.start, weights=net.value.astype(np.float32))
-        log_count, rest = own.log_count, own.size - 1
+        other = len(own.number)
         task, row = TaskContext.get().partitionId(), 0
         for whole in batches:
             texts = as_bytes(whole.column("text"))
@@ -371,16 +381,16 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
                 ids, sums, fixed, tokens, known, others = [], [], [], [], [], []
                 for text in texts[a:b]:
                     split = space_words(text)
-                    split.append(END)
-                    c = classes(own, split[:-1])
+                    at = numbers(own, split)
+                    c = own.classes[at]
                     ids.append(c)
-                    strange = [split[i] for i in np.flatnonzero(c == rest).tolist()]
-                    others.append(Counter(w for w in strange))
-                    logs = sum(map(log_count.get, (w for w in split if w in log_count))) if strange else sum(map(log_count.__getitem__, split))
+                    strange = np.flatnonzero(at == other).tolist()
+                    others.append(Counter(split[i] if i < len(split) else END for i in strange))
+                    logs = float(own.log_count[at].sum())
                     sums.append(logs)
                     fixed.append(logs - float(own.log_mass[c].sum()))
-                    tokens.append(len(split))
-                    known.append(len(split) - len(strange))
+                    tokens.append(len(at))
+                    known.append(len(at) - len(strange))
                 like = log_likelihoods(network, ids) / np.log(10)
                 bags = pa.array([[{"w": w, "n": n} for w, n in o.items()] for o in others], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
                 made = [pa.array([task] * (b - a), pa.int64()), pa.array(range(row, row + b - a), pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array((like + np.array(fixed)).tolist(), pa.float64()), bags]

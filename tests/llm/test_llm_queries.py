@@ -75,6 +75,42 @@ def test_lm_counts_and_gain(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_scores_against_a_plain_walk(spark, texts):
+    """Word by word with the fitted weights: the gated state, both softmax levels and a word's share of its class."""
+    from loomgrade.llm import language_model as L
+    from loomgrade.session import table
+
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    training = docs.where(~L.held_out(docs["doc_id"]))
+    counts = {bytes(r.w): r.c for r in L.word_counts(training).collect()}
+    rows = spark.createDataFrame([(w, c) for w, c in counts.items()], "w binary, c bigint")
+    words, weights = L.fit(training, rows)
+    net = L.Network(words.start, weights=weights)
+    some = [d for d in sorted(texts) if len(texts[d]) < 1500][:12]
+    got = {r.doc_id: r.score for r in L.score(docs.where(docs["doc_id"].isin(some)), words, weights, rows).collect()}
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    for d in some:
+        h, x, total = [0.0] * net.h, net.k, 0.0
+        for w in [*words_of(texts[d]), b""]:
+            e = net.p["e"][x]
+            zr = [sig(float(e[j]) + sum(h[i] * float(net.p["u"][i, j]) for i in range(net.h))) for j in range(2 * net.h)]
+            c = [math.tanh(float(e[2 * net.h + j]) + sum(zr[net.h + i] * h[i] * float(net.p["c"][i, j]) for i in range(net.h))) for j in range(net.h)]
+            h = [h[j] + zr[j] * (c[j] - h[j]) for j in range(net.h)]
+            y = int(L.classes(words, [w] if w else [])[0])
+            a = [sum(h[i] * float(net.p["go"][i, j]) for i in range(net.h)) + float(net.p["gb"][j]) for j in range(net.groups)]
+            g = y // net.g
+            b = {k: sum(h[i] * float(net.p["wo"][k, i]) for i in range(net.h)) + float(net.p["wb"][k]) for k in range(g * net.g, (g + 1) * net.g)}
+            top = lambda xs: max(xs) + math.log(sum(math.exp(v - max(xs)) for v in xs))
+            share = math.log10(counts.get(w, 0) + 1) - float(words.log_mass[y])
+            total += (a[g] - top(a) + b[y] - top(list(b.values()))) / math.log(10) + share
+            x = y
+        assert math.isclose(got[d], total, rel_tol=2e-5), d
+
+
+def words_of(t):
+    return [w.encode() for w in words(t)]
+
+
 def test_bpe_against_the_library(spark, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
