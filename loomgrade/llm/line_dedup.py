@@ -208,14 +208,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # brute force over lengths that differ by one at most; the ends that an edit leaves alone make it an equi-join
 SQL = """
-WITH o AS (SELECT doc_id, pos, lines[pos] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
-u AS (SELECT line, min((doc_id, pos)) AS f FROM o WHERE trim(line) <> '' GROUP BY line),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+o AS (SELECT r, (doc_id IS NULL, coalesce(doc_id, 0), text, pos) AS f, pos, lines[pos] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d))),
+u AS (SELECT line, min(f) AS f FROM o WHERE trim(line) <> '' GROUP BY line),
 e AS (SELECT line, f, length(line) AS n, left(line, 12) AS a, right(line, 12) AS b FROM u WHERE length(line) >= 24),
 near AS (SELECT x.line FROM e x JOIN e y ON x.a = y.a AND abs(x.n - y.n) <= 1 AND x.line <> y.line WHERE y.f < x.f AND levenshtein(x.line, y.line) <= 1
   UNION SELECT x.line FROM e x JOIN e y ON x.b = y.b AND abs(x.n - y.n) <= 1 AND x.line <> y.line WHERE y.f < x.f AND levenshtein(x.line, y.line) <= 1),
-k AS (SELECT o.doc_id, o.pos, o.line FROM o LEFT JOIN u ON o.line = u.line AND u.f = (o.doc_id, o.pos) LEFT JOIN near ON o.line = near.line
+k AS (SELECT o.r, o.pos, o.line FROM o LEFT JOIN u ON o.line = u.line AND u.f = o.f LEFT JOIN near ON o.line = near.line
   WHERE trim(o.line) = '' OR (u.line IS NOT NULL AND near.line IS NULL)),
-t AS (SELECT doc_id, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text FROM k GROUP BY doc_id)
+t AS (SELECT r, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text FROM k GROUP BY r)
 SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines, coalesce(n_kept, 0)::BIGINT AS n_kept, sha256(coalesce(t.text, '')) AS text_sha256
-FROM documents d LEFT JOIN t USING (doc_id)
+FROM d LEFT JOIN t USING (r)
 """

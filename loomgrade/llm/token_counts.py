@@ -22,6 +22,7 @@ from loomgrade.session import fresh_path, materialise, ship, table
 
 EOD = 50_256
 WIDTH = 2
+FILE_BYTES = 128 << 20
 
 
 def scan_blocks(spark: SparkSession, path: str, eod: int = EOD, width: int = WIDTH) -> DataFrame:
@@ -101,6 +102,8 @@ def write_flat(docs: DataFrame, path: str, files: int) -> None:
     """Token files of documents for the query below: hashed word ids, file=<k> by the document's hash, in order of doc_id.
 
     The text writer ends every record with the bytes of the end-of-document id, so what it writes is a flat token file.
+    Null and empty texts are an end alone. Rows of equal doc_id go by their texts' hashes, equal rows in any order, as
+    they have equal tokens. An empty table gives no file.
     """
 
     def make():
@@ -133,7 +136,9 @@ def _place(files: int) -> list:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, counted from flat files that hold neither ids nor offsets of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many files as keep each below about the bytes of text that FILE_BYTES says, by the scan's own estimate
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
     path = fresh_path(spark, "tokens")
     write_flat(docs, path, files)
     counted = count_tokens(spark, path).where("closed").select(F.regexp_extract("file", r"/file=(\d+)/", 1).cast("int").alias("file"), "ordinal", "n_tokens")

@@ -152,6 +152,9 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = K, block: int = B
                 yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64()), pa.array([min(max(h[2], -(2**63)), 2**63 - 1) for h in hits], pa.int64())], names=["query_id", "vec_id", "score"])
 
         found = candidates.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+        if blocks > 1:  # one block's queries at a time are held
+            found = materialise(found, "found")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

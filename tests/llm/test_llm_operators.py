@@ -368,6 +368,18 @@ def test_chat_parts_and_controls(spark):
     assert [(t.role, t.text) for t in back[2].turns] == [("", "")] and back[2].learnt == ""
 
 
+def test_empty_tables_and_extra_columns(spark):
+    chats = spark.createDataFrame([(1, 0, "user", "a", "x")], "conv_id bigint, turn bigint, role string, text string, formatted string")
+    assert chat.format_chats(chats).first().formatted == "<|turn:user|>a<|end|>" and chat.format_chats(chats.where("false")).count() == 0
+    vectors = spark.createDataFrame([(1, [1.0] * 3000, "x"), (2, [2.0] * 3000, "y")], "vec_id bigint, embedding array<double>, v string")
+    good = topk.quantised(vectors, "vec_id", "embedding")
+    assert [(r.query_id, r.vec_id) for r in topk.search(good.where("vec_id = 1"), good).collect()] == [(1, 2)]
+    assert topk.search(good.where("false"), good).count() == 0 == topk.search(good, good.where("false")).count()
+    long = "http://a.example.com/en/7" + "x" * 200_000 + "/casino"
+    urls = spark.createDataFrame([(1, long, "v")], "page_id bigint, url string, verdict string")
+    assert url_filter.filter_urls(urls).first().rule == "example.com/en/7" and url_filter.filter_urls(urls.where("false")).count() == 0
+
+
 @settings(max_examples=10, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a|>b&", None]), st.text(alphabet="<|>&end;lt:/turn \n[é", max_size=30)), min_size=1, max_size=4))
 def test_chat_round_trip(spark, turns):
