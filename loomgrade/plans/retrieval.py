@@ -11,6 +11,7 @@ from loomgrade.functions import text as X
 from loomgrade.functions import vectors as V
 from loomgrade.operators import retrieval as R
 from loomgrade.plans import bindings as B
+from loomgrade.session import materialise
 
 #: The reference floor of 0.48 would leave nothing of vectors that are at most 0.5 alike.
 CONFIG = replace(R.DEFAULTS, floor=0.12)
@@ -123,8 +124,8 @@ def boosted_ranking(spark, sf):
     return f.where(F.col("position") <= CONFIG.results).select("query_id", "position", "skill_id", "score")
 
 
-def _rescue(spark, sf):
-    losers = _fused(spark, sf).where(F.col("position") > CONFIG.results).select("query_id", "skill_id")
+def _rescue(spark, sf, fused=None):
+    losers = (fused or _fused(spark, sf)).where(F.col("position") > CONFIG.results).select("query_id", "skill_id")
     scored = R.subunit_scores(losers, B.subunits(spark, sf), B.queries(spark, sf))
     best = R.top(scored, ["query_id", "skill_id"], [F.desc("relevance"), F.col("subunit_id")], 3, "at")
     return best.where(F.col("relevance") >= CONFIG.rescue)
@@ -135,10 +136,11 @@ def rescue_pool(spark, sf):
 
 
 def _composite(spark, sf):
-    winners = _fused(spark, sf).where(F.col("position") <= CONFIG.results).select("query_id", "skill_id")
+    fused = materialise(_fused(spark, sf), "fused")  # winners and losers of one ranking
+    winners = fused.where(F.col("position") <= CONFIG.results).select("query_id", "skill_id")
     own = winners.join(B.skills(spark, sf).select("skill_id", "name", F.substring("text", 1, 120).alias("description")), "skill_id")
     own = own.select("query_id", "skill_id", "name", X.words(F.concat_ws(" ", "name", "description")).alias("st"))
-    cues = _rescue(spark, sf).join(B.skills(spark, sf).select("skill_id", F.col("name").alias("source_skill")), "skill_id")
+    cues = _rescue(spark, sf, fused).join(B.skills(spark, sf).select("skill_id", F.col("name").alias("source_skill")), "skill_id")
     cues = cues.select("query_id", F.col("skill_id").alias("cue_skill"), "source_skill", "subunit_id", "relevance", X.words(F.concat_ws(" ", "title", "content")).alias("ct"))
     pairs = own.join(cues, "query_id").where("source_skill <> name")
     value = R.six(0.6 * F.col("relevance") + 0.4 * X.overlap(F.col("st"), F.col("ct")))

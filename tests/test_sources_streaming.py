@@ -120,7 +120,7 @@ def test_llm_is_optional(monkeypatch):
 
     def missing(name, *a, **k):
         if name == "corpus_pipeline" or name.startswith("loomgrade.llm"):
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)
         return real(name, *a, **k)
 
     for name in [m for m in sys.modules if m == "corpus_pipeline" or m.startswith("loomgrade.llm")]:
