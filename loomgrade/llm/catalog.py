@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrade.llm import bpe, chat, decontamination, language_model, line_dedup, simhash, token_counts, topk, toxicity, url_filter
+from loomgrade.llm import bpe, chat, decontamination, importance, language_model, line_dedup, simhash, token_counts, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_dedup": line_dedup.query,
         "op9_exact_topk": topk.query,
         "op10_chat_formatting": chat.query,
+        "op11_importance_resampling": importance.query,
     }
 
 
@@ -28,4 +29,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_line_dedup": line_dedup.SQL,
         "op9_exact_topk": topk.SQL,
         "op10_chat_formatting": chat.SQL,
+        "op11_importance_resampling": importance.SQL,
     }
