@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomgrade.llm import bpe, chat, decontamination, importance, language_model, line_dedup, simhash, structure_repair, token_counts, topk, toxicity, url_filter
+from loomgrade.llm import bpe, chat, decontamination, importance, language_id, language_model, line_dedup, simhash, structure_repair, token_counts, topk, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_exact_topk": topk.query,
         "op10_chat_formatting": chat.query,
         "op11_importance_resampling": importance.query,
+        "op12_language_id": language_id.query,
         "op13_structure_repair": structure_repair.query,
     }
 
