@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgrade.llm import bpe, decontamination, line_dedup, simhash, toxicity
-from loomgrade.llm.common import release
+from loomgrade.llm.common import owned
 from loomgrade.session import materialise, ship, table
 
 
@@ -77,6 +77,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
-        release()  # what the stage has broadcast is no longer needed
+        with owned():  # what the stage broadcasts is of no use once its documents are written
+            docs = materialise(stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,8 @@ Conventions of all operators here:
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 from collections.abc import Callable, Iterator
 
@@ -48,20 +50,32 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 
 PART_BYTES = 4 << 20  # text that is worked on at once
-_shared: list[Broadcast] = []
+_owner: contextvars.ContextVar[list[Broadcast] | None] = contextvars.ContextVar("owner", default=None)
 
 
 def share(spark: SparkSession, value) -> Broadcast:
-    """A broadcast of a value of proven size, known to `release`."""
+    """A broadcast of a value of proven size; it belongs to the `owned` block that it is made in, if any."""
     held = spark.sparkContext.broadcast(value)
-    _shared.append(held)
+    mine = _owner.get()
+    if mine is not None:
+        mine.append(held)
     return held
 
 
-def release() -> None:
-    """Destroy what `share` has broadcast. Only for when every result that uses it has been written."""
-    while _shared:
-        _shared.pop().destroy()
+@contextlib.contextmanager
+def owned() -> Iterator[None]:
+    """A block that destroys the broadcasts made in it, and no others, when it ends.
+
+    Only for blocks that write what they make: a DataFrame that is kept must not need them afterwards.
+    """
+    mine: list[Broadcast] = []
+    token = _owner.set(mine)
+    try:
+        yield
+    finally:
+        _owner.reset(token)
+        for held in mine:
+            held.destroy()
 
 
 def apart(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
