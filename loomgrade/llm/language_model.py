@@ -197,25 +197,27 @@ def train(network: Network, texts: list[np.ndarray], rate: float = RATE, rows: i
     groups = [order[i : i + rows] for i in range(0, len(order), rows)]
     np.random.default_rng(seed).shuffle(groups)
     for own in groups:
-        longest = max(len(texts[i]) for i in own)
-        y = np.full((longest, len(own)), -1, np.int64)
-        for j, i in enumerate(own):
-            y[: len(texts[i]), j] = texts[i]
-        x = np.full_like(y, network.k)
-        x[1:] = np.where(y[:-1] >= 0, y[:-1], network.k)
+        sizes = np.array([len(texts[i]) for i in own])
+        longest = int(sizes.max())
         h = np.zeros((len(own), network.h), network.w.dtype)
         for a in range(0, longest, WINDOW):
+            # a window of the texts that reach it is in memory, never the group up to its longest text
+            live = sizes > a
+            y = np.full((min(WINDOW, longest - a), int(live.sum())), -1, np.int64)
+            x = np.full_like(y, network.k)
+            for j, i in enumerate(own[live]):
+                part = texts[i][a : a + WINDOW]
+                y[: len(part), j] = part
+                x[1 : len(part) + 1, j] = part[: len(y) - 1]
+                if a:
+                    x[0, j] = texts[i][a - 1]
             flat = np.zeros_like(network.w)
             grads, at = {}, 0
             for name, shape in network.slices.items():
                 n = int(np.prod(shape))
                 grads[name] = flat[at : at + n].reshape(shape)
                 at += n
-            live = y[a] >= 0
-            h, _, n = network.train_window(x[a : a + WINDOW, live], y[a : a + WINDOW, live], h[live], grads)
-            full = np.zeros((len(own), network.h), network.w.dtype)
-            full[live] = h
-            h = full
+            h[live], _, n = network.train_window(x, y, h[live], grads)
             flat /= max(n, 1)
             norm = np.sqrt((flat * flat).sum())
             if norm > 1:
