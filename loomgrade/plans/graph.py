@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgrade.functions.fixed import STOP_WORDS
+from loomgrade.operators import density as D
 from loomgrade.operators import graph as G
 from loomgrade.plans import bindings as B
+from loomgrade.session import materialise
 
 
 def _links(spark, sf):
@@ -58,7 +60,13 @@ def tfidf_cluster_label(spark, sf):
 
 
 def density_clusters(spark, sf):
-    return G.density_clusters(B.skills(spark, sf))
+    return D.density_clusters(B.skills(spark, sf))
+
+
+def graph_communities(spark, sf):
+    """Both layers as a rebuild makes them: density clusters of the vectors, named by their terms, and tag groups."""
+    found = materialise(D.density_clusters(B.skills(spark, sf)), "clusters")
+    return G.communities(found, B.skills(spark, sf))
 
 
 def dual_membership(spark, sf):
@@ -107,6 +115,7 @@ l2 AS (SELECT *, 'global-cluster-' || terms[1] || '-' || terms[2] AS l, row_numb
 l3 AS (SELECT cluster, CASE WHEN t = 1 THEN l ELSE l || '-' || terms[3] END AS l FROM l2)
 SELECT cluster, CASE WHEN row_number() OVER (PARTITION BY l ORDER BY cluster) = 1 THEN l ELSE l || '-' || (SELECT min(skill_id) FROM sk WHERE label = cluster) END AS label FROM l3"""),
     "density_clusters": (density_clusters, None),
+    "graph_communities": (graph_communities, None),
     "dual_membership": (dual_membership, f"WITH {B.SKILLS} SELECT skill_id, scope || '-cluster-' || label AS name, 'hdbscan' AS source FROM sk UNION ALL SELECT skill_id, scope || '-' || lang, 'tag' FROM sk"),
     "recurrence_components": (recurrence_components, f"""WITH RECURSIVE {B.SKILLS}, pj AS (SELECT * FROM sk WHERE scope = 'project'), ed AS (SELECT a.skill_id AS a, b.skill_id AS b FROM pj a JOIN pj b ON a.skill_id <> b.skill_id AND round({B.cosine_sql('a.vec', 'b.vec')}, 6) >= 0.35),
 re AS (SELECT skill_id AS a, skill_id AS b FROM pj UNION SELECT re.a, ed.b FROM re JOIN ed ON re.b = ed.a) SELECT a AS skill_id, min(b) AS representative FROM re GROUP BY 1"""),

@@ -153,14 +153,6 @@ def test_similar_pairs_in_blocks(spark, monkeypatch):
     assert {(r.a, r.b) for r in G.similar_pairs(rows, 0.8).collect()} == want
 
 
-def test_density_finds_groups_and_noise():
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(0, 0.05, (6, 3)), rng.normal(5, 0.05, (6, 3)), [[40.0, -40.0, 40.0]]])
-    got = G._density(x, 3)
-    assert len(set(got[:6])) == 1 and len(set(got[6:12])) == 1 and got[0] != got[6] and got[12] == -1 and (got == G._density(x, 3)).all()
-    assert (G._density(x[:2], 3) == -1).all()
-
-
 def test_taken_label_gets_a_term_more(spark):
     scores = spark.createDataFrame([(c, t, s) for c in (1, 2, 3) for t, s in (("aa", 3.0), ("bb", 2.0), ("cc", 1.0))], "cluster int, term string, score double")
     scopes = spark.createDataFrame([(1, "project", 10), (2, "project", 20), (3, "project", 30), (4, "project", 40)], "cluster int, scope string, first_member bigint")
@@ -289,15 +281,3 @@ def test_walks_keep_keys_apart_and_take_nulls(spark):
     got = {r.call_id: r.hit for r in S.cache_hits(calls, 60).collect()}
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}
     assert S.cache_hits(calls.where("false"), 60).count() == 0
-
-
-def test_density_against_the_whole_matrix(spark):
-    """The published steps with all distances at hand: cores, mutual reachability, spanning tree weights."""
-    rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(c, 0.05, (12, 2)) for c in (0, 3, 7)] + [rng.uniform(20, 90, (4, 2))])
-    got = G._density(x, 3)
-    assert [len({*got[a : a + 12].tolist()}) for a in (0, 12, 24)] == [1, 1, 1] and len({got[0], got[12], got[24]}) == 3 and -1 not in got[:36]
-    shuffled = rng.permutation(len(x))
-    again = np.empty(len(x), int)
-    again[shuffled] = G._density(x[shuffled], 3)
-    assert all((got[i] == got[j]) == (again[i] == again[j]) for i in range(36) for j in range(36))
