@@ -1,14 +1,12 @@
-"""Files in and out: procedural documents, fingerprints, transcripts, versioned snapshots, drafts and proposals.
+"""Files in and out: procedural documents, fingerprints, transcripts, drafts and proposals.
 
-Reading goes through Spark's own sources, so any store that Spark can read will do. A snapshot becomes visible by its
-manifest alone: a reader pins one version and never sees half of another.
+Reading goes through Spark's own sources, so any store that Spark can read will do. Snapshots: see `snapshots`.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from loomgrade.functions.fixed import IGNORED_DIRECTORIES, LIFECYCLE_FILES, SECTIONS
 
@@ -89,29 +87,6 @@ def strict_transcript(lines: DataFrame) -> DataFrame:
     return rows.where("trim(speaker) <> '' AND trim(content) <> ''")
 
 
-def publish_snapshot(tables: dict[str, DataFrame], path: str) -> int:
-    """Write a new version of all tables and then its manifest; the version. One writer at a time."""
-    spark = next(iter(tables.values())).sparkSession
-    version = current_version(spark, path) + 1
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}/graph_version={version}")
-    spark.createDataFrame([(version,)], "graph_version bigint").coalesce(1).write.mode("append").json(f"{path}/_manifests")
-    return version
-
-
-def current_version(spark: SparkSession, path: str) -> int:
-    """The latest published version; 0 before the first."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_manifests")
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-        return 0
-    return spark.read.schema(T.StructType([T.StructField("graph_version", T.LongType())])).json(f"{path}/_manifests").agg(F.coalesce(F.max("graph_version"), F.lit(0))).first()[0]
-
-
-def read_snapshot(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
-    """A table of the pinned version, or of the latest published one."""
-    return spark.read.parquet(f"{path}/{name}/graph_version={version or current_version(spark, path)}")
-
-
 def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
     """point_id, vec, at: the later of each point's rows, ties to the new one."""
     rows = old.withColumn("__g", F.lit(0)).unionByName(new.withColumn("__g", F.lit(1)))

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomgrade.sources.snapshots import Store
+
 MOST_BYTES = 10 * 1024 * 1024
 
 
@@ -77,28 +79,45 @@ def breaker(calls: DataFrame, threshold: int = 5, open_seconds: float = 30.0) ->
     return calls.groupBy("provider").applyInPandasWithState(walk, "provider string, call_id long, state string, allowed boolean", "failures long, opened long", "append", GroupStateTimeout.NoTimeout)
 
 
-def relay(outbox: DataFrame, deliver: Callable[[DataFrame], None], checkpoint: str):
+def relay(outbox: DataFrame, deliver: Callable[[DataFrame], None], checkpoint: str, time: str | None = None, ttl: str = "1 day"):
     """Deliver each batch's vector events, the last of each point; other types never pass. Runs until what is there is done.
 
-    A failed delivery replays the batch, so `deliver` must be idempotent, as an upsert by point is.
+    A key is delivered once, whichever batches repeat it: its state is kept for ever, or within the TTL of event time if `time`
+    names its column. A failed delivery replays the batch, so `deliver` must be idempotent, as an upsert by point is.
     """
     from loomgrade.operators.state import latest_by_point
 
+    own = outbox.where("event_type = 'vector.upsert' AND trim(idempotency_key) <> ''")
+    once = idempotent(own, time=time, ttl=ttl) if time else own.dropDuplicates(["idempotency_key"])
+
     def batch(rows: DataFrame, _: int) -> None:
-        deliver(latest_by_point(rows.where("event_type = 'vector.upsert' AND trim(idempotency_key) <> ''").dropDuplicates(["idempotency_key"])))
+        deliver(latest_by_point(rows))
+
+    return once.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    return outbox.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+def served_version(spark: SparkSession, checkpoint: str) -> int:
+    """The version that `refresh` has loaded last, 0 before the first."""
+    return max((int(n) for n, _ in Store(spark, f"{checkpoint}/served").names()), default=0)
 
 
 def refresh(events: DataFrame, reload: Callable[[int], None], checkpoint: str):
-    """Reload once for each batch that says the graph was rebuilt, to its latest version, which never falls."""
-    served = [0]
+    """Reload once for each batch that says the graph was rebuilt, to its latest version, which never falls.
+
+    The served version stands beside the checkpoint, so a restart neither falls back nor loads again what is served. It is
+    noted after the reload: a crash between the two loads the version once more.
+    """
+    spark = events.sparkSession
+    store = Store(spark, f"{checkpoint}/served")
 
     def batch(rows: DataFrame, _: int) -> None:
         latest = rows.where("event_type = 'graph.rebuilt'").agg(F.max("version")).first()[0]
-        if latest is not None and latest > served[0]:
+        if latest is not None and latest > served_version(spark, checkpoint):
             reload(latest)
-            served[0] = latest
+            store.create(f"{latest}", "")
+            for name, _ in store.names():
+                if int(name) < latest:
+                    store.delete(name)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
