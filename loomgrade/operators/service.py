@@ -27,6 +27,45 @@ def blank(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit(""))) == ""
 
 
+def status_rows(calls: DataFrame, *more: str) -> DataFrame:
+    """What the rule of `resolve_status` needs of each call, and columns of theirs to keep."""
+    key = F.concat_ws("\n", F.sha2(F.coalesce("prompt", F.lit("")), 256), F.concat_ws(",", F.array_sort(F.coalesce("scopes", F.array().cast("array<string>")))))
+    first = F.coalesce(F.get("reasons", 0), F.lit("retrieval_degraded"))
+    columns = ["session_id", "call_id", micros(F.col("at")).alias("t"), F.coalesce("repo", F.lit("")).alias("repo"), key.alias("key"), "version"]
+    flags = [F.coalesce(c, F.lit(False)).alias(n) for c, n in ((F.col("trigger") == "compact", "compact"), (F.col("found") > 0, "found"), (F.col("degraded"), "degraded"), (F.col("clear"), "clear"))]
+    return calls.select(*columns, *flags, first.alias("why"), *more)
+
+
+class StatusRule:
+    """What a session's next call is answered; `answered` and `cached` are its memories: get, set and clear by key.
+
+    answered: repository to (version, micros); cached: prompt and scopes to (version, micros, status, reason).
+    """
+
+    def __init__(self, answered, cached, suppress_seconds: int | None = None, cache_seconds: int | None = None):
+        self.answered, self.cached = answered, cached
+        self.limits = [None if s is None else s * 1_000_000 for s in (suppress_seconds, cache_seconds)]
+
+    def __call__(self, t, repo, key, version, compact, found, degraded, clear, why, **_) -> tuple:
+        if clear:
+            self.answered.clear()
+            self.cached.clear()
+            return None, None, None
+        if not compact:
+            for memory, at, most in ((self.answered, repo, self.limits[0]), (self.cached, key, self.limits[1])):
+                got = memory.get(at)
+                if got and got[0] == version and (most is None or t - got[1] < most):
+                    if memory is self.answered:
+                        return "duplicate_suppressed", "already_compiled_for_session", "suppression"
+                    return got[2], got[3], "cache"
+        if degraded:
+            return "degraded", why, "retrieval"
+        answer = ("ok", None) if found else ("no_match", "no_relevant_skills")
+        self.answered[repo] = (version, t)
+        self.cached[key] = (version, t, *answer)
+        return *answer, "retrieval"
+
+
 def resolve_status(calls: DataFrame, suppress_seconds: int | None = None, cache_seconds: int | None = None) -> DataFrame:
     """call_id, status, reason, source of every call: suppressed, else cached, else retrieved.
 
@@ -36,39 +75,8 @@ def resolve_status(calls: DataFrame, suppress_seconds: int | None = None, cache_
     own answer in them. Degraded answers leave nothing. A row with `clear` empties both for its session, and has no
     status. The seconds limit how long they remember; None is for ever. A session's calls are walked in order.
     """
-    key = F.concat_ws("\n", F.sha2(F.coalesce("prompt", F.lit("")), 256), F.concat_ws(",", F.array_sort(F.coalesce("scopes", F.array().cast("array<string>")))))
-    first = F.coalesce(F.get("reasons", 0), F.lit("retrieval_degraded"))
-    columns = ["session_id", "call_id", micros(F.col("at")).alias("t"), F.coalesce("repo", F.lit("")).alias("repo"), key.alias("key"), "version"]
-    flags = [F.coalesce(c, F.lit(False)).alias(n) for c, n in ((F.col("trigger") == "compact", "compact"), (F.col("found") > 0, "found"), (F.col("degraded"), "degraded"), (F.col("clear"), "clear"))]
-    rows = calls.select(*columns, *flags, first.alias("why"))
-    alive = lambda then, now, most: most is None or now - then < most * 1_000_000
-
-    def rule():
-        answered: dict = {}
-        cached: dict = {}
-
-        def step(t, repo, key, version, compact, found, degraded, clear, why, **_):
-            if clear:
-                answered.clear()
-                cached.clear()
-                return None, None, None
-            if not compact:
-                got = answered.get(repo)
-                if got and got[0] == version and alive(got[1], t, suppress_seconds):
-                    return "duplicate_suppressed", "already_compiled_for_session", "suppression"
-                got = cached.get(key)
-                if got and got[0] == version and alive(got[1], t, cache_seconds):
-                    return got[2], got[3], "cache"
-            if degraded:
-                return "degraded", why, "retrieval"
-            answer = ("ok", None) if found else ("no_match", "no_relevant_skills")
-            answered[repo] = (version, t)
-            cached[key] = (version, t, *answer)
-            return *answer, "retrieval"
-
-        return step
-
-    done = walk(rows, "session_id", ["t", "call_id"], rule, "status string, reason string, source string")
+    rows = status_rows(calls)
+    done = walk(rows, "session_id", ["t", "call_id"], lambda: StatusRule({}, {}, suppress_seconds, cache_seconds), "status string, reason string, source string")
     return done.where("NOT clear").select("session_id", "call_id", "status", "reason", "source")
 
 
