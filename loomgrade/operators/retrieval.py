@@ -6,16 +6,19 @@ rows are dealt. Queries are a stated set: they are broadcast in blocks of a chec
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomgrade.functions import text as X
 from loomgrade.functions import vectors as V
+from loomgrade.session import materialise, ship
 
 
 @dataclass(frozen=True)
@@ -80,7 +83,10 @@ def configured(values: Mapping[str, str], defaults: Config = DEFAULTS) -> Config
         except (KeyError, ValueError):
             raise ValueError(f"{name} is set but not a valid value: {raw!r}") from None
     return replace(defaults, **changed)
-BLOCK = 10_000
+
+
+BLOCK = 10_000  # queries that are broadcast together
+QUERY_BYTES = 64 << 20  # of their vectors
 
 
 def in_blocks(queries: DataFrame, against: Callable[[DataFrame], DataFrame], key: str = "query_id", block: int = BLOCK) -> DataFrame:
@@ -110,16 +116,115 @@ def under(paths: Column, roots: Column) -> Column:
     return (F.size(roots) == 0) | ((F.size(paths) > 0) & inside)
 
 
-def with_cosine(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """queries (query_id, qvec, ...) against rows (vec, ...): all columns and cosine, not below 0."""
-    q = queries.withColumn("qn", V.norm(F.col("qvec")))
-    r = rows.withColumn("vn", V.norm(F.col("vec")))
-    pair = lambda block: r.crossJoin(block).withColumn("cosine", six(F.greatest(V.cosine(F.col("qvec"), F.col("vec"), F.col("qn"), F.col("vn")), F.lit(0.0))))
-    return in_blocks(q, pair).drop("qn", "vn")
+def _unit(vectors: pa.Array | pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: which vectors have it, and they themselves at length one. Null, empty, zero and non-finite ones are in none."""
+    v = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = np.diff(v.offsets.to_numpy())
+    sizes = np.where(v.is_null().to_numpy(zero_copy_only=False), 0, sizes)
+    out = {}
+    for d in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == d)
+        x = v.take(pa.array(at)).flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, d)
+        norm = np.sqrt((x * x).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        out[d] = at[good], x[good] / norm[good][:, None]
+    return out
+
+
+class _Best:
+    """The k highest scores of each query and group seen so far; ties go to the smaller id."""
+
+    def __init__(self, k: int):
+        self.k, self.held, self.size, self.room = k, [], 0, 1 << 16
+
+    def add(self, query: np.ndarray, group: np.ndarray, row: np.ndarray, score: np.ndarray) -> None:
+        self.held.append((query, group, row, score))
+        self.size += len(query)
+        if self.size > self.room:
+            self.held = [self.all()]
+            self.size = len(self.held[0][0])
+            self.room = max(self.room, 2 * self.size)
 
+    def all(self) -> tuple[np.ndarray, ...]:
+        if not self.held:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        query, group, row, score = (np.concatenate(c) for c in zip(*self.held, strict=True))
+        order = np.lexsort((row, -score, group, query))
+        query, group, row, score = query[order], group[order], row[order], score[order]
+        first = np.r_[True, (query[1:] != query[:-1]) | (group[1:] != group[:-1])]
+        place = np.arange(len(query)) - np.maximum.accumulate(np.where(first, np.arange(len(query)), 0))
+        keep = place < self.k
+        return query[keep], group[keep], row[keep], score[keep]
 
-def cosine_topk(queries: DataFrame, rows: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    return top(with_cosine(queries, rows), list(by), [F.desc("cosine"), F.col("skill_id")], k)
+
+def _blocks(queries: DataFrame, most_bytes: int) -> list[DataFrame]:
+    n, size = queries.agg(F.count("*"), F.coalesce(F.sum(8 * F.coalesce(F.size("qvec"), F.lit(0)) + 16), F.lit(0))).first()
+    blocks = max(1, -(-int(size) // most_bytes), -(-n // BLOCK))
+    return [queries] if blocks == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) for b in range(blocks)]
+
+
+def cosine_topk(queries: DataFrame, rows: DataFrame, k: int | None, by: tuple[str, ...] = ("query_id",), most_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, (the group,) skill_id, cosine, rank: the k rows most like each query, or those of each group; all of them if k is None.
+
+    queries: query_id (bigint), qvec; rows: skill_id (bigint), vec, and the group that `by` names beside query_id. Queries are a broadcast
+    matrix, a block of at most `most_bytes` and BLOCK queries at a time; a batch of rows meets it in a matrix product, and a task keeps k rows a
+    query and group. Nothing but those is shuffled. Cosines are rounded to six places and not below 0; vectors of another length, of norm zero, null or with
+    values that are not finite are like nothing, 0. Ties go to the smaller skill_id.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    group = by[1] if len(by) > 1 else None
+    kind = rows.schema[group].dataType.simpleString() if group else "string"
+    slim = rows.select("skill_id", "vec", F.col(group).alias("g") if group else F.lit(None).cast("string").alias("g"))
+    group_type = to_arrow_type(slim.schema["g"].dataType)
+    out = None
+    for block in _blocks(queries.select("query_id", "qvec"), most_bytes):
+        own = block.toArrow()
+        asked = spark.sparkContext.broadcast((own.column("query_id").to_numpy(), _unit(own.column("qvec"))))
+
+        def meet(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            ids, matrices = asked.value
+            best, groups = _Best(k or 0), {}
+
+            def table(query, g, row, score):
+                names = list(groups)
+                return pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array([names[i] for i in g.tolist()], group_type), pa.array(row), pa.array(score / 1e6)], names=["query_id", "g", "skill_id", "cosine"])
+
+            for batch in batches:
+                batch = batch.sort_by("skill_id")
+                rows_, g = batch.column("skill_id").to_numpy(), np.array([groups.setdefault(x, len(groups)) for x in batch.column("g").to_pylist()], np.int64)
+                units = _unit(batch.column("vec"))
+                for start in range(0, len(ids), 256):
+                    like = np.zeros((min(256, len(ids) - start), len(rows_)))
+                    for d, (q, x) in matrices.items():
+                        inside = np.flatnonzero((q >= start) & (q < start + 256))
+                        if d in units and len(inside):
+                            like[np.ix_(q[inside] - start, units[d][0])] = x[inside] @ units[d][1].T
+                    score = np.floor(np.maximum(like, 0) * 1e6 + 0.5).astype(np.int64)
+                    for c in np.unique(g):
+                        at = np.flatnonzero(g == c)
+                        # rows are in order of their ids, so an earlier place breaks a tie
+                        order = score[:, at] * len(at) + np.arange(len(at))[::-1]
+                        if k is not None and k < len(at):
+                            top_ = np.argpartition(-order, k - 1, axis=1)[:, :k]
+                        else:
+                            top_ = np.broadcast_to(np.arange(len(at)), order.shape)
+                        q = np.repeat(np.arange(start, start + len(order)), top_.shape[1])
+                        r = at[top_.ravel()]
+                        found = (q, np.full(len(q), c), rows_[r], score[q - start, r])
+                        if k is None:
+                            yield table(*found)
+                        else:
+                            best.add(*found)
+            if k is not None:
+                query, g, row, score = best.all()
+                for a in range(0, len(query), 100_000):
+                    yield table(*(c[a : a + 100_000] for c in (query, g, row, score)))
+
+        part = slim.mapInArrow(meet, f"query_id bigint, g {kind}, skill_id bigint, cosine double")
+        out = part if out is None else out.unionByName(part)
+    out = out.withColumnRenamed("g", group) if group else out.drop("g")
+    return out if k is None else top(out, list(by), [F.desc("cosine"), F.col("skill_id")], k)
 
 
 def subunit_scores(candidates: DataFrame, subunits: DataFrame, queries: DataFrame) -> DataFrame:
@@ -127,8 +232,9 @@ def subunit_scores(candidates: DataFrame, subunits: DataFrame, queries: DataFram
 
     candidates: query_id, skill_id; subunits: skill_id, subunit_id, title, content, svec; queries: query_id, prompt, qvec.
     """
-    # words are split once a sub-section and once a query, before they meet
-    subunits = subunits.withColumn("__cw", X.words(F.concat_ws(" ", "title", "content")))
+    # only what candidates have is moved and split into words, once a sub-section and once a query
+    wanted = candidates.select("skill_id").distinct()
+    subunits = subunits.join(wanted, "skill_id", "left_semi").withColumn("__cw", X.words(F.concat_ws(" ", "title", "content")))
     queries = queries.select("query_id", "qvec", X.words(F.col("prompt")).alias("__pw"))
     rows = candidates.select("query_id", "skill_id").join(subunits, "skill_id").join(queries, "query_id")
     semantic = six(F.greatest(V.cosine(F.col("qvec"), F.col("svec")), F.lit(0.0)))
@@ -186,14 +292,18 @@ def scored_candidates(
     queries: DataFrame, skills: DataFrame, subunits: DataFrame, usage: DataFrame, now: str, config: Config = DEFAULTS, communities: DataFrame | None = None
 ) -> DataFrame:
     """Every scope's candidates of each query that reach the floor, with their parts, score and place (`rank`) by score in the scope."""
-    # vectors alone meet the queries; texts join what is left
-    found = cosine_topk(queries.select("query_id", "qvec"), skills.select("skill_id", "scope", "vec"), config.candidates, ("query_id", "scope")).drop("rank", "vec")
+    # ids and vectors first; the few candidates are written, so that their number is known when texts join them
+    found = cosine_topk(queries, skills, config.candidates, ("query_id", "scope")).drop("rank")
+    found = materialise(found, "candidates")
+    if config.boost_mode == "centroid" and communities is not None:
+        found = found.join(queries.select("query_id", "qvec"), "query_id")
     found = community_boost(found, config.boost_mode, communities).drop("qvec")
     parts = evidence(subunit_scores(found, subunits, queries), config.subunits)
     prior = usage_prior(usage, now, config).drop("uses")
     rows = found.join(parts, ["query_id", "skill_id"], "left").join(prior, "skill_id", "left")
     asked = queries.select("query_id", X.words(F.col("prompt")).alias("__pw"))
-    texts = skills.select("skill_id", X.words(F.col("text")).alias("__tw"))
+    own = skills.select("skill_id", "text").join(found.select("skill_id").distinct(), "skill_id", "left_semi")
+    texts = own.select("skill_id", X.words(F.col("text")).alias("__tw"))
     rows = rows.join(asked, "query_id").join(texts, "skill_id").withColumn("lexical", six(X.overlap(F.col("__pw"), F.col("__tw")))).drop("__pw", "__tw")
     rows = weighted_score(rows, config)
     rows = rows.fillna(0.0, ["evidence", "prior"]).where(F.col("score") >= config.floor)
@@ -205,6 +315,7 @@ def ranked_candidates(
 ) -> DataFrame:
     """`scored_candidates` in the order of `mmr`, which is what scopes are fused by: `rank` is the place in that order."""
     rows = scored_candidates(queries, skills, subunits, usage, now, config, communities)
+    rows = materialise(rows, "scored")  # few rows, read twice below
     chosen = mmr(rows.join(skills.select("skill_id", "vec"), "skill_id"), ["query_id", "scope"], config, config.candidates)
     order = chosen.select("query_id", "scope", "skill_id", "mmr_rank")
     return rows.drop("rank").join(order, ["query_id", "scope", "skill_id"]).withColumnRenamed("mmr_rank", "rank")

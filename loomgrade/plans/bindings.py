@@ -18,8 +18,8 @@ def skills(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf: str) -> DataFrame:
-    """query_id, prompt, qvec, qlabel: every hundredth skill asks for others like it."""
-    return skills(spark, sf).where("skill_id % 100 = 0").select(F.col("skill_id").alias("query_id"), F.col("text").alias("prompt"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
+    """query_id, prompt, qvec, qlabel: every twentieth skill asks for others like it."""
+    return skills(spark, sf).where("skill_id % 20 = 0").select(F.col("skill_id").alias("query_id"), F.col("text").alias("prompt"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
 
 
 def subunits(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +53,7 @@ def words_sql(c: str) -> str:
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SKILLS = """sk AS (SELECT d.doc_id AS skill_id, d.source AS name, d.text, d.lang, CASE WHEN e.vec_id % 2 = 0 THEN 'project' ELSE 'global' END AS scope,
   [d.lang, d.source] AS tags, e.embedding::DOUBLE[] AS vec, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id)"""
-QUERIES = f"qu AS (SELECT skill_id AS query_id, text AS prompt, {words_sql('text')} AS pw, vec AS qvec, label AS qlabel FROM sk WHERE skill_id % 100 = 0)"
+QUERIES = f"qu AS (SELECT skill_id AS query_id, text AS prompt, {words_sql('text')} AS pw, vec AS qvec, label AS qlabel FROM sk WHERE skill_id % 20 = 0)"
 SUBUNITS = f"""su AS (SELECT p.skill_id, c.skill_id AS subunit_id, c.name AS title, c.text AS content, {words_sql("c.name || ' ' || c.text")} AS cw, c.vec AS svec FROM sk p JOIN sk c ON c.skill_id BETWEEN p.skill_id + 1 AND p.skill_id + 3)"""
 PATHS = """pa AS (SELECT *, ['ready', 'draft', 'deprecated', 'retired'][(skill_id % 4 + 1)::INT] AS status,
   CASE WHEN skill_id % 7 = 0 THEN []::VARCHAR[] ELSE ['/home/team/' || lang || CASE WHEN skill_id % 3 = 0 THEN '/.skills/' ELSE '/my-skills/' END || name || '/SKILL.md'] END AS source_paths,

@@ -38,7 +38,7 @@ def ordered_subunits(spark, sf):
 
 def inspect_neighbourhood(spark, sf):
     s = B.skills(spark, sf)
-    rows = G.inspect_neighbourhood(s.select("skill_id", F.array("name").alias("tags")), _links(spark, sf), s.where("skill_id % 100 = 0").select("skill_id"))
+    rows = G.inspect_neighbourhood(s.select("skill_id", F.array("name").alias("tags")), _links(spark, sf), s.where("skill_id % 20 = 0").select("skill_id"))
     return rows.select("asked_id", "community", "community_members", "skill_id", F.array_join("shared_tags", ",").alias("shared_tags"), "same_community")
 
 
@@ -107,7 +107,7 @@ QUERIES = {
     "ordered_subunits": (ordered_subunits, f"WITH {B.SKILLS} SELECT skill_id, len(string_split(text, chr(10)))::BIGINT AS n, md5(array_to_string(string_split(text, chr(10)), '|')) AS digest FROM sk"),
     "inspect_neighbourhood": (inspect_neighbourhood, f"""WITH {B.SKILLS}, {LINKS}, pm AS (SELECT skill_id, min(community_id) AS p FROM li GROUP BY 1), cs AS (SELECT community_id, count(*) AS n FROM li GROUP BY 1)
 SELECT a.skill_id AS asked_id, pa.p AS community, cs.n AS community_members, b.skill_id, CASE WHEN a.name = b.name THEN a.name ELSE '' END AS shared_tags, pa.p = pb.p AS same_community
-FROM sk a JOIN sk b ON a.skill_id <> b.skill_id AND (a.label = b.label OR a.lang = b.lang OR a.name = b.name) JOIN pm pa ON a.skill_id = pa.skill_id JOIN pm pb ON b.skill_id = pb.skill_id JOIN cs ON cs.community_id = pa.p WHERE a.skill_id % 100 = 0"""),
+FROM sk a JOIN sk b ON a.skill_id <> b.skill_id AND (a.label = b.label OR a.lang = b.lang OR a.name = b.name) JOIN pm pa ON a.skill_id = pa.skill_id JOIN pm pb ON b.skill_id = pb.skill_id JOIN cs ON cs.community_id = pa.p WHERE a.skill_id % 20 = 0"""),
     "tag_communities": (tag_communities, f"WITH {B.SKILLS} SELECT skill_id, scope || '-' || lang AS name, 'tag' AS source FROM sk"),
     "tf_df": (tf_df, f"WITH {B.SKILLS}, {TERMS} SELECT cluster, term, tf, df, score FROM ts"),
     "tfidf_cluster_label": (tfidf_cluster_label, f"""WITH {B.SKILLS}, {TERMS}, tt AS (SELECT cluster, list(term ORDER BY r) AS terms FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, term) AS r FROM ts) WHERE r <= 3 GROUP BY 1),

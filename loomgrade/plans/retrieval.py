@@ -74,13 +74,15 @@ def community_centroid(spark, sf):
 
 def boost_binary(spark, sf):
     boost = F.when(F.col("qlabel") == F.col("label"), 0.2).otherwise(0.0)
-    return R.cosine_topk(B.queries(spark, sf), B.skills(spark, sf), 10).select("query_id", "skill_id", boost.alias("boost"))
+    found = R.cosine_topk(B.queries(spark, sf), B.skills(spark, sf), 10)
+    rows = found.join(B.skills(spark, sf).select("skill_id", "label"), "skill_id").join(B.queries(spark, sf).select("query_id", "qlabel"), "query_id")
+    return rows.select("query_id", "skill_id", boost.alias("boost"))
 
 
 def boost_centroid_affinity(spark, sf):
     c = R.centroids(B.skills(spark, sf).select(F.col("label").alias("community_id"), "vec"))
-    pair = lambda block: c.crossJoin(block).select("query_id", "community_id", R.six(F.least(F.greatest(V.cosine(F.col("qvec"), F.col("centroid")), F.lit(0.0)), F.lit(1.0))).alias("boost"))
-    return R.in_blocks(B.queries(spark, sf), pair)
+    found = R.cosine_topk(B.queries(spark, sf), c.select(F.col("community_id").cast("bigint").alias("skill_id"), F.col("centroid").alias("vec")), None)
+    return found.select("query_id", F.col("skill_id").cast("int").alias("community_id"), F.least("cosine", F.lit(1.0)).alias("boost"))
 
 
 def _scored(spark, sf, config=CONFIG):

@@ -103,6 +103,31 @@ def test_queries_go_in_blocks(spark):
     assert {tuple(r) for r in R.in_blocks(q, lambda b: rows.crossJoin(b).select("query_id", "skill_id"), block=6).collect()} == whole
 
 
+def test_cosine_topk_against_all_pairs(spark):
+    """Blocks of few bytes, ties, groups, and vectors that are like nothing: null, empty, zero, not finite, of another length."""
+    rng = np.random.default_rng(6)
+    vectors = [*rng.normal(size=(60, 3)).round(1).tolist(), None, [], [0.0, 0.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 1.0], [1.0, None, 1.0], *([[1.0, 0.0, 0.0]] * 5)]
+    data = [(i, v, "even" if i % 2 == 0 else None) for i, v in enumerate(vectors)]
+    rows = spark.createDataFrame(data, "skill_id bigint, vec array<double>, scope string").repartition(5)
+    asked = rows.where("skill_id % 3 = 0 OR skill_id > 58").select(F.col("skill_id").alias("query_id"), F.col("vec").alias("qvec"))
+
+    def like(a, b):
+        fine = lambda v: v and None not in v and np.isfinite(v).all() and any(v)
+        if not fine(a) or not fine(b) or len(a) != len(b):
+            return 0.0
+        return max(0.0, float(np.floor(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b) * 1e6 + 0.5) / 1e6))
+
+    for k, by in ((4, ("query_id",)), (3, ("query_id", "scope")), (None, ("query_id",))):
+        want = set()
+        for q in [i for i in range(len(data)) if i % 3 == 0 or i > 58]:
+            for group in {g for *_, g in data} if len(by) > 1 else [...]:
+                own = sorted((-like(vectors[q], v), i) for i, v, g in data if group is ... or g == group)
+                want |= {(q, i, -c) for c, i in own[:k]}
+        for most in (1 << 20, 200):
+            got = R.cosine_topk(asked, rows, k, by, most)
+            assert {(r.query_id, r.skill_id, r.cosine) for r in got.collect()} == want, (k, by, most)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 12)), min_size=1, max_size=14))
 def test_components(spark, links):
