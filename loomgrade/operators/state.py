@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgrade.operators.chains import fresh
 from loomgrade.operators.walks import walk
 
 MOST_BYTES = 10 * 1024 * 1024
@@ -26,25 +27,9 @@ def ingest(requests: DataFrame) -> DataFrame:
 
 
 def idempotent(events: DataFrame, key: str, time: str, order: str, ttl_seconds: int = 86_400) -> DataFrame:
-    """Events that are processed: a key counts as done for `ttl_seconds` from each time it was processed.
-
-    What was processed decides what is, so a key's events are walked in order, each key's by itself.
-    """
+    """Events that are processed: a key counts as done for `ttl_seconds` from each time it was processed."""
     rows = events.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("__t"), order)
-    most = ttl_seconds * 1_000_000
-
-    def rule():
-        done = None
-
-        def step(__t, **_):
-            nonlocal done
-            fresh = done is None or __t - done >= most
-            done = __t if fresh else done
-            return (fresh,)
-
-        return step
-
-    return walk(rows, key, ["__t", order], rule, "__fresh boolean").where("__fresh").select(key, order)
+    return fresh(rows, key, "__t", order, None, ttl_seconds * 1_000_000).where("fresh").select(key, order)
 
 
 def claim(queue: DataFrame, now: str, limit: int = 16) -> DataFrame:
@@ -106,23 +91,10 @@ def session_suppression(calls: DataFrame) -> DataFrame:
 def cache_hits(calls: DataFrame, ttl_seconds: int = 600) -> DataFrame:
     """calls (call_id, key, version, at) with hit: an answer of this key and version was stored no longer ago than the TTL.
 
-    An answer is stored by a miss and not renewed by a hit, so a key's calls are walked in order.
+    An answer is stored by a miss and not renewed by a hit.
     """
     rows = calls.select("key", F.unix_micros(F.col("at").cast("timestamp")).alias("t"), "call_id", "version")
-    most = ttl_seconds * 1_000_000
-
-    def rule():
-        stored = None
-
-        def step(t, version, **_):
-            nonlocal stored
-            hit = stored is not None and version is not None and stored[1] == version and t - stored[0] < most
-            stored = stored if hit else (t, version)
-            return (hit,)
-
-        return step
-
-    return walk(rows, "key", ["t", "call_id"], rule, "hit boolean").select("key", "call_id", "hit")
+    return fresh(rows, "key", "t", "call_id", "version", ttl_seconds * 1_000_000).select("key", "call_id", (~F.col("fresh")).alias("hit"))
 
 
 def circuit_breaker(calls: DataFrame, threshold: int = 5, open_seconds: float = 30.0) -> DataFrame:

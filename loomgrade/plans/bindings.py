@@ -43,7 +43,7 @@ def paths(spark: SparkSession, sf: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(x) for x in ("ready", "draft", "deprecated", "retired")]), (F.col("skill_id") % 4 + 1).cast("int"))
     path = F.concat(F.lit("/home/team/"), F.col("lang"), F.when(F.col("skill_id") % 3 == 0, F.lit("/.skills/")).otherwise(F.lit("/my-skills/")), F.col("name"), F.lit("/SKILL.md"))
     own = F.when(F.col("skill_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(path))
-    return skills(spark, sf).select("*", status.alias("status"), own.alias("source_paths"), F.substring("text", 1, 120).alias("description"))
+    return skills(spark, sf).select("*", status.alias("status"), own.alias("source_paths"), F.substring_index("text", "\n", 1).alias("description"))
 
 
 def words_sql(c: str) -> str:
@@ -57,7 +57,7 @@ QUERIES = f"qu AS (SELECT skill_id AS query_id, text AS prompt, {words_sql('text
 SUBUNITS = f"""su AS (SELECT p.skill_id, c.skill_id AS subunit_id, c.name AS title, c.text AS content, {words_sql("c.name || ' ' || c.text")} AS cw, c.vec AS svec FROM sk p JOIN sk c ON c.skill_id BETWEEN p.skill_id + 1 AND p.skill_id + 3)"""
 PATHS = """pa AS (SELECT *, ['ready', 'draft', 'deprecated', 'retired'][(skill_id % 4 + 1)::INT] AS status,
   CASE WHEN skill_id % 7 = 0 THEN []::VARCHAR[] ELSE ['/home/team/' || lang || CASE WHEN skill_id % 3 = 0 THEN '/.skills/' ELSE '/my-skills/' END || name || '/SKILL.md'] END AS source_paths,
-  substr(text, 1, 120) AS description FROM sk)"""
+  split_part(text, chr(10), 1) AS description FROM sk)"""
 
 
 def overlap_sql(a: str, b: str) -> str:

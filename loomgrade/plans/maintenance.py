@@ -24,8 +24,8 @@ def jaccard_pairs(spark, sf):
 
 
 def merge_text_digest(spark, sf):
-    s = B.skills(spark, sf).select("skill_id", "name", F.substring("text", 1, 60).alias("description"), "tags")
-    rows = M.merge_digest(s, B.lines(spark, sf).select("skill_id", "position", F.col("line").alias("content")), 10, 60)
+    s = B.skills(spark, sf).select("skill_id", "name", F.substring_index("text", "\n", 1).alias("description"), "tags")
+    rows = M.merge_digest(s, B.lines(spark, sf).select("skill_id", "position", F.col("line").alias("content")))
     return rows.select("skill_id", F.md5("digest").alias("digest"))
 
 
@@ -123,10 +123,10 @@ QUERIES = {
 SELECT * FROM (SELECT least(a.skill_id, b.skill_id) AS a, greatest(a.skill_id, b.skill_id) AS b, round({B.cosine_sql('a.vec', 'b.vec')}, 6) AS cosine, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.skill_id < b.skill_id AND a.scope <> b.scope) WHERE cosine >= 0.3 AND jaccard >= 0.01"""),
     "jaccard_pairs": (jaccard_pairs, f"""{S}, w AS (SELECT *, list_distinct(list_filter(regexp_split_to_array(text, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')) AS w FROM sk)
 SELECT * FROM (SELECT a.skill_id AS a, b.skill_id AS b, round(len(list_intersect(a.w, b.w))::DOUBLE / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))), 6) AS jaccard FROM w a JOIN w b ON a.skill_id < b.skill_id AND len(a.w) >= 0.5 * len(b.w) AND len(b.w) >= 0.5 * len(a.w)) WHERE jaccard >= 0.5"""),
-    "merge_text_digest": (merge_text_digest, f"""{S}, l AS (SELECT skill_id, i, list_filter(regexp_split_to_array(line, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')[1:10] AS w FROM (SELECT skill_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM sk)),
-m AS (SELECT *, 60 - coalesce(sum(len(w)) OVER (PARTITION BY skill_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM l WHERE len(w) > 0),
+    "merge_text_digest": (merge_text_digest, f"""{S}, l AS (SELECT skill_id, i, list_filter(regexp_split_to_array(line, '[\\t\\n\\v\\f\\r ]+'), lambda x: x <> '')[1:100] AS w FROM (SELECT skill_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM sk)),
+m AS (SELECT *, 1500 - coalesce(sum(len(w)) OVER (PARTITION BY skill_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM l WHERE len(w) > 0),
 b AS (SELECT skill_id, string_agg(array_to_string(w[1:l::INT], ' '), chr(10) ORDER BY i) AS body FROM m WHERE l > 0 GROUP BY 1)
-SELECT skill_id, md5(concat_ws(chr(10), name, substr(text, 1, 60), array_to_string(tags, ', '), body)) AS digest FROM sk LEFT JOIN b USING (skill_id)"""),
+SELECT skill_id, md5(concat_ws(chr(10), name, split_part(text, chr(10), 1), array_to_string(tags, ', '), body)) AS digest FROM sk LEFT JOIN b USING (skill_id)"""),
     "usage_summary": (usage_summary, f"{S} SELECT skill_id, count(ts) AS uses, count(*) FILTER (ts >= TIMESTAMP '{B.NOW}' - INTERVAL 10 DAY) AS recent, {AGE(B.NOW, 'max(ts)')}::BIGINT AS age_days FROM sk LEFT JOIN events ON user_id = skill_id GROUP BY 1".replace("greatest(floor", "if(max(ts) IS NULL, NULL, greatest(floor").replace("0)::BIGINT", "0))::BIGINT")),
     "retirement_scores": (retirement_scores, f"WITH {RATE} SELECT * FROM ra"),
     "retirement_proposals": (retirement_proposals, f"WITH {RATE} SELECT * FROM ra WHERE rate < 26"),
