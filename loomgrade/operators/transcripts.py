@@ -252,26 +252,3 @@ def dedup_subunits(rows: DataFrame, by: list[str]) -> DataFrame:
     key = F.lower(F.trim(F.concat_ws(":", "kind", "title", "content")))
     first = F.row_number().over(Window.partitionBy(*by, F.xxhash64(key), key).orderBy("position"))
     return rows.withColumn("r", first).where("r = 1").drop("r")
-
-
-def greedy_reduce(candidates: DataFrame, least: float = 0.82) -> DataFrame:
-    """session_id, candidate_id, kept_by: each candidate in order absorbs later ones so alike that are not absorbed yet.
-
-    candidates: session_id, candidate_id (the order), vec. Not transitive. A session is one group.
-    """
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("candidate_id", ignore_index=True)
-        v = np.array(pdf["vec"].tolist(), float)
-        n = np.linalg.norm(v, axis=1)
-        v = v / np.where(n > 0, n, 1)[:, None]
-        by = np.full(len(pdf), -1)
-        for i in range(len(pdf)):
-            if by[i] < 0:
-                by[i] = i
-                if n[i] > 0:
-                    later = np.flatnonzero((by < 0) & (np.round(v @ v[i], 6) >= least) & (n > 0))
-                    by[later[later > i]] = i
-        return pdf[["session_id", "candidate_id"]].assign(kept_by=pdf["candidate_id"].to_numpy()[by])
-
-    return candidates.select("session_id", "candidate_id", "vec").groupBy("session_id").applyInPandas(reduce, "session_id bigint, candidate_id bigint, kept_by bigint")

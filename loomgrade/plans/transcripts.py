@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrade.functions import text as X
 from loomgrade.functions.fixed import PREFERENCE_PHRASES, REFUSED_PREFIXES, SALIENCE_PHRASES, SCOPING_PHRASES
+from loomgrade.operators import reduction as D
 from loomgrade.operators import transcripts as T
 from loomgrade.plans import bindings as B
 from loomgrade.session import table
@@ -120,14 +121,36 @@ def subunit_dedup(spark, sf):
     return T.dedup_subunits(rows, ["skill_id"]).select("skill_id", "position", "content")
 
 
+def _candidates(spark, sf):
+    return B.skills(spark, sf).select(F.col("label").cast("bigint").alias("session_id"), F.col("skill_id").alias("candidate_id"), "vec")
+
+
 def greedy_reduce(spark, sf):
-    return T.greedy_reduce(B.skills(spark, sf).select(F.col("label").cast("bigint").alias("session_id"), F.col("skill_id").alias("candidate_id"), "vec"), 0.3)
+    return D.greedy_reduce(_candidates(spark, sf), 0.3)[0]
+
+
+def reduce_audit(spark, sf):
+    """Every compared pair, where a verifier takes candidates of one language for equivalent."""
+    langs = B.skills(spark, sf).select("skill_id", "lang")
+
+    def verify(pairs):
+        one, two = (langs.select(F.col("skill_id").alias(c), F.col("lang").alias(f"l{c}")) for c in ("a", "b"))
+        return pairs.join(one, "a").join(two, "b").select("a", "b", "cosine", (F.col("la") == F.col("lb")).alias("equivalent"), F.concat_ws("-", "la", "lb").alias("rationale"))
+
+    return D.greedy_reduce(_candidates(spark, sf), 0.3, verify)[1]
 
 
 def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("nr", "sentence"))
 
 
+# candidates of a session one after the other: each is kept, or goes to the first kept one that is near and the same
+REDUCE = f"""WITH RECURSIVE {B.SKILLS}, near AS (SELECT * FROM (SELECT a.skill_id AS a, b.skill_id AS b, a.lang AS la, b.lang AS lb, round({B.cosine_sql('a.vec', 'b.vec')}, 6) AS c FROM sk a JOIN sk b ON a.label = b.label AND a.skill_id < b.skill_id) WHERE c >= 0.3),
+ea AS (SELECT b, list(a) AS l FROM near WHERE {{same}} GROUP BY b),
+cd AS (SELECT label::BIGINT AS s, skill_id, row_number() OVER (PARTITION BY label ORDER BY skill_id) AS n, coalesce(l, []) AS l FROM sk LEFT JOIN ea ON b = skill_id),
+st AS (SELECT s, n, [skill_id] AS kept, skill_id AS id, skill_id AS kept_by FROM cd WHERE n = 1 UNION ALL
+  SELECT s, n, CASE WHEN m IS NULL THEN list_append(kept, skill_id) ELSE kept END, skill_id, coalesce(m, skill_id)
+  FROM (SELECT st.kept, cd.*, list_min(list_intersect(st.kept, cd.l)) AS m FROM st JOIN cd ON cd.s = st.s AND cd.n = st.n + 1))"""
 ANY = lambda c, ps: "(" + " OR ".join(f"contains({c}, '{p.replace(chr(39), chr(39) * 2)}')" for p in ps) + ")"
 LOW = B.LOWER.format
 SE = """se AS (SELECT *, (position // 8)::BIGINT AS win FROM (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS position, event_id,
@@ -174,6 +197,8 @@ SELECT doc_id, array_to_string(list_filter([CASE WHEN name = '' THEN 'missing na
 SELECT conv_id, turn, md5(t) AS content FROM c WHERE role NOT LIKE '%system%' AND trim(t) <> '' AND NOT ({' OR '.join(f"starts_with(t, '{p}')" for p in REFUSED_PREFIXES)})"""),
     "slugify": (slugify, f"SELECT doc_id, CASE WHEN s = '' THEN 'untitled' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace({LOW('text')}, '[^a-z0-9]+', '-', 'g'), '-') AS s FROM documents)"),
     "subunit_dedup": (subunit_dedup, f"WITH {B.SKILLS}, l AS (SELECT skill_id, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::INT AS position, unnest(string_split(text, chr(10))) AS content FROM sk) SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY skill_id, lower(trim('procedure:t:' || content)) ORDER BY position) = 1"),
-    "greedy_reduce": (greedy_reduce, None),
+    "greedy_reduce": (greedy_reduce, f"{REDUCE.format(same='TRUE')} SELECT s AS session_id, id AS candidate_id, kept_by FROM st"),
+    "reduce_audit": (reduce_audit, f"""{REDUCE.format(same='la = lb')} SELECT a, b, c AS cosine, CASE WHEN y.kept_by = a THEN 'merged' ELSE 'kept' END AS action, la || '-' || lb AS rationale
+FROM near JOIN st x ON x.id = a AND x.kept_by = a JOIN st y ON y.id = b AND (y.kept_by = b OR y.kept_by >= a)"""),
     "sentence_split": (sentence_split, r"SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS nr, s AS sentence FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+')) AS s, generate_subscripts(regexp_extract_all(text, '[^.!?\n]*[.!?\n]|[^.!?\n]+'), 1) AS i FROM documents) WHERE trim(s) <> ''"),
 }
