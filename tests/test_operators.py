@@ -306,3 +306,11 @@ def test_walks_keep_keys_apart_and_take_nulls(spark):
     got = {r.call_id: r.hit for r in S.cache_hits(calls, 60).collect()}
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False, 8: False}
     assert S.cache_hits(calls.where("false"), 60).count() == 0
+
+
+def test_a_dense_cluster_is_a_forest(spark):
+    """Equal vectors: a cell gives fewer links than rows, and all of them are one component."""
+    rows = spark.range(6000).selectExpr("id AS skill_id", "array(1.0D, CASE WHEN id < 5990 THEN 0.0D ELSE 9.0D END) AS vec")
+    links = G.similar_pairs(rows, 0.9, cell=1500, forest=True)
+    assert links.count() < 6000 * 4
+    assert {tuple(r) for r in G.recurrence_clusters(rows, 0.9).groupBy("representative").count().collect()} == {(0, 5990), (5990, 10)}
