@@ -198,19 +198,19 @@ def train(network: Network, texts: list[np.ndarray], rate: float = RATE, rows: i
     np.random.default_rng(seed).shuffle(groups)
     for own in groups:
         sizes = np.array([len(texts[i]) for i in own])
-        longest = int(sizes.max())
+        longest, words, start = int(sizes.max()), np.concatenate([texts[i] for i in own]), np.cumsum(sizes) - sizes
         h = np.zeros((len(own), network.h), network.w.dtype)
         for a in range(0, longest, WINDOW):
             # a window of the texts that reach it is in memory, never the group up to its longest text
             live = sizes > a
-            y = np.full((min(WINDOW, longest - a), int(live.sum())), -1, np.int64)
+            at = a + np.arange(min(WINDOW, longest - a))[:, None]
+            inside = at < sizes[live]
+            place = np.minimum(at, sizes[live] - 1) + start[live]
+            y = np.where(inside, words[place], -1)
             x = np.full_like(y, network.k)
-            for j, i in enumerate(own[live]):
-                part = texts[i][a : a + WINDOW]
-                y[: len(part), j] = part
-                x[1 : len(part) + 1, j] = part[: len(y) - 1]
-                if a:
-                    x[0, j] = texts[i][a - 1]
+            x[1:] = np.where(inside[:-1], y[:-1], network.k)
+            if a:
+                x[0] = words[place[0] - 1]
             flat = np.zeros_like(network.w)
             grads, at = {}, 0
             for name, shape in network.slices.items():
