@@ -31,3 +31,27 @@ IGNORED_DIRECTORIES = (
     ".amazonq",
 )
 SECTIONS = {"## procedures": "procedure", "## conventions": "convention", "## assets": "asset", "## evidence": "evidence", "## summary": "summary"}
+CAUTION_CUES = (
+    "never", "don't", "do not", "avoid", "not ", "instead of", "warning", "failure mode", "dangerous", "caution",
+    "beware", "prohibited", "forbidden", "should not", "must not", "rather than",
+)
+ENDORSEMENT_CUES = (
+    "run ", "execute ", "use ", "call ", "invoke ", "to clean up", "clean up using", "clean up with", "you can run",
+    "you should run", "we can run", "try running", "simply run", "just run",
+)
+SYSTEM_DIRECTORIES = ("home", "usr", "var", "tmp", "opt", "etc", "root", "srv")
+COMMAND_LANGUAGES = {
+    "Rust": ("cargo ", "rustc ", "rust-analyzer"),
+    "TypeScript": ("npm ", "yarn ", "pnpm "),
+    "Python": ("python ", "pip ", "uv "),
+    "Go": ("go build", "go test"),
+    "Java": ("mvn ", "gradle "),
+}
+EXTENSION_LANGUAGES = {
+    "Rust": (".rs",),
+    "TypeScript": (".ts", ".tsx"),
+    "JavaScript": (".js", ".jsx"),
+    "Python": (".py",),
+    "Go": (".go",),
+    "Java": (".java",),
+}

@@ -356,35 +356,53 @@ def sanitized_lines(entries: DataFrame, by: list[str], order: str) -> DataFrame:
     return rows.select(*by, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
 
 
-def normalised(answers: DataFrame, originals: DataFrame, by: list[str]) -> DataFrame:
-    """by, nr, statement, generality: a model's statements without blanks; generality is that of the first original which has its first 30 characters.
+def normalised(answers: DataFrame, originals: DataFrame, by: list[str], most_bytes: int = 30) -> DataFrame:
+    """by, nr, statement, generality: a model's statements without blanks; generality is that of the first original which has its beginning.
 
-    answers: by, nr, statement; originals: by, nr, statement, generality. Without such an original it is uncertain.
+    answers: by, nr, statement; originals: by, nr, statement, generality. The beginning is the characters that fit into `most_bytes`
+    bytes, blanks included; A-Z count as a-z. Without such an original it is uncertain.
     """
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    s = F.col("__s")
+    fits = F.filter(F.sequence(F.lit(0), F.lit(most_bytes)), lambda n: F.octet_length(F.left(s, n)) <= most_bytes)
     rows = answers.where(~blank(F.col("statement"))).select(*by, "nr", F.col("statement").alias("__s"))
-    kept = originals.select(*by, F.struct(F.col("nr").alias("o"), F.col("generality").alias("g")).alias("__orig"), F.lower("statement").alias("__t"))
+    rows = rows.withColumn("__b", lower(F.left(s, F.array_max(fits))))
+    kept = originals.select(*by, F.struct(F.col("nr").alias("o"), F.col("generality").alias("g")).alias("__orig"), lower(F.col("statement")).alias("__t"))
     pairs = rows.join(kept, by, "left")
-    same = F.contains(F.col("__t"), F.lower(F.substring("__s", 1, 30)))
-    found = pairs.groupBy(*by, "nr", "__s").agg(F.min(F.when(same, F.col("__orig"))).alias("__m"))
+    found = pairs.groupBy(*by, "nr", "__s").agg(F.min(F.when(F.contains(F.col("__t"), F.col("__b")), F.col("__orig"))).alias("__m"))
     return found.select(*by, "nr", F.trim("__s").alias("statement"), F.coalesce("__m.g", F.lit("uncertain")).alias("generality"))
 
 
-def capped_preamble(paths: Column, conventions: Column, preferences: Column, most_tokens: int = 512) -> Column:
-    """paths, conventions and preferences of which the last are dropped, in this order, until their lines fit the tokens.
+def preamble_text(repo: Column, language: Column, paths: Column, conventions: Column, preferences: Column) -> Column:
+    """The block of a project's facts and the user's standing preferences; parts without content are left out."""
+    line = lambda title, c: F.when(c.isNotNull(), F.array(F.concat(F.lit(title), c))).otherwise(F.array().cast("array<string>"))
+    named = F.when(F.size(paths) > 0, F.array_join(paths, ", "))
+    facts = F.concat(line("Repo: ", repo), line("Language: ", language), line("Key paths: ", named), F.transform(conventions, lambda c: F.concat(F.lit("Convention: "), c)))
+    wanted = F.transform(preferences, lambda p: F.concat(F.lit("- "), F.trim(p)))
+    section = lambda title, lines: F.when(F.size(lines) > 0, F.concat(F.lit(title + "\n"), F.array_join(lines, "\n")))
+    return F.concat_ws("\n\n", section("[Project facts]", facts), section("[Standing user preferences]", wanted))
 
-    A line is `- `, its text and a line feed; a token is four bytes. What is kept of each is a prefix of it.
-    """
-    room = F.lit(most_tokens * 4)
-    size = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.octet_length(x) + 3)
 
-    def fit(a: Column, left: Column) -> Column:
-        start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("on"))
-        step = lambda s, x: F.struct((s["used"] + F.octet_length(x) + 3).alias("used"), F.when(s["on"] & (s["used"] + F.octet_length(x) + 3 <= left), s["n"] + 1).otherwise(s["n"]).alias("n"), (s["on"] & (s["used"] + F.octet_length(x) + 3 <= left)).alias("on"))
-        return F.slice(a, F.lit(1), F.aggregate(a, start, step, lambda s: s["n"]))
+def capped_preamble(repo: Column, language: Column, paths: Column, conventions: Column, preferences: Column, most_tokens: int = 512) -> Column:
+    """text, tokens, paths, conventions and preferences of a preamble that fits the tokens, of four bytes each, rounded up.
 
-    prefer = fit(preferences, room)
-    agree = fit(conventions, room - size(prefer))
-    return F.struct(fit(paths, room - size(prefer) - size(agree)).alias("paths"), agree.alias("conventions"), prefer.alias("preferences"))
+    Until it fits, the last path is dropped, then the last convention, then the last preference. If nothing of these is left and it still does
+    not fit, the text is empty. Each drop is tried by its whole text, so the lists are meant to be short, as mined ones are.
+    """
+    none = F.array().cast("array<string>")
+    p, c, f = (F.coalesce(x, none) for x in (paths, conventions, preferences))
+    first = lambda a, n: F.slice(a, F.lit(1), F.greatest(n, F.lit(0)))
+
+    def cut(drop: Column) -> tuple[Column, Column, Column]:
+        more = F.greatest(drop - F.size(p), F.lit(0))
+        return first(p, F.size(p) - drop), first(c, F.size(c) - more), first(f, F.size(f) - F.greatest(more - F.size(c), F.lit(0)))
+
+    size = lambda drop: F.ceil(F.octet_length(preamble_text(repo, language, *cut(drop))) / 4)
+    drops = F.sequence(F.lit(0), F.size(p) + F.size(c) + F.size(f))
+    least = F.array_min(F.filter(drops, lambda d: size(d) <= most_tokens))
+    kept = cut(F.coalesce(least, F.size(p) + F.size(c) + F.size(f)))
+    text = F.when(least.isNotNull(), preamble_text(repo, language, *kept)).otherwise("")
+    return F.struct(text.alias("text"), F.ceil(F.octet_length(text) / 4).alias("tokens"), kept[0].alias("paths"), kept[1].alias("conventions"), kept[2].alias("preferences"))
 
 
 def contract_view(result: Column) -> Column:

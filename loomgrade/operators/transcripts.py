@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrade.functions import text as X
-from loomgrade.functions.fixed import PREFERENCE_PHRASES, REFUSED_PREFIXES, REFUSED_SPEAKERS, SALIENCE_PHRASES, SCOPING_PHRASES
+from loomgrade.functions.fixed import COMMAND_LANGUAGES, EXTENSION_LANGUAGES, PREFERENCE_PHRASES, REFUSED_PREFIXES, REFUSED_SPEAKERS, SALIENCE_PHRASES, SCOPING_PHRASES, SYSTEM_DIRECTORIES
 
 EVENT = "struct<kind:string,content:string,tool_use_id:string,name:string,input_json:string,output:string,is_error:boolean,exit_code:int,path:string,operation:string,malformed:boolean>"
 _FIELDS = ["kind", "content", "tool_use_id", "name", "input_json", "output", "is_error", "exit_code", "path", "operation", "malformed"]
@@ -191,6 +191,52 @@ def salient_paths(events: DataFrame, by: list[str], most: int = 10) -> DataFrame
     return rows.select(*by, F.slice("p", 1, most).alias("paths"))
 
 
+def _project_parts(parts: Column) -> Column:
+    """A path's components without system folders and the one behind each, which is a user's or a mount's."""
+    start = F.struct(F.lit(False).alias("skip"), F.array().cast("array<string>").alias("kept"))
+    system = lambda x: x.isin(*SYSTEM_DIRECTORIES)
+    step = lambda s, x: F.struct((~s["skip"] & system(x)).alias("skip"), F.when(s["skip"] | system(x), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"))
+    return F.aggregate(parts, start, step, lambda s: s["kept"])
+
+
+def salient_path(path: Column) -> Column:
+    """Two components below a path's project, or what it has; null for none."""
+    kept = _project_parts(F.filter(F.split(F.trim(path), "/"), lambda x: x != ""))
+    two = F.when(F.size(kept) >= 3, F.slice(kept, 2, 2)).otherwise(kept)
+    return F.when(F.size(kept) > 0, F.array_join(two, "/"))
+
+
+def repository_name(path: Column) -> Column:
+    """The first component of a path that is no system folder, not behind one, and longer than a byte."""
+    kept = _project_parts(F.split(F.regexp_replace(path, "^/+", ""), "/"))
+    return F.get(F.filter(kept, lambda x: F.octet_length(x) > 1), 0)
+
+
+def _language(value: Column, known: dict[str, tuple[str, ...]], test) -> Column:
+    out = F.lit(None).cast("string")
+    for name, marks in reversed(known.items()):
+        out = F.when(F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: test(value, m)), F.lit(name)).otherwise(out)
+    return out
+
+
+def project_facts(events: DataFrame, by: list[str], most: int = 10) -> DataFrame:
+    """by, repo_name, primary_language, paths of a session's events (by, position and the columns of EVENT).
+
+    A Bash call's command and an edited file's ending vote for a language; the most votes win, of equal ones the language first
+    seen last. The repository is that of the first edited path that tells one; paths are the first of the sorted salient ones.
+    """
+    lower_ascii = F.translate(F.get_json_object("input_json", "$.command"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    edit = F.col("kind") == "file_edit"
+    command = F.when((F.col("kind") == "tool_call") & (F.col("name") == "Bash"), _language(lower_ascii, COMMAND_LANGUAGES, F.contains))
+    rows = events.select(*by, "position", "kind", F.when(edit, F.col("path")).alias("edited"), F.when(edit, _language(F.col("path"), EXTENSION_LANGUAGES, F.endswith)).otherwise(command).alias("primary_language"))
+    votes = plurality(rows.where("primary_language IS NOT NULL"), by, "primary_language", "position").drop("votes")
+    edits = rows.where("edited IS NOT NULL").select(*by, "position", repository_name(F.col("edited")).alias("repo"), salient_path(F.col("edited")).alias("path"))
+    first = F.min(F.when(F.col("repo").isNotNull(), F.struct("position", "repo")))
+    told = edits.groupBy(*by).agg(first.alias("r"), F.slice(F.sort_array(F.collect_set("path")), 1, most).alias("paths"))
+    whole = rows.select(*by).distinct().join(votes, by, "left").join(told, by, "left")
+    return whole.select(*by, F.col("r.repo").alias("repo_name"), "primary_language", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+
+
 def command_text(name: Column, input_json: Column) -> Column:
     """A Bash call's command; another tool's name with its first two inputs; the first 60 characters of what is no object."""
     fields = F.from_json(input_json, "map<string,string>")

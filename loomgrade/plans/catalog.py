@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgrade.plans import graph, maintenance, retrieval, service, state, transcripts
+from loomgrade.plans import graph, maintenance, retrieval, scopes, service, state, transcripts
 
-GROUPS = (retrieval, graph, maintenance, transcripts, state, service)
+GROUPS = (retrieval, graph, maintenance, transcripts, state, service, scopes)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgrade.functions import text as X
 from loomgrade.functions.fixed import PREFERENCE_PHRASES, REFUSED_PREFIXES, SALIENCE_PHRASES, SCOPING_PHRASES
 from loomgrade.operators import reduction as D
+from loomgrade.operators import service as V
 from loomgrade.operators import transcripts as T
 from loomgrade.plans import bindings as B
 from loomgrade.session import table
@@ -92,6 +93,29 @@ def preamble_facts(spark, sf):
     return T.salient_paths(session_events(spark, sf), ["session_id"], 5).select("session_id", F.array_join("paths", ",").alias("paths"))
 
 
+def _work(spark, sf):
+    """Sessions' events with paths and commands of several languages and repositories."""
+    i = F.col("event_id")
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % n + 1).cast("int"))
+    folder = pick(4, "/home/dev/alpha/crates/core/", "/root/x/beta/", "src/", "//opt/y/b/gamma/lib/")
+    command = pick(5, "cargo test", "NPM run x", "python -m y", "go vet", "go build .")
+    rows = session_events(spark, sf).drop("path", "input_json")
+    return rows.withColumns({"path": F.concat(folder, F.lit("f"), pick(3, ".rs", ".tsx", ".md")), "input_json": F.to_json(F.struct(command.alias("command")))})
+
+
+def project_facts(spark, sf):
+    return T.project_facts(_work(spark, sf), ["session_id"]).select("session_id", "repo_name", "primary_language", F.array_join("paths", ",").alias("paths"))
+
+
+def preamble_text(spark, sf):
+    """The preamble of each session within 60 tokens: its facts, and the different statements of its user."""
+    facts = T.project_facts(_work(spark, sf), ["session_id"])
+    said = T.preferences(session_events(spark, sf), ["session_id"]).groupBy("session_id").agg(F.sort_array(F.collect_set("statement")).alias("said"))
+    rows = facts.join(said, "session_id", "left")
+    made = V.capped_preamble(F.col("repo_name"), F.col("primary_language"), F.col("paths"), F.array(F.lit("tests first")), F.col("said"), 60)
+    return rows.select("session_id", made.alias("p")).select("session_id", "p.text", "p.tokens", F.size("p.paths").cast("bigint").alias("n_paths"))
+
+
 def skeleton_steps(spark, sf):
     return T.skeleton_steps(session_events(spark, sf), BY)
 
@@ -157,6 +181,13 @@ SE = """se AS (SELECT *, (position // 8)::BIGINT AS win FROM (SELECT user_id AS
   CASE event_type WHEN 'view' THEN 'assistant' WHEN 'signup' THEN 'user' WHEN 'click' THEN 'tool_call' WHEN 'error' THEN 'tool_result' ELSE 'file_edit' END AS kind,
   CASE WHEN event_id % 13 = 0 THEN 'Always run the tests. Use tabs here! Thanks' WHEN event_id % 17 = 0 THEN 'I want it plain.' || chr(10) || 'never guess' ELSE 'please look at it' END AS content,
   't' || (event_id % 4) AS tool_use_id, ['Bash', 'Read', 'Edit'][(event_id % 3 + 1)::INT] AS name, (value > 70 OR (event_id % 5 = 0 AND event_id % 2 = 1)) AS failed, '/repo/f' || (event_id % 9) || '.rs' AS path FROM events))"""
+FACTS = """wk AS (SELECT *, ['/home/dev/alpha/crates/core/', '/root/x/beta/', 'src/', '//opt/y/b/gamma/lib/'][(event_id % 4 + 1)::INT] || 'f' || ['.rs', '.tsx', '.md'][(event_id % 3 + 1)::INT] AS file, (event_id % 5)::INT AS cmd FROM se),
+vt AS (SELECT session_id, position, CASE WHEN kind = 'file_edit' THEN ['Rust', 'TypeScript', NULL][(event_id % 3 + 1)::INT] WHEN kind = 'tool_call' AND name = 'Bash' THEN ['Rust', 'TypeScript', 'Python', NULL, 'Go'][cmd + 1] END AS l FROM wk),
+vo AS (SELECT session_id, l FROM (SELECT session_id, l, count(*) AS n, min(position) AS f FROM vt WHERE l IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, f DESC) = 1),
+ed AS (SELECT session_id, position, CASE event_id % 4 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'src' ELSE 'gamma' END AS repo,
+  CASE event_id % 4 WHEN 0 THEN 'crates/core' WHEN 1 THEN 'beta/f' || ['.rs', '.tsx', '.md'][(event_id % 3 + 1)::INT] WHEN 2 THEN 'src/f' || ['.rs', '.tsx', '.md'][(event_id % 3 + 1)::INT] ELSE 'gamma/lib' END AS p FROM wk WHERE kind = 'file_edit'),
+fc AS (SELECT session_id, arg_min(repo, position) AS repo_name, any_value(l) AS primary_language, coalesce(list_sort(list(DISTINCT p) FILTER (p IS NOT NULL))[1:10], []) AS paths
+  FROM (SELECT DISTINCT session_id FROM se) LEFT JOIN ed USING (session_id) LEFT JOIN vo USING (session_id) GROUP BY 1)"""
 SAL = f"""WITH {SE}, tl AS (SELECT session_id, win, tool_use_id, max_by(name, position) AS tool FROM se WHERE kind = 'tool_call' GROUP BY ALL),
 st AS (SELECT se.*, coalesce(tool, 'unknown') AS tool FROM se LEFT JOIN tl USING (session_id, win, tool_use_id)),
 sv AS (SELECT *, kind = 'tool_result' AND NOT failed AND coalesce(bool_or(kind = 'tool_result' AND failed) OVER (PARTITION BY session_id, win, tool ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS solved FROM st),
@@ -184,6 +215,14 @@ SELECT session_id, win, first::BIGINT AS first, size::BIGINT AS size FROM r"""),
     "preference_sentences": (preference_sentences, f"{PREF} SELECT * FROM pr"),
     "preference_candidates": (preference_candidates, f"{PREF} SELECT session_id, array_to_string(string_split(statement, ' ')[1:8], ' ') || ' (preference)' AS name, statement AS description, 0.7::DOUBLE AS confidence, generality FROM pr"),
     "plurality_vote": (plurality_vote, f"WITH {SE} SELECT session_id, name, n AS votes FROM (SELECT session_id, name, count(*) AS n, min(position) AS f FROM se WHERE kind = 'tool_call' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY n DESC, f DESC) = 1"),
+    "project_facts": (project_facts, f"WITH {SE}, {FACTS} SELECT session_id, repo_name, primary_language, array_to_string(paths, ',') AS paths FROM fc"),
+    "preamble_text": (preamble_text, f"""{PREF}, {FACTS}, sd AS (SELECT session_id, list_sort(list(DISTINCT statement)) AS said FROM pr GROUP BY 1),
+ls AS (SELECT fc.*, coalesce(said, []) AS said, unnest(range(len(paths) + 2 + len(coalesce(said, [])))) AS d FROM fc LEFT JOIN sd USING (session_id)),
+ct AS (SELECT *, greatest(len(paths) - d, 0) AS np, CASE WHEN d > len(paths) THEN 0 ELSE 1 END AS nc, len(said) - greatest(d - len(paths) - 1, 0) AS nf FROM ls),
+rn AS (SELECT *, concat_ws(chr(10) || chr(10), CASE WHEN repo_name IS NOT NULL OR primary_language IS NOT NULL OR np + nc > 0 THEN '[Project facts]' || chr(10) || concat_ws(chr(10), 'Repo: ' || repo_name, 'Language: ' || primary_language,
+  CASE WHEN np > 0 THEN 'Key paths: ' || array_to_string(paths[1:np], ', ') END, CASE WHEN nc > 0 THEN 'Convention: tests first' END) END,
+  CASE WHEN nf > 0 THEN '[Standing user preferences]' || chr(10) || array_to_string(list_transform(said[1:nf], lambda x: '- ' || trim(x)), chr(10)) END) AS text FROM ct)
+SELECT session_id, text, ((strlen(text) + 3) // 4)::BIGINT AS tokens, np::BIGINT AS n_paths FROM rn WHERE strlen(text) <= 240 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY d) = 1"""),
     "preamble_facts": (preamble_facts, f"WITH {SE} SELECT session_id, array_to_string(list_sort(list(DISTINCT path))[1:5], ',') AS paths FROM se WHERE kind = 'file_edit' GROUP BY 1"),
     "skeleton_steps": (skeleton_steps, f"""WITH {SE}, tr AS (SELECT *, min(position) FILTER (kind = 'tool_result' AND failed) OVER (PARTITION BY session_id, win) AS f FROM se),
 ar AS (SELECT *, max(position) FILTER (kind = 'tool_result' AND failed) OVER (PARTITION BY session_id, win) AS bad, max(position) FILTER (kind = 'tool_result' AND NOT failed) OVER (PARTITION BY session_id, win) AS good FROM tr WHERE position > f),

@@ -48,7 +48,7 @@ def parse_skills(files: DataFrame) -> DataFrame:
     block = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1)
     closed = F.col("text").rlike(r"(?s)\A---\n.*?\n---\n")
     body = F.when(closed, F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n", "")).otherwise(F.col("text"))
-    rows = files.select("path", F.when(closed, block).alias("head"), F.transform(F.split(body, "\n"), F.trim).alias("lines"))
+    rows = files.select("path", F.when(closed, block).alias("head"), F.transform(F.split(body, "\n"), lambda x: F.trim(x)).alias("lines"))
     field = lambda k: F.nullif(F.trim(F.regexp_replace(F.regexp_extract("head", rf"(?m)^{k}:[ \t]*(.*)$", 1), "^[\"']|[\"']$", "")), F.lit(""))
     inline = lambda k: F.split(F.regexp_replace(field(k), r"^\[|\]$", ""), ",")
     listed = lambda k: F.regexp_extract_all(F.regexp_extract("head", rf"(?m)^{k}:[ \t]*\n((?:[ \t]*- .*\n?)+)", 1), F.lit(r"(?m)^[ \t]*- (.*)$"))

@@ -89,10 +89,15 @@ def test_checks(spark):
 
 
 def test_preamble_drops_paths_then_conventions_then_preferences(spark):
-    lists = strings("p" * 9, "q" * 9), strings("c" * 9), strings("s" * 9)
-    kept = {t: values(spark, x=V.capped_preamble(*lists, t)).x for t in (12, 9, 6, 3, 2)}
+    lists = strings("p" * 9, "q" * 9), strings("c" * 9), strings(" " + "s" * 9)
+    none = F.lit(None).cast("string")
+    kept = {t: values(spark, x=V.capped_preamble(none, none, *lists, t)).x for t in (30, 28, 25, 14, 9, 0)}
     sizes = {t: (len(x.paths), len(x.conventions), len(x.preferences)) for t, x in kept.items()}
-    assert sizes == {12: (2, 1, 1), 9: (1, 1, 1), 6: (0, 1, 1), 3: (0, 0, 1), 2: (0, 0, 0)}
+    assert sizes == {30: (2, 1, 1), 28: (2, 1, 1), 25: (1, 1, 1), 14: (0, 0, 1), 9: (0, 0, 0), 0: (0, 0, 0)}
+    assert kept[30].text == "[Project facts]\nKey paths: ppppppppp, qqqqqqqqq\nConvention: ccccccccc\n\n[Standing user preferences]\n- sssssssss"
+    assert all(x.tokens == -(-len(x.text) // 4) <= t for t, x in kept.items())
+    full = values(spark, x=V.capped_preamble(F.lit("r" * 99), F.lit("Go"), *lists, 20)).x
+    assert full.text == "" and full.tokens == 0 and not full.preferences
 
 
 def test_callers_models(spark):
@@ -124,7 +129,7 @@ def test_projections(spark):
     assert [r.content for r in V.episode_events(episodes, events, ["s"]).orderBy("nr").collect()] == ["y", "x"]
     answers = spark.createDataFrame([(1, 0, " Use TABS "), (1, 1, "  "), (1, 2, "other")], "s bigint, nr bigint, statement string")
     originals = spark.createDataFrame([(1, 0, "please use tabs always", "general"), (1, 1, "use tabs", "uncertain")], "s bigint, nr bigint, statement string, generality string")
-    assert {(r.statement, r.generality) for r in V.normalised(answers, originals, ["s"]).collect()} <= {("Use TABS", "general"), ("Use TABS", "uncertain"), ("other", "uncertain")}
+    assert {(r.statement, r.generality) for r in V.normalised(answers, originals, ["s"]).collect()} == {("Use TABS", "general"), ("other", "uncertain")}
     r = values(spark, few=V.with_fallback(strings("a"), strings("f")), enough=V.with_fallback(strings("a", "b"), strings("f")), null=V.with_fallback(F.lit(None).cast("array<string>"), strings("f")))
     assert (r.few, r.enough, r.null) == (["a", "f"], ["a", "b"], ["f"])
     skills = spark.createDataFrame([(1, "active", None), (2, "retired", None)], "skill_id bigint, lifecycle string, updated_at timestamp")
