@@ -190,16 +190,15 @@ def job_queue(jobs: DataFrame, now: int) -> DataFrame:
 
 
 def cron_ticks(ticks: DataFrame, seconds: int) -> DataFrame:
-    """ticks (job, tick_id, t) with outcome: run if the interval since the last run has passed, wait, or error if the clock went back."""
+    """ticks (job, tick_id, t) with outcome: run if the interval since the last run has passed, wait, or error if the clock is before that run."""
 
     def rule():
-        last = seen = None
+        last = None
 
         def step(t, **_):
-            nonlocal last, seen
-            if seen is not None and t < seen:
+            nonlocal last
+            if last is not None and t < last:
                 return ("error",)
-            seen = t
             if last is None or t - last >= seconds:
                 last = t
                 return ("run",)

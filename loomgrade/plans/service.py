@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgrade.functions.fixed import REFUSED_PREFIXES
 from loomgrade.operators import service as V
 from loomgrade.session import table
 
@@ -134,10 +135,13 @@ w AS (SELECT n, 0::BIGINT AS r, 0::BIGINT AS i, NULL::BIGINT AS owner, NULL::BIG
   SELECT n, r, i, CASE WHEN NOT g THEN owner WHEN a <> 'release' THEN o END, CASE WHEN NOT g THEN until WHEN a <> 'release' THEN t + 1800000000 END, g FROM (
     SELECT q.*, w.owner, w.until, coalesce(w.owner = q.o AND q.t < w.until, false) OR (a = 'acquire' AND (w.owner IS NULL OR q.t >= w.until)) AS g FROM w JOIN q ON q.n = w.n AND q.r = w.r + 1))
 SELECT i AS request_id, granted FROM w WHERE r > 0"""
+LINES = f"""WITH c AS (SELECT conv_id, turn, role, regexp_replace(coalesce(text, ''), '[^\\x21-\\x7E \\n]', '', 'g') AS t FROM conversations)
+SELECT conv_id, md5(string_agg(role || ': ' || t, chr(10) ORDER BY turn)) AS digest FROM c
+WHERE role NOT LIKE '%system%' AND role NOT LIKE '%System%' AND role NOT LIKE '%SYSTEM%' AND trim(t) <> '' AND NOT ({' OR '.join(f"starts_with(t, '{p}')" for p in REFUSED_PREFIXES)}) GROUP BY conv_id"""
 CRON = """WITH RECURSIVE q AS (SELECT user_id % 11 AS j, event_id AS i, floor(epoch(ts))::BIGINT AS t, row_number() OVER (PARTITION BY user_id % 11 ORDER BY event_id) AS r FROM events),
-w AS (SELECT j, 0::BIGINT AS r, 0::BIGINT AS i, NULL::BIGINT AS last, NULL::BIGINT AS seen, NULL::VARCHAR AS outcome FROM q GROUP BY j UNION ALL
-  SELECT j, r, i, CASE WHEN x = 'run' THEN t ELSE last END, CASE WHEN x = 'error' THEN seen ELSE t END, x FROM (
-    SELECT q.*, w.last, w.seen, CASE WHEN q.t < w.seen THEN 'error' WHEN w.last IS NULL OR q.t - w.last >= 3600 THEN 'run' ELSE 'wait' END AS x FROM w JOIN q ON q.j = w.j AND q.r = w.r + 1))
+w AS (SELECT j, 0::BIGINT AS r, 0::BIGINT AS i, NULL::BIGINT AS last, NULL::VARCHAR AS outcome FROM q GROUP BY j UNION ALL
+  SELECT j, r, i, CASE WHEN x = 'run' THEN t ELSE last END, x FROM (
+    SELECT q.*, w.last, CASE WHEN q.t < w.last THEN 'error' WHEN w.last IS NULL OR q.t - w.last >= 3600 THEN 'run' ELSE 'wait' END AS x FROM w JOIN q ON q.j = w.j AND q.r = w.r + 1))
 SELECT i AS tick_id, outcome FROM w WHERE r > 0"""
 JOBS = """WITH RECURSIVE q AS (SELECT user_id % 19 AS queue, event_id AS job_id, floor(epoch(ts))::BIGINT AS requested, event_id % 900 AS seconds, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id % 19 ORDER BY floor(epoch(ts)), event_id) AS position FROM events),
 w AS (SELECT q.*, requested + seconds AS finished FROM q WHERE position = 1 UNION ALL SELECT q.*, greatest(q.requested, w.finished) + q.seconds FROM w JOIN q ON q.queue = w.queue AND q.position = w.position + 1)
@@ -161,6 +165,6 @@ SELECT job_id, 0 AS seq, 'requested' AS event, requested AS at FROM j UNION ALL
     "cron_tick": (cron_tick, CRON),
     "drain_report": (drain_report, "SELECT user_id % 10 AS worker, count(*) AS total, count(*) FILTER (event_type = 'view') AS processed, count(*) FILTER (event_type = 'click') AS failed, count(*) FILTER (event_type NOT IN ('view', 'click')) AS skipped FROM events GROUP BY 1"),
     "transcript_limits": (transcript_limits, LIMITS),
-    "sanitized_lines": (sanitized_lines, None),
+    "sanitized_lines": (sanitized_lines, LINES),
     "ordered_distinct": (ordered_distinct, "SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY ALL) GROUP BY 1"),
 }

@@ -135,3 +135,8 @@ def test_projections(spark):
     skills = spark.createDataFrame([(1, "active", None), (2, "retired", None)], "skill_id bigint, lifecycle string, updated_at timestamp")
     assert [x.skill_id for x in V.active(skills).collect()] == [1]
     assert {x.skill_id for x in V.touched(skills, F.col("skill_id") == 2, "2024-01-01 00:00:00").where("updated_at IS NOT NULL").collect()} == {2}
+
+
+def test_a_clock_between_the_last_run_and_the_last_tick_is_not_due(spark):
+    ticks = spark.createDataFrame([("j", i, t) for i, t in enumerate((100, 150, 120, 90, 160))], "job string, tick_id bigint, t bigint")
+    assert [r.outcome for r in V.cron_ticks(ticks, 60).orderBy("tick_id").collect()] == ["run", "wait", "wait", "error", "run"]
