@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from loomgrade.llm.common import apart, without
 from loomgrade.session import materialise, table
 
-THRESHOLD = 1
-LEAST_CHARS = 24  # more than threshold; shorter lines are duplicates only if they are equal
-CROWD = 64  # a segment of more lines is split again
+THRESHOLD = 2
+LEAST_CHARS = 24  # more than threshold; shorter lines, of which two edits change a twelfth or more, are duplicates only if they are equal
+CROWD = 32  # a segment of more lines is split again
 
 
 def segments(line: Column, n: Column, k: int) -> list[Column]:
@@ -89,6 +89,7 @@ def _cold_and_hot(own: DataFrame, probe: DataFrame, crowd: int) -> tuple[DataFra
     few = _bounded(hot) if some else None
     cold = own.join(few, "key", "left_anti") if some else own
     pairs = probe.select("key", F.col("digest").alias("p")).join(cold.select("key", F.col("digest").alias("q")), "key").where("p <> q").select("p", "q")
+    pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"))  # lines of one length probe each other
     return pairs, (own.join(few, "key", "left_semi") if some else None), (probe.join(few, "key", "left_semi") if some else None)
 
 
@@ -206,14 +207,26 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_kept", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
-# brute force over lengths that differ by one at most; the ends that an edit leaves alone make it an equi-join
+# brute force over lengths that differ by two at most. Two edits leave the first 8 characters alone, or the last 8, or else there
+# is one in each and all between them stays, moved by one place at most: three equi-joins. DuckDB's levenshtein counts bytes, so it
+# only leaves out what is far; of the rest, equal beginnings and ends are taken off, and an edit at either end must make the middles equal
 SQL = """
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 o AS (SELECT r, (doc_id IS NULL, coalesce(doc_id, 0), text, pos) AS f, pos, lines[pos] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS pos FROM (SELECT *, string_split(text, chr(10)) AS lines FROM d))),
 u AS (SELECT line, min(f) AS f FROM o WHERE trim(line) <> '' GROUP BY line),
-e AS (SELECT line, f, length(line) AS n, left(line, 12) AS a, right(line, 12) AS b FROM u WHERE length(line) >= 24),
-near AS (SELECT x.line FROM e x JOIN e y ON x.a = y.a AND abs(x.n - y.n) <= 1 AND x.line <> y.line WHERE y.f < x.f AND levenshtein(x.line, y.line) <= 1
-  UNION SELECT x.line FROM e x JOIN e y ON x.b = y.b AND abs(x.n - y.n) <= 1 AND x.line <> y.line WHERE y.f < x.f AND levenshtein(x.line, y.line) <= 1),
+e AS (SELECT line, f, length(line) AS n, left(line, 8) AS a, right(line, 8) AS b, substr(line, 11, 6) AS m FROM u WHERE length(line) >= 24),
+es AS (SELECT *, substr(line, 11 + s, 6) AS ms FROM e, (VALUES (-1), (0), (1)) v(s)),
+cd AS (SELECT x.line, y.line AS other FROM e x JOIN e y ON x.a = y.a AND abs(x.n - y.n) <= 2 AND x.line <> y.line WHERE y.f < x.f
+  UNION SELECT x.line, y.line FROM e x JOIN e y ON x.b = y.b AND abs(x.n - y.n) <= 2 AND x.line <> y.line WHERE y.f < x.f
+  UNION SELECT x.line, y.line FROM e x JOIN es y ON x.m = y.ms AND abs(x.n - y.n) <= 2 AND x.line <> y.line WHERE y.f < x.f),
+fw AS (SELECT * FROM cd WHERE levenshtein(line, other) <= 8),
+pf AS (SELECT *, list_min(list_filter(range(1, greatest(length(line), length(other)) + 2), lambda i: substr(line, i, 1) <> substr(other, i, 1))) AS p FROM fw),
+ab AS (SELECT line, substr(line, p) AS a, substr(other, p) AS b FROM pf),
+sf AS (SELECT *, list_min(list_filter(range(1, least(length(a), length(b)) + 2), lambda i: i > least(length(a), length(b)) OR substr(a, -i, 1) <> substr(b, -i, 1))) - 1 AS s FROM ab),
+mi AS (SELECT line, left(a, length(a) - s) AS a, left(b, length(b) - s) AS b FROM sf),
+ed AS (SELECT * FROM (VALUES (1, 1), (1, 0), (0, 1)) x(i, j), (VALUES (1, 1), (1, 0), (0, 1)) y(k, l)),
+near AS (SELECT line FROM mi WHERE substr(a, 2) = substr(b, 2) OR a = substr(b, 2) OR substr(a, 2) = b
+  UNION SELECT line FROM mi, ed WHERE length(a) >= i + k AND length(b) >= j + l AND substr(a, 1 + i, length(a) - i - k) = substr(b, 1 + j, length(b) - j - l)),
 k AS (SELECT o.r, o.pos, o.line FROM o LEFT JOIN u ON o.line = u.line AND u.f = o.f LEFT JOIN near ON o.line = near.line
   WHERE trim(o.line) = '' OR (u.line IS NOT NULL AND near.line IS NULL)),
 t AS (SELECT r, count(*) AS n_kept, string_agg(line, chr(10) ORDER BY pos) AS text FROM k GROUP BY r)
