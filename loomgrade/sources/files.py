@@ -74,17 +74,35 @@ def parse_skills(files: DataFrame) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
-    """session_id (the file's path), line (from 0), json of every line of JSONL files, each read as a whole."""
-    files = spark.read.text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("session_id"), F.posexplode(F.split("value", "\n", -1)).alias("line", "json"))
+    """session_id (the file's path), line (from 0), json of every line of JSONL files; lines end at a line feed.
+
+    A large file is read in byte ranges by many tasks. A line's number is its place in its range, by the order in which a task
+    reads, and how many lines the ranges before have: a prefix sum over a row a range. What follows a last line feed is a line only if it
+    is not empty. Files are read twice, as text and for their lines' number.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    at = [F.col("_metadata.file_path").alias("session_id"), F.col("_metadata.file_block_start").alias("block")]
+    read = lines.select(*at, F.monotonically_increasing_id().alias("place"), F.col("value").alias("json"))
+    ranges = read.groupBy("session_id", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    ranges = ranges.select("session_id", "block", (F.coalesce(before, F.lit(0)) - F.col("first")).alias("shift"))
+    return read.join(ranges, ["session_id", "block"]).select("session_id", (F.col("place") + F.col("shift")).alias("line"), "json")
 
 
 def strict_transcript(lines: DataFrame) -> DataFrame:
-    """session_id, line, speaker, content; fails on a line that is no JSON, and skips lines without speaker or content."""
-    v = F.parse_json("json")
-    get = lambda p: F.try_variant_get(v, p, "string")
-    rows = lines.where(F.trim("json") != "").select("session_id", "line", F.coalesce(get("$.speaker"), get("$.role"), get("$.message.role")).alias("speaker"), F.coalesce(get("$.content"), get("$.message.content")).alias("content"))
-    return rows.where("trim(speaker) <> '' AND trim(content) <> ''")
+    """session_id, line, speaker, content; fails on a line that is no JSON, naming file and line, and skips lines without speaker or content."""
+    v = F.try_parse_json("json")
+    where = F.concat(F.lit("no JSON: "), F.col("session_id"), F.lit(", line "), F.col("line").cast("string"))
+    v = F.when(v.isNull(), F.raise_error(where).cast("variant")).otherwise(v)
+    get = lambda p: F.try_variant_get("v", p, "string")
+    rows = lines.where(F.trim("json") != "").select("session_id", "line", v.alias("v"))
+    speaker, content = F.coalesce(get("$.speaker"), get("$.role"), get("$.message.role")), F.coalesce(get("$.content"), get("$.message.content"))
+    return rows.select("session_id", "line", speaker.alias("speaker"), content.alias("content")).where("trim(speaker) <> '' AND trim(content) <> ''")
+
+
+def without_entries(lines: DataFrame) -> DataFrame:
+    """session_id of transcripts that `strict_transcript` finds no entry in, which a loader has to report."""
+    return lines.select("session_id").distinct().join(strict_transcript(lines).select("session_id").distinct(), "session_id", "left_anti")
 
 
 def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ import json
 import os
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgrade.operators import state as S
+from loomgrade.sources import drafts as D
 from loomgrade.sources import files as A
 from loomgrade.streaming import jobs
 
@@ -50,6 +52,71 @@ def test_transcript_files(spark, tmp_path):
     assert [(r.line, r.speaker) for r in A.strict_transcript(lines).orderBy("line").collect()] == [(0, "user"), (2, "assistant")]
 
 
+def test_large_transcripts_are_read_in_ranges(spark, tmp_path):
+    """Lines of two files over many tasks are numbered as if each file were read at once; odd ends, blank lines, other line ends."""
+    texts = {"a.jsonl": "".join(f'{{"role": "user", "content": "{i} {"x" * (i % 97)}"}}\n' for i in range(4000)), "b.jsonl": "\n\n" + "y\u2028\r\n" * 900 + "last"}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = A.transcripts(spark, str(tmp_path))
+        got = {n: {r.line: r.json for r in lines.where(F.col("session_id").endswith(n)).collect()} for n in texts}
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for n, text in texts.items():
+        assert got[n] == dict(enumerate(text.removesuffix("\n").split("\n")))
+
+
+def test_strict_transcripts_name_what_is_wrong(spark, tmp_path):
+    write(tmp_path, "good.jsonl", '{"role": "user", "content": "hi"}\n')
+    write(tmp_path, "none.jsonl", '{"role": "user"}\n\n')
+    assert [r.session_id.split("/")[-1] for r in A.without_entries(A.transcripts(spark, str(tmp_path))).collect()] == ["none.jsonl"]
+    write(tmp_path, "bad.jsonl", '{"role": "user", "content": "hi"}\n{not\n')
+    with pytest.raises(Exception, match="bad.jsonl, line 1"):
+        A.strict_transcript(A.transcripts(spark, str(tmp_path))).collect()
+
+
+def files_of(root):
+    return {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file() and not p.name.startswith(".") and not p.name.endswith(".crc")}
+
+
+def test_a_batch_of_drafts_is_all_or_nothing(spark, tmp_path):
+    """A writer dies before each step in turn: afterwards the old files are whole, or the new ones are once the batch was decided."""
+    old = {"a/SKILL.md.pending": "old a", "keep/SKILL.md": "kept"}
+    new = {"a/SKILL.md.pending": "new a", "b/SKILL.md.pending": "new b", "c/SKILL.md.pending": ""}
+    rows = spark.createDataFrame(list(new.items()), "path string, markdown string").coalesce(1)
+    steps: list[str] = []
+    root = tmp_path / "all"
+    assert D.write_drafts(rows, str(root), steps.append) == sorted(new) and files_of(root) == new
+    assert steps == ["stage 0", "stage 1", "stage 2", "decide", "move 0", "move 1", "move 2", "forget"]
+    for k, dies in enumerate(steps):
+        root = tmp_path / f"at{k}"
+        for path, text in old.items():
+            write(root, path, text)
+
+        def step(name, dies=dies):
+            if name == dies:
+                raise KeyboardInterrupt
+
+        with pytest.raises(KeyboardInterrupt):
+            D.write_drafts(rows, str(root), step)
+        ended = D.recover(spark, str(root), grace_seconds=-60)
+        decided = k > steps.index("decide")
+        assert files_of(root) == (old | new if decided else old) and len(ended) == decided, dies
+
+
+def test_tombstones_and_repeats_are_errors(spark, tmp_path):
+    write(tmp_path, "b/SKILL.md.rejected", "no")
+    rows = lambda *x: spark.createDataFrame([(p, "t") for p in x], "path string, markdown string")
+    with pytest.raises(D.Rejected, match="b/SKILL.md"):
+        D.write_drafts(rows("a/SKILL.md.pending", "b/SKILL.md.pending"), str(tmp_path))
+    with pytest.raises(ValueError, match="more than once"):
+        D.write_drafts(rows("a/SKILL.md.pending", "a/SKILL.md.pending"), str(tmp_path))
+    assert files_of(tmp_path) == {"b/SKILL.md.rejected": "no"} and D.write_drafts(rows().where("false"), str(tmp_path)) == []
+
+
 def run(df, name, mode="append"):
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
