@@ -28,7 +28,10 @@ def communities_with_members(spark, sf):
 
 
 def list_communities(spark, sf):
-    return _links(spark, sf).groupBy("community_id").agg(F.count("*").alias("member_count"))
+    """Every community by name with its scope, which is the project's if one of its members is, and its number of members."""
+    members = _links(spark, sf).join(B.skills(spark, sf).select("skill_id", "scope"), "skill_id")
+    found = members.groupBy("community_id").agg(F.when(F.bool_or(F.col("scope") == "project"), "project").otherwise("global").alias("scope"), F.count("*").alias("member_count"))
+    return found.select("community_id", F.concat("scope", F.lit("-"), F.substring("community_id", 3, 1 << 30)).alias("name"), "scope", "member_count")
 
 
 def ordered_subunits(spark, sf):
@@ -103,7 +106,8 @@ ROOT = r"""CASE WHEN len(source_paths) > 0 THEN CASE WHEN skill_id % 3 = 0 THEN
 QUERIES = {
     "skills_with_communities": (skills_with_communities, f"WITH {B.SKILLS}, {LINKS} SELECT sk.skill_id, name, coalesce(string_agg(DISTINCT community_id, ',' ORDER BY community_id), '') AS communities FROM sk LEFT JOIN li ON sk.skill_id = li.skill_id GROUP BY ALL"),
     "communities_with_members": (communities_with_members, f"WITH {B.SKILLS}, {LINKS} SELECT community_id, coalesce(string_agg(skill_id::VARCHAR, ',' ORDER BY skill_id), '') AS members FROM li GROUP BY 1"),
-    "list_communities": (list_communities, f"WITH {B.SKILLS}, {LINKS} SELECT community_id, count(*) AS member_count FROM li GROUP BY 1"),
+    "list_communities": (list_communities, f"""WITH {B.SKILLS}, {LINKS} SELECT community_id, scope || '-' || substr(community_id, 3) AS name, scope, member_count FROM (
+SELECT community_id, CASE WHEN bool_or(scope = 'project') THEN 'project' ELSE 'global' END AS scope, count(*) AS member_count FROM li JOIN sk USING (skill_id) GROUP BY 1)"""),
     "ordered_subunits": (ordered_subunits, f"WITH {B.SKILLS} SELECT skill_id, len(string_split(text, chr(10)))::BIGINT AS n, md5(array_to_string(string_split(text, chr(10)), '|')) AS digest FROM sk"),
     "inspect_neighbourhood": (inspect_neighbourhood, f"""WITH {B.SKILLS}, {LINKS}, pm AS (SELECT skill_id, min(community_id) AS p FROM li GROUP BY 1), cs AS (SELECT community_id, count(*) AS n FROM li GROUP BY 1)
 SELECT a.skill_id AS asked_id, pa.p AS community, cs.n AS community_members, b.skill_id, CASE WHEN a.name = b.name THEN a.name ELSE '' END AS shared_tags, pa.p = pb.p AS same_community

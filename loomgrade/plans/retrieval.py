@@ -137,13 +137,14 @@ def rescue_pool(spark, sf):
     return _rescue(spark, sf).select("query_id", "skill_id", "subunit_id", "relevance")
 
 
-def _composite(spark, sf):
-    fused = materialise(_fused(spark, sf), "fused")  # winners and losers of one ranking
+def _composite(spark, sf, fused=None):
+    """The two best cues of losing skills for each winner, with their texts."""
+    fused = fused or materialise(_fused(spark, sf), "fused")  # winners and losers of one ranking
     winners = fused.where(F.col("position") <= CONFIG.results).select("query_id", "skill_id")
     own = winners.join(B.skills(spark, sf).select("skill_id", "name", F.substring_index("text", "\n", 1).alias("description")), "skill_id")
     own = own.select("query_id", "skill_id", "name", X.words(F.concat_ws(" ", "name", "description")).alias("st"))
     cues = _rescue(spark, sf, fused).join(B.skills(spark, sf).select("skill_id", F.col("name").alias("source_skill")), "skill_id")
-    cues = cues.select("query_id", F.col("skill_id").alias("cue_skill"), "source_skill", "subunit_id", "relevance", X.words(F.concat_ws(" ", "title", "content")).alias("ct"))
+    cues = cues.select("query_id", F.col("skill_id").alias("cue_skill"), "source_skill", "subunit_id", "relevance", "title", "content", X.words(F.concat_ws(" ", "title", "content")).alias("ct"))
     pairs = own.join(cues, "query_id").where("source_skill <> name")
     value = R.six(0.6 * F.col("relevance") + 0.4 * X.overlap(F.col("st"), F.col("ct")))
     return R.top(pairs.withColumn("composite", value).where("composite > 0"), ["query_id", "skill_id"], [F.desc("composite"), F.col("cue_skill"), F.col("subunit_id")], 2)
@@ -160,12 +161,17 @@ def score_bucket_rationale(spark, sf):
 
 def compile_markdown(spark, sf):
     """One Markdown page a query: skills with their two best sub-sections, and why they were chosen."""
-    f = _fused(spark, sf).where(F.col("position") <= CONFIG.results)
-    best = R.top(_subunits(spark, sf).where("relevance > 0"), ["query_id", "skill_id"], [F.desc("relevance"), F.col("subunit_id")], 2, "at")
+    fused = materialise(_fused(spark, sf), "fused")
+    f = fused.where(F.col("position") <= CONFIG.results)
+    scored = R.subunit_scores(f.select("query_id", "skill_id"), B.subunits(spark, sf), B.queries(spark, sf))
+    best = R.top(scored.where("relevance > 0"), ["query_id", "skill_id"], [F.desc("relevance"), F.col("subunit_id")], 2, "at")
     line = F.concat(F.lit("- [procedure] "), F.col("title"), F.lit(" — "), F.col("content"), F.lit("\n"))
     high = best.select("query_id", "skill_id", "at", line.alias("line")).groupBy("query_id", "skill_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda s: s["line"]), "").alias("lines"))
-    own = f.join(high, ["query_id", "skill_id"], "left").join(B.skills(spark, sf).select("skill_id", "name", F.substring_index("text", "\n", 1).alias("description")), "skill_id")
-    block = F.concat(F.lit("\n## Skill: "), F.col("name"), F.lit("\n- Description: "), F.col("description"), F.lit("\n- Score: "), F.format_string("%.3f", F.col("rrf")), F.lit("\n"), F.coalesce(F.concat(F.lit("### Highlights\n"), F.col("lines")), F.lit("")))
+    cue = F.concat(F.lit("- from `"), "source_skill", F.lit("`: "), "title", F.lit(" — "), "content", F.lit("\n"))
+    cues = _composite(spark, sf, fused).select("query_id", "skill_id", F.struct("rank", cue.alias("line")).alias("c")).groupBy("query_id", "skill_id").agg(F.sort_array(F.collect_list("c")).alias("c"))
+    cues = cues.select("query_id", "skill_id", F.array_join(F.transform("c", lambda c: c["line"]), "").alias("cues"))
+    own = f.join(high, ["query_id", "skill_id"], "left").join(cues, ["query_id", "skill_id"], "left").join(B.skills(spark, sf).select("skill_id", "name", F.substring_index("text", "\n", 1).alias("description")), "skill_id")
+    block = F.concat(F.lit("\n## Skill: "), F.col("name"), F.lit("\n- Description: "), F.col("description"), F.lit("\n- Score: "), F.format_string("%.3f", F.col("rrf")), F.lit("\n"), F.coalesce(F.concat(F.lit("### Highlights\n"), F.col("lines")), F.lit("")), F.coalesce(F.concat(F.lit("### Rescue cues\n"), F.col("cues")), F.lit("")))
     why = F.concat(F.lit("- "), F.col("name"), F.lit(": "), R.match_reason(F.col("scope"), F.col("rrf"), F.col("cosine"), F.col("lexical")), F.lit("\n"))
     pages = own.select("query_id", F.struct("position", block.alias("block"), why.alias("why")).alias("s")).groupBy("query_id").agg(F.sort_array(F.collect_list("s")).alias("s"))
     pages = pages.join(B.queries(spark, sf).select("query_id", "prompt"), "query_id")
@@ -211,6 +217,10 @@ _fuse = lambda scored: f"""{_mmr(scored)}, fu AS (SELECT *, row_number() OVER (P
   SELECT query_id, skill_id, rk.scope, CASE WHEN rk.scope = 'project' THEN 3 ELSE 2 END AS pri, score, cosine, lexical, round(CASE WHEN rk.scope = 'project' THEN 1.0 ELSE 0.7 END / (60.0 + mm.rank), 8) AS rrf FROM rk JOIN mm USING (query_id, scope, skill_id)))"""
 RANK, FUSE = _mmr(SCOR), _fuse(SCOR)
 RESC = f"""{FUSE}, re AS (SELECT * FROM (SELECT sb.* FROM sb JOIN fu USING (query_id, skill_id) WHERE position > 3 QUALIFY row_number() OVER (PARTITION BY sb.query_id, sb.skill_id ORDER BY relevance DESC, subunit_id) <= 3) WHERE relevance >= 0.15)"""
+COMP = f"""{RESC}, ow AS (SELECT query_id, skill_id, name, {W("name || ' ' || split_part(text, chr(10), 1)")} AS st FROM fu JOIN sk USING (skill_id) WHERE position <= 3),
+cu AS (SELECT query_id, re.skill_id AS cue_skill, name AS source_skill, subunit_id, relevance, title, content, {W("title || ' ' || content")} AS ct FROM re JOIN sk USING (skill_id)),
+cp AS (SELECT query_id, skill_id, cue_skill, source_skill, subunit_id, title, content, round(0.6 * relevance + 0.4 * {B.overlap_sql('st', 'ct')}, 6) AS composite FROM ow JOIN cu USING (query_id) WHERE source_skill <> name),
+rc AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, skill_id ORDER BY composite DESC, cue_skill, subunit_id) AS rank FROM cp WHERE composite > 0) WHERE rank <= 2)"""
 REASON = "'scope=' || scope || ' | bucket=' || CASE WHEN rrf >= 0.4 THEN 'high' WHEN rrf >= 0.2 THEN 'medium' ELSE 'low' END || ' | semantic=' || format('{:.3f}', cosine) || ' | lexical=' || format('{:.3f}', lexical)"
 LEX = lambda f: f"WITH {B.SKILLS}, lx AS (SELECT item_id, skill_id, round({B.overlap_sql('q', 'd')}, 6) AS overlap FROM (SELECT item_id, {f('text')} AS q FROM benchmark), (SELECT skill_id, {f('text')} AS d FROM sk))"
 STOPS = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
@@ -235,13 +245,10 @@ QUERIES = {
     "weighted_rrf": (weighted_rrf, f"{FUSE} SELECT query_id, skill_id, rrf FROM fu"),
     "fused_topn": (fused_topn, f"{FUSE} SELECT query_id, position, skill_id, scope, rrf, score FROM fu WHERE position <= 3"),
     "rescue_pool": (rescue_pool, f"{RESC} SELECT query_id, skill_id, subunit_id, relevance FROM re"),
-    "rescue_composite": (rescue_composite, f"""{RESC}, ow AS (SELECT query_id, skill_id, name, {W("name || ' ' || split_part(text, chr(10), 1)")} AS st FROM fu JOIN sk USING (skill_id) WHERE position <= 3),
-cu AS (SELECT query_id, re.skill_id AS cue_skill, name AS source_skill, subunit_id, relevance, {W("title || ' ' || content")} AS ct FROM re JOIN sk USING (skill_id)),
-cp AS (SELECT query_id, skill_id, cue_skill, subunit_id, round(0.6 * relevance + 0.4 * {B.overlap_sql('st', 'ct')}, 6) AS composite FROM ow JOIN cu USING (query_id) WHERE source_skill <> name)
-SELECT query_id, skill_id, rank, cue_skill, subunit_id, composite FROM (SELECT *, row_number() OVER (PARTITION BY query_id, skill_id ORDER BY composite DESC, cue_skill, subunit_id) AS rank FROM cp WHERE composite > 0) WHERE rank <= 2"""),
+    "rescue_composite": (rescue_composite, f"{COMP} SELECT query_id, skill_id, rank, cue_skill, subunit_id, composite FROM rc"),
     "score_bucket_rationale": (score_bucket_rationale, f"{FUSE} SELECT query_id, skill_id, CASE WHEN score >= 0.4 THEN 'high' WHEN score >= 0.2 THEN 'medium' ELSE 'low' END AS bucket, {REASON} AS reason FROM fu WHERE position <= 3"),
-    "compile_markdown": (compile_markdown, f"""{FUSE}, hi AS (SELECT query_id, skill_id, string_agg('- [procedure] ' || title || ' — ' || content || chr(10), '' ORDER BY nr) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY query_id, skill_id ORDER BY relevance DESC, subunit_id) AS nr FROM sb WHERE relevance > 0) WHERE nr <= 2 GROUP BY ALL),
-pg AS (SELECT query_id, position, chr(10) || '## Skill: ' || name || chr(10) || '- Description: ' || split_part(text, chr(10), 1) || chr(10) || '- Score: ' || format('{{:.3f}}', rrf) || chr(10) || coalesce('### Highlights' || chr(10) || lines, '') AS block, '- ' || name || ': ' || {REASON.replace('scope ||', 'fu.scope ||')} || chr(10) AS why FROM fu LEFT JOIN hi USING (query_id, skill_id) JOIN sk USING (skill_id) WHERE position <= 3)
+    "compile_markdown": (compile_markdown, f"""{COMP}, rl AS (SELECT query_id, skill_id, string_agg('- from `' || source_skill || '`: ' || title || ' — ' || content || chr(10), '' ORDER BY rank) AS cues FROM rc GROUP BY ALL), hi AS (SELECT query_id, skill_id, string_agg('- [procedure] ' || title || ' — ' || content || chr(10), '' ORDER BY nr) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY query_id, skill_id ORDER BY relevance DESC, subunit_id) AS nr FROM sb WHERE relevance > 0) WHERE nr <= 2 GROUP BY ALL),
+pg AS (SELECT query_id, position, chr(10) || '## Skill: ' || name || chr(10) || '- Description: ' || split_part(text, chr(10), 1) || chr(10) || '- Score: ' || format('{{:.3f}}', rrf) || chr(10) || coalesce('### Highlights' || chr(10) || lines, '') || coalesce('### Rescue cues' || chr(10) || cues, '') AS block, '- ' || name || ': ' || {REASON.replace('scope ||', 'fu.scope ||')} || chr(10) AS why FROM fu LEFT JOIN hi USING (query_id, skill_id) LEFT JOIN rl USING (query_id, skill_id) JOIN sk USING (skill_id) WHERE position <= 3)
 SELECT query_id, '# Compiled Context' || chr(10) || chr(10) || 'Prompt: `' || any_value(prompt) || '`' || chr(10) || string_agg(block, '' ORDER BY position) || '### Why These Skills' || chr(10) || string_agg(why, '' ORDER BY position) AS markdown FROM pg JOIN qu USING (query_id) GROUP BY query_id"""),
     "find_skill": (find_skill, f"{FUSE} SELECT query_id, position, name, format('{{:.3f}}', rrf) AS score FROM fu JOIN sk USING (skill_id) WHERE position <= 3"),
     "status_ladder": (status_ladder, f"{FUSE} SELECT qu.query_id, count(fu.skill_id)::BIGINT AS returned, CASE WHEN count(fu.skill_id) > 0 THEN 'ok' ELSE 'no_match' END AS status FROM qu LEFT JOIN fu ON qu.query_id = fu.query_id AND position <= 3 GROUP BY 1"),
