@@ -67,3 +67,11 @@ def slugify(c: Column, fallback: str) -> Column:
 def token_estimate(c: Column) -> Column:
     """A quarter of the bytes, one at least."""
     return F.greatest(F.floor(F.octet_length(F.coalesce(c, F.lit(""))) / 4), F.lit(1)).cast("bigint")
+
+
+def stable_id(kind: str, key: Column) -> Column:
+    """A name-based id in the shape of a random UUID: the first 128 bits of a SHA-256 of kind and key, with version and variant set."""
+    h = F.sha2(F.concat(F.lit(f"{kind}:"), key), 256)
+    variant = F.element_at(F.array(*[F.lit(x) for x in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
+    parts = F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)
+    return F.concat_ws("-", *parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgrade.functions import text as X
 from loomgrade.functions.fixed import STOP_WORDS
 from loomgrade.operators import density as D
 from loomgrade.operators import graph as G
@@ -34,6 +35,14 @@ def list_communities(spark, sf):
     return found.select("community_id", F.concat("scope", F.lit("-"), F.substring("community_id", 3, 1 << 30)).alias("name"), "scope", "member_count")
 
 
+def stable_ids(spark, sf):
+    """Ids of skills, and of their sub-sections by position and name: equal for equal skills, whatever run makes them."""
+    s = B.skills(spark, sf).select("skill_id", "name", F.posexplode(F.split("text", "\n", -1)).alias("position", "line"))
+    key = F.col("skill_id").cast("string")
+    part = F.concat_ws(":", key, F.col("position").cast("string"), "name")
+    return s.select("skill_id", "position", X.stable_id("skill", key).alias("skill_uuid"), X.stable_id("subunit", part).alias("subunit_uuid"))
+
+
 def ordered_subunits(spark, sf):
     rows = G.ordered_subunits(B.lines(spark, sf).select("skill_id", "position", F.col("line").alias("content")))
     return rows.select("skill_id", F.size("subunits").cast("bigint").alias("n"), F.md5(F.array_join("subunits", "|")).alias("digest"))
@@ -102,12 +111,16 @@ TERMS = f"""wd AS (SELECT cluster, skill_id, unnest(list_filter(list_transform(l
   lambda x: NOT regexp_full_match(x, '[0-9]+') AND NOT list_contains([{', '.join(repr(w) for w in STOP_WORDS)}], x))) AS term FROM (SELECT label AS cluster, skill_id, text FROM sk)),
 ts AS (SELECT cluster, term, tf, df, round(tf * (ln(((SELECT count(*) FROM sk) + 1)::DOUBLE / (df + 1)) + 1), 6) AS score FROM (SELECT cluster, term, count(*) AS tf FROM wd GROUP BY ALL) JOIN (SELECT term, count(DISTINCT skill_id) AS df FROM wd GROUP BY 1) USING (term))"""
 ROOT = r"""CASE WHEN len(source_paths) > 0 THEN CASE WHEN skill_id % 3 = 0 THEN '/home/team/' || lang ELSE '/home/team/' || lang END END"""
+UUID = lambda h: f"concat_ws('-', left({h}, 8), substr({h}, 9, 4), '4' || substr({h}, 14, 3), ['8', '9', 'a', 'b'][('0x' || substr({h}, 17, 1))::INT % 4 + 1] || substr({h}, 18, 3), substr({h}, 21, 12))"
 
 QUERIES = {
     "skills_with_communities": (skills_with_communities, f"WITH {B.SKILLS}, {LINKS} SELECT sk.skill_id, name, coalesce(string_agg(DISTINCT community_id, ',' ORDER BY community_id), '') AS communities FROM sk LEFT JOIN li ON sk.skill_id = li.skill_id GROUP BY ALL"),
     "communities_with_members": (communities_with_members, f"WITH {B.SKILLS}, {LINKS} SELECT community_id, coalesce(string_agg(skill_id::VARCHAR, ',' ORDER BY skill_id), '') AS members FROM li GROUP BY 1"),
     "list_communities": (list_communities, f"""WITH {B.SKILLS}, {LINKS} SELECT community_id, scope || '-' || substr(community_id, 3) AS name, scope, member_count FROM (
 SELECT community_id, CASE WHEN bool_or(scope = 'project') THEN 'project' ELSE 'global' END AS scope, count(*) AS member_count FROM li JOIN sk USING (skill_id) GROUP BY 1)"""),
+    "stable_ids": (stable_ids, f"""WITH {B.SKILLS}, pt AS (SELECT skill_id, name, unnest(range(len(string_split(text, chr(10)))))::INT AS position FROM sk),
+hs AS (SELECT *, sha256('skill:' || skill_id) AS h, sha256('subunit:' || skill_id || ':' || position || ':' || name) AS g FROM pt)
+SELECT skill_id, position, {UUID('h')} AS skill_uuid, {UUID('g')} AS subunit_uuid FROM hs"""),
     "ordered_subunits": (ordered_subunits, f"WITH {B.SKILLS} SELECT skill_id, len(string_split(text, chr(10)))::BIGINT AS n, md5(array_to_string(string_split(text, chr(10)), '|')) AS digest FROM sk"),
     "inspect_neighbourhood": (inspect_neighbourhood, f"""WITH {B.SKILLS}, {LINKS}, pm AS (SELECT skill_id, min(community_id) AS p FROM li GROUP BY 1), cs AS (SELECT community_id, count(*) AS n FROM li GROUP BY 1)
 SELECT a.skill_id AS asked_id, pa.p AS community, cs.n AS community_members, b.skill_id, CASE WHEN a.name = b.name THEN a.name ELSE '' END AS shared_tags, pa.p = pb.p AS same_community
