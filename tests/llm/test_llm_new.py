@@ -239,3 +239,46 @@ def test_language_held_out(spark):
     held = [r for r in got if r.held_out]
     assert sum(r.lang_pred == r.lang for r in held) >= 0.99 * len(held) and sum(r.rejected for r in held) < 0.02 * len(held)
     assert all(0 <= r.score <= 1 for r in got)
+
+
+# -- broadcasts and long texts of earlier operators
+
+
+def test_queries_built_before_the_pipeline_still_run(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    built = [catalog.queries()[n](spark, sf) for n in ("op1_decontamination", "op7_toxicity")]
+    done = corpus_pipeline.run(spark, sf)
+    assert all(df.count() == 200 for df in built) and done.count() > 0 and all(len(df.collect()) == 200 for df in built)
+
+
+def test_a_block_destroys_its_own_broadcasts_only(spark):
+    from loomgrade.llm.common import owned, share
+
+    outer = share(spark, 1)
+    with owned():
+        inner = share(spark, 2)
+        with owned():
+            innermost = share(spark, 3)
+        assert inner.value == 2
+        with pytest.raises(Exception, match="[Dd]estroy|None|No such"):
+            spark.sparkContext.parallelize([0]).map(lambda _: innermost.value).collect()
+    assert spark.sparkContext.parallelize([0]).map(lambda _: outer.value).collect() == [1]
+
+
+def test_network_trains_on_long_texts_without_padding():
+    """One text of 30,000 words beside short ones: memory is that of a window of all, not of all up to the longest."""
+    import tracemalloc
+
+    from loomgrade.llm import language_model as L
+
+    words = L.vocabulary([(f"w{i}".encode(), 1000 - i) for i in range(300)] + [(b"", 64)], 200_000, 400)
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 100, 30_000), *(rng.integers(0, 100, 50) for _ in range(63))]
+    network = L.Network(words.start)
+    tracemalloc.start()
+    assert L.train(network, texts) == sum(map(len, texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and np.isfinite(network.w).all()  # arrays padded to the longest text would take 3 x 30,000 x 64 x 8 bytes
