@@ -120,7 +120,7 @@ def skeleton_steps(spark, sf):
     return T.skeleton_steps(session_events(spark, sf), BY)
 
 
-def _candidates(spark, sf):
+def _drafts(spark, sf):
     d = table(spark, sf, "documents")
     name = F.when(F.col("doc_id") % 4 == 0, F.col("source")).when(F.col("doc_id") % 4 == 1, F.lit("")).otherwise(F.col("text"))
     some = F.when(F.col("doc_id") % 3 == 0, F.array(F.lit("x")))
@@ -128,7 +128,7 @@ def _candidates(spark, sf):
 
 
 def contract_violations(spark, sf):
-    return T.contract_violations(_candidates(spark, sf)).select("doc_id", F.array_join("violations", "; ").alias("violations"))
+    return T.contract_violations(_drafts(spark, sf)).select("doc_id", F.array_join("violations", "; ").alias("violations"))
 
 
 def sanitize_entries(spark, sf):
