@@ -308,6 +308,25 @@ def test_jaccard_join_finds_every_pair(spark):
         assert got == {k: v for k, v in want.items() if v >= least} and got
 
 
+def test_word_sets_meet_in_cells(spark):
+    """Many small cells give what a comparison of all pairs gives; only pairs that stand leave a cell."""
+    rng = np.random.default_rng(5)
+    sets = [sorted({f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 30)) if x < 60}) for _ in range(150)] + [None, ["w1", "w2"], ["w1", "w2"]]
+    jaccard = {(i, j): round(len({*a} & {*b}) / len({*a} | {*b}), 6) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j and a and b}
+    rows = spark.createDataFrame(list(enumerate(sets)), "skill_id bigint, w array<string>")
+    for least in (0.25, 0.5, 0.9):
+        want = {k: v for k, v in jaccard.items() if v >= least}
+        found = M.jaccard_join(rows, least, 100, 40)
+        assert sorted((r.a, r.b, r.jaccard) for r in found.collect()) == sorted((*k, v) for k, v in want.items()) and want
+    vectors = [None if i == 7 else [0.0, 0.0] if i == 8 else [1.0] if i == 9 else [math.cos(i), math.sin(i)] for i in range(len(sets))]
+    scopes = [(None, "x", "y")[i % 3] for i in range(len(sets))]
+    skills = spark.createDataFrame([(i, scopes[i], vectors[i], " ".join(w) if w else None) for i, w in enumerate(sets)], "skill_id bigint, scope string, vec array<float>, text string")
+    got = {(r.a, r.b): (r.cosine, r.jaccard) for r in M.cross_scope_duplicates(skills, 0.8, 0.1, 100, 40).collect()}
+    odd = {7, 8, 9}
+    want = {(i, j): v for (i, j), v in jaccard.items() if v >= 0.1 and scopes[i] != scopes[j] and not {i, j} & odd and round(math.cos(i - j), 6) >= 0.8}
+    assert got.keys() == want.keys() and want and all(abs(got[k][0] - math.cos(k[0] - k[1])) < 2e-6 and got[k][1] == want[k] for k in want)
+
+
 def test_walks_keep_keys_apart_and_take_nulls(spark):
     rows = [(1, "a", 1, 0), (2, None, 1, 5), (3, "a", 1, 30), (4, "a", 2, 40), (5, "a", 1, 50), (6, None, 1, 64), (7, None, 1, 65), (8, "a", None, 51)]
     calls = spark.createDataFrame(rows, "call_id bigint, key string, version bigint, s bigint").withColumn("at", F.timestamp_seconds("s"))
