@@ -330,6 +330,17 @@ def test_sub_sections_are_scored_in_blocks_without_their_texts(spark, monkeypatc
     assert sorted(R.subunit_scores(pairs, parts, queries).collect()) == sorted(whole.collect())
 
 
+def test_neighbours_meet_once_and_are_not_shuffled(spark):
+    """A pair that shares two communities and a tag stands once; what follows the join of pairs moves nothing."""
+    skills = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["a", "b", None]), (3, None), (4, [None]), (5, ["z"])], "skill_id bigint, tags array<string>")
+    links = spark.createDataFrame([(1, "x"), (1, "y"), (2, "x"), (2, "y"), (3, "y"), (9, "x"), (4, "a")], "skill_id bigint, community_id string")
+    found = G.inspect_neighbourhood(skills, links, spark.createDataFrame([(1,), (4,), (5,), (1,)], "skill_id bigint"))
+    got = sorted((r.asked_id, r.community, r.community_members, r.skill_id, tuple(r.shared_tags or []), r.same_community) for r in found.collect())
+    assert got == [(1, "x", 3, 2, ("a", "b"), True), (1, "x", 3, 3, (), False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and not plan.split("Join")[0].count("Aggregate")
+
+
 def test_word_sets_meet_in_cells(spark):
     """Many small cells give what a comparison of all pairs gives; only pairs that stand leave a cell."""
     rng = np.random.default_rng(5)
