@@ -96,6 +96,22 @@ def test_cells_and_rounds_equal_the_plain_version(spark, cell, finish):
     assert len({r.cluster for r in got.values()}) > 3
 
 
+def test_tight_groups_are_searched_and_lists_grow_with_the_rows_alone(spark):
+    """Groups larger than a row's list, of copies and of rows on a grid, far apart: no list leaves its group, and many distances are equal."""
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.tile([50.0, 0.0, 1.0], (30, 1)), *[rng.integers(0, 3, (30, 3)) + 20.0 * c for c in range(4)], rng.normal(0, 0.1, (35, 3)) - 40, rng.uniform(-90, 90, (20, 3))])
+    x = x[rng.permutation(len(x))]
+    rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(x.tolist())] + [("a", 500 + i, [float("nan"), 1.0, bad]) for i, bad in enumerate((0.0, float("inf")))], "scope string, skill_id bigint, vec array<double>")
+    for cell, finish in ((2000, 1_000_000), (25, 0)):
+        got = {r.skill_id: r.cluster for r in D.density_clusters(rows, 3, cell, finish).collect()}
+        assert [got[i] for i in range(len(x))] == plain_clusters(x, 3) and got[500] == got[501] == -1, cell
+    sizes = []
+    for blocks in (2, 8):  # pairs that are kept do not follow the number of cells
+        dealt = rows.where("skill_id < 500").selectExpr("scope", "skill_id AS id", "vec AS v", f"CAST(skill_id % {blocks} AS INT) AS at", f"{blocks} AS blocks")
+        sizes.append(D._listed_edges(D._nearest(dealt, 3, 2)).count())
+    assert sizes[0] == sizes[1] <= (2 + D.MORE) * len(x)
+
+
 def test_odd_vectors(spark):
     rows = spark.createDataFrame([("a", 1, [1.0]), ("a", 2, [1.0, 2.0]), ("a", 3, [1.0])], "scope string, skill_id bigint, vec array<double>")
     with pytest.raises(ValueError, match="lengths"):
