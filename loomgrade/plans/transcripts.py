@@ -11,7 +11,7 @@ from loomgrade.operators import reduction as D
 from loomgrade.operators import service as V
 from loomgrade.operators import transcripts as T
 from loomgrade.plans import bindings as B
-from loomgrade.session import table
+from loomgrade.session import materialise, table
 
 BY = ["session_id", "win"]
 
@@ -155,13 +155,13 @@ def greedy_reduce(spark, sf):
 
 def reduce_audit(spark, sf):
     """Every compared pair, where a verifier takes candidates of one language for equivalent."""
-    langs = B.skills(spark, sf).select("skill_id", "lang")
+    langs = materialise(B.skills(spark, sf).select("skill_id", "lang"), "langs")
 
     def verify(pairs):
         one, two = (langs.select(F.col("skill_id").alias(c), F.col("lang").alias(f"l{c}")) for c in ("a", "b"))
         return pairs.join(one, "a").join(two, "b").select("a", "b", "cosine", (F.col("la") == F.col("lb")).alias("equivalent"), F.concat_ws("-", "la", "lb").alias("rationale"))
 
-    return D.greedy_reduce(_candidates(spark, sf), 0.3, verify)[1]
+    return D.greedy_reduce(_candidates(spark, sf), 0.3, verify, cheap=True)[1]
 
 
 def sentence_split(spark, sf):
