@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -107,82 +108,128 @@ class Network:
         """The next state after classes x; also what backpropagation needs."""
         n = self.h
         e = self.p["e"][x]
-        zr = _sigmoid(e[:, : 2 * n] + h @ self.p["u"])
+        zr, c = e[:, : 2 * n], e[:, 2 * n :]
+        zr += h @ self.p["u"]
+        zr = _sigmoid(zr)
         z, r = zr[:, :n], zr[:, n:]
         rh = r * h
-        c = np.tanh(e[:, 2 * n :] + rh @ self.p["c"])
-        return h + z * (c - h), (x, h, z, r, rh, c)
+        c += rh @ self.p["c"]
+        c = np.tanh(c)
+        new = c - h
+        new *= z
+        new += h
+        return new, (x, h, z, r, rh, c)
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log of P(class y | state h) for every row; with grads, adds the gradients of the mean loss and returns that of h."""
-        g, inner = y // self.g, y % self.g
-        a = h @ self.p["go"] + self.p["gb"]
-        a -= a.max(axis=1, keepdims=True)
-        ea = np.exp(a)
-        sa = ea.sum(axis=1)
-        rows = np.arange(len(y))
-        out = a[rows, g] - np.log(sa)
-        dh = None
+        order = np.argsort(y.astype(np.int16 if self.k < 1 << 15 else np.int64), kind="stable")  # rows of a group stand together
+        y, h = y[order], h[order]
+        g, inner, rows = y // self.g, y % self.g, np.arange(len(y))
+        ht = np.ascontiguousarray(h.T)  # classes by rows, so that sums over classes run along rows
+        a = self.p["go"].T @ ht
+        a += self.p["gb"][:, None]
+        a -= a.max(axis=0)
+        logs = a[g, rows]
+        np.exp(a, out=a)
+        scale, dh = a.sum(axis=0), None
         if grads is not None:
-            da = ea / sa[:, None]
-            da[rows, g] -= 1
-            grads["go"] += h.T @ da
-            grads["gb"] += da.sum(axis=0)
-            dh = da @ self.p["go"].T
-        order = np.argsort(g, kind="stable")
-        cut = np.searchsorted(g[order], np.arange(self.groups + 1))
+            a /= scale
+            a[g, rows] -= 1
+            grads["go"] += (a @ h).T
+            grads["gb"] += a.sum(axis=1)
+            dh = self.p["go"] @ a
+        cut = np.searchsorted(g, np.arange(self.groups + 1)).tolist()
         for k in range(self.groups):
-            at = order[cut[k] : cut[k + 1]]
-            if not len(at):
+            if cut[k] == cut[k + 1]:
                 continue
-            span = slice(k * self.g, (k + 1) * self.g)
-            b = h[at] @ self.p["wo"][span].T + self.p["wb"][span]
-            b -= b.max(axis=1, keepdims=True)
-            eb = np.exp(b)
-            sb = eb.sum(axis=1)
-            own = np.arange(len(at))
-            out[at] += b[own, inner[at]] - np.log(sb)
+            at, span = slice(cut[k], cut[k + 1]), slice(k * self.g, (k + 1) * self.g)
+            own, mine, weights = rows[: cut[k + 1] - cut[k]], inner[at], self.p["wo"][span]
+            e = weights @ ht[:, at]
+            e += self.p["wb"][span, None]
+            e -= e.max(axis=0)
+            logs[at] += e[mine, own]
+            np.exp(e, out=e)
+            total = e.sum(axis=0)
+            scale[at] *= total
             if grads is not None:
-                db = eb / sb[:, None]
-                db[own, inner[at]] -= 1
-                grads["wo"][span] += db.T @ h[at]
-                grads["wb"][span] += db.sum(axis=0)
-                dh[at] += db @ self.p["wo"][span]
+                e /= total
+                e[mine, own] -= 1
+                grads["wo"][span] += e @ h[at]
+                grads["wb"][span] += e.sum(axis=1)
+                dh[:, at] += weights.T @ e
+        logs -= np.log(scale)
+        out = np.empty_like(logs)
+        out[order] = logs
+        if dh is not None:
+            back = np.empty_like(h)
+            back[order] = dh.T
+            dh = back
         return out, dh
 
+    def run(self, x: np.ndarray, h: np.ndarray):
+        """States before and after each step of x (steps by rows) from h; also the gates, the gated states and the candidates of all steps."""
+        n, (steps, rows) = self.h, x.shape
+        e = self.p["e"][x]
+        gates = 0.5 * e[:, :, : 2 * n]  # halves, as a sigmoid is half a tanh of the half
+        c, u, w = np.ascontiguousarray(e[:, :, 2 * n :]), 0.5 * self.p["u"], self.p["c"]
+        states, gated = np.empty((steps + 1, rows, n), h.dtype), np.empty((steps, rows, n), h.dtype)
+        states[0] = h
+        for t in range(steps):
+            h, zr, new = states[t], gates[t], states[t + 1]
+            zr += h @ u
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            np.multiply(zr[:, n:], h, out=gated[t])
+            c[t] += gated[t] @ w
+            np.tanh(c[t], out=c[t])
+            np.subtract(c[t], h, out=new)
+            new *= zr[:, :n]
+            new += h
+        return states, gates, gated, c
+
     def train_window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: dict) -> tuple[np.ndarray, float, int]:
         """Gradients of one window by backpropagation to its start; x, y: steps by rows, y -1 where a text has ended."""
-        n, tapes = self.h, []
-        for t in range(len(x)):
-            h, tape = self.step(x[t], h)
-            tapes.append(tape)
-        states = np.concatenate([tp[1] for tp in tapes[1:]] + [h])
+        n = self.h
+        states, gates, gated, c = self.run(x, h)
+        after, before = states[1:].reshape(-1, n), states[:-1]
         flat = y.reshape(-1)
         on = np.flatnonzero(flat >= 0)
-        loss, d_on = self.log_probs(states[on], flat[on], grads)
-        d = np.zeros_like(states)
-        d[on] = d_on
+        d = np.zeros_like(after)
+        loss, d[on] = self.log_probs(after[on], flat[on], grads)
         d = d.reshape(len(x), -1, n)
+        # what does not depend on later steps, for all steps at once
+        z, r = np.ascontiguousarray(gates[:, :, :n]), np.ascontiguousarray(gates[:, :, n:])
+        of_z = (c - before) * z
+        of_z *= (stay := 1 - z)
+        of_r = before * r
+        of_r *= 1 - r
+        of_c = 1 - c * c
+        of_c *= z
+        dc, dg = np.empty_like(c), np.empty_like(gates)
+        wt, ut = np.ascontiguousarray(self.p["c"].T), np.ascontiguousarray(self.p["u"].T)
         back = np.zeros_like(h)
-        inputs = np.zeros((len(x), len(h), 3 * n), h.dtype)
         for t in reversed(range(len(x))):
-            _, before, z, r, rh, c = tapes[t]
-            dh = back + d[t]
-            dc = dh * z * (1 - c * c)
-            dz = dh * (c - before) * z * (1 - z)
-            drh = dc @ self.p["c"].T
-            dr = drh * before * r * (1 - r)
-            gates = np.concatenate((dz, dr), axis=1)
-            grads["c"] += rh.T @ dc
-            grads["u"] += before.T @ gates
-            inputs[t, :, : 2 * n], inputs[t, :, 2 * n :] = gates, dc
-            back = dh * (1 - z) + drh * r + gates @ self.p["u"].T
+            dh = d[t]
+            dh += back
+            drh = np.multiply(dh, of_c[t], out=dc[t]) @ wt
+            np.multiply(dh, of_z[t], out=dg[t, :, :n])
+            np.multiply(drh, of_r[t], out=dg[t, :, n:])
+            drh *= r[t]
+            back = dg[t] @ ut
+            back += drh
+            dh *= stay[t]
+            back += dh
+        dc, dg = dc.reshape(-1, n), dg.reshape(-1, 2 * n)
+        grads["c"] += gated.reshape(-1, n).T @ dc
+        grads["u"] += before.reshape(-1, n).T @ dg
         # of equal inputs together
-        seen, inputs = x.reshape(-1), inputs.reshape(-1, 3 * n)
-        order = np.argsort(seen, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(seen[order]) > 0])
-        grads["e"][seen[order[first]]] += np.add.reduceat(inputs[order], first, axis=0)
-        return h, -float(loss.sum()), len(on)
+        seen = x.reshape(-1)
+        order = np.argsort(seen.astype(np.int16 if self.k < 1 << 15 else np.int64), kind="stable")
+        ordered = seen[order]
+        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+        grads["e"][ordered[first]] += np.add.reduceat(np.concatenate((dg, dc), axis=1)[order], first, axis=0)
+        return states[-1], -float(loss.sum()), len(on)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -219,14 +266,23 @@ def train(network: Network, texts: list[np.ndarray], rate: float = RATE, rows: i
                 at += n
             h[live], _, n = network.train_window(x, y, h[live], grads)
             flat /= max(n, 1)
-            norm = np.sqrt((flat * flat).sum())
+            norm = float(np.sqrt(flat @ flat))
             if norm > 1:
                 flat /= norm
             steps += 1
             seen += n
-            first += 0.1 * (flat - first)
-            second += 0.01 * (flat * flat - second)
-            network.w -= rate / (1 + steps / 400) * (first / (1 - 0.9**steps)) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
+            first *= 0.9
+            first += 0.1 * flat
+            flat *= flat
+            flat *= 0.01
+            second *= 0.99
+            second += flat
+            np.multiply(second, 1 / (1 - 0.99**steps), out=flat)
+            np.sqrt(flat, out=flat)
+            flat += 1e-6
+            np.divide(first, flat, out=flat)
+            flat *= rate / (1 + steps / 400) / (1 - 0.9**steps)
+            network.w -= flat
     return seen
 
 
@@ -253,7 +309,7 @@ def log_likelihoods(network: Network, texts: list[np.ndarray]) -> np.ndarray:
             ys.append(x)
             rows.append(order[:live])
         logs, _ = network.log_probs(np.concatenate(states), np.concatenate(ys))
-        np.add.at(out, np.concatenate(rows), logs)
+        out += np.bincount(np.concatenate(rows), logs, len(texts))
     return out
 
 
@@ -347,10 +403,7 @@ def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, roun
 def numbers(words: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     """Numbers of the tokens and of the text's end; the last number is that of words which are not known."""
     get, other = words.number.get, len(words.number)
-    out = np.empty(len(tokens) + 1, np.int64)
-    out[:-1] = [get(w, other) for w in tokens]
-    out[-1] = get(END, other)
-    return out
+    return np.fromiter(map(get, chain(tokens, (END,)), repeat(other)), np.int64, len(tokens) + 1)
 
 
 def classes(words: Vocabulary, tokens: list[bytes]) -> np.ndarray:

@@ -188,6 +188,18 @@ def test_class_model_sums_to_one_and_carries_state():
     assert np.isclose(got[0], want) and got[2] == 0
 
 
+def test_whole_windows_equal_single_steps():
+    net = language_model.Network(np.log(np.full(11, 1 / 11)), 4, 3)
+    rng = np.random.default_rng(3)
+    net.w += rng.normal(0, 0.3, net.w.shape) * (net.w > -100)
+    x, h = rng.integers(0, 12, (5, 6)), rng.normal(size=(6, 4))
+    states, gates, gated, c = net.run(x, h)
+    for t in range(5):
+        h, (_, before, z, r, rh, own) = net.step(x[t], h)
+        for got, want in ((states[t + 1], h), (states[t], before), (gates[t], np.concatenate((z, r), axis=1)), (gated[t], rh), (c[t], own)):
+            assert np.allclose(got, want)
+
+
 def test_gradients():
     net = language_model.Network(np.log(np.full(7, 1 / 7)), 3, 3)
     rng = np.random.default_rng(0)
