@@ -14,19 +14,20 @@ the state across windows, so a document's log-likelihood is that of its whole te
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgrade.llm.common import apart, as_bytes, row_parts, share, space_words, without
+from loomgrade.llm.common import all_space_words, apart, byte_sizes, row_parts, share, without
 from loomgrade.session import materialise, ship, table
 
 KNOWN_WORDS = 131_072  # words whose counts are broadcast, at most
@@ -36,11 +37,11 @@ GROUP = 16  # classes in a group of the factored softmax
 HIDDEN = 16
 WINDOW = 24  # steps of truncated backpropagation
 ROWS = 64  # texts that are read side by side in training
+SCORE_ROWS = 128  # and in scoring, where it changes no result
 SHARD_TOKENS = 2_000_000  # tokens that one of the networks trained side by side sees at least, about
 TRAIN_TOKENS = 1_000_000  # tokens that a task holds at once
 ROUNDS = 1
 RATE = 0.04
-FLUSH = 200_000  # different words that a counting task holds at once
 BATCH_BYTES = 8 << 20
 END = b""  # the end of a text; no word is empty
 
@@ -89,12 +90,8 @@ class Network:
         shapes = {"e": (self.k + 1, 3 * hidden), "u": (hidden, 2 * hidden), "c": (hidden, hidden), "go": (hidden, self.groups), "gb": (self.groups,), "wo": (self.groups * group, hidden), "wb": (self.groups * group,)}
         size = sum(int(np.prod(s)) for s in shapes.values())
         self.w = np.zeros(size) if weights is None else weights.copy()
-        self.p, at = {}, 0
-        for name, shape in shapes.items():
-            n = int(np.prod(shape))
-            self.p[name] = self.w[at : at + n].reshape(shape)
-            at += n
         self.slices = shapes
+        self.p = self.parts_of(self.w)
         if weights is None:
             rng = np.random.default_rng(seed)
             for name, scale in (("e", 0.3), ("u", 0.3), ("c", 0.3)):  # output weights start at zero: the counts' own shares
@@ -122,149 +119,173 @@ class Network:
 
     def log_probs(self, h: np.ndarray, y: np.ndarray, grads: dict | None = None):
         """Natural log of P(class y | state h) for every row; with grads, adds the gradients of the mean loss and returns that of h."""
+        n, rows = self.h, np.arange(len(y))
         order = np.argsort(y.astype(np.int16 if self.k < 1 << 15 else np.int64), kind="stable")  # rows of a group stand together
-        y, h = y[order], h[order]
-        g, inner, rows = y // self.g, y % self.g, np.arange(len(y))
-        ht = np.ascontiguousarray(h.T)  # classes by rows, so that sums over classes run along rows
-        a = self.p["go"].T @ ht
-        a += self.p["gb"][:, None]
+        y = y.take(order)
+        g, inner = np.divmod(y, self.g)
+        ht = np.empty((n + 1, len(y)), h.dtype)  # classes by rows, so that sums over classes run along rows; ones meet the biases
+        ht[:n], ht[n] = h.take(order, axis=0).T, 1
+        a = np.concatenate((self.p["go"].T, self.p["gb"][:, None]), axis=1) @ ht
         a -= a.max(axis=0)
         logs = a[g, rows]
         np.exp(a, out=a)
-        scale, dh = a.sum(axis=0), None
-        if grads is not None:
-            a /= scale
-            a[g, rows] -= 1
-            grads["go"] += (a @ h).T
-            grads["gb"] += a.sum(axis=1)
-            dh = self.p["go"] @ a
+        scale = a.sum(axis=0)
+        # a product for each group, all else for all rows at once
         cut = np.searchsorted(g, np.arange(self.groups + 1)).tolist()
-        for k in range(self.groups):
-            if cut[k] == cut[k + 1]:
-                continue
-            at, span = slice(cut[k], cut[k + 1]), slice(k * self.g, (k + 1) * self.g)
-            own, mine, weights = rows[: cut[k + 1] - cut[k]], inner[at], self.p["wo"][span]
-            e = weights @ ht[:, at]
-            e += self.p["wb"][span, None]
-            e -= e.max(axis=0)
-            logs[at] += e[mine, own]
-            np.exp(e, out=e)
-            total = e.sum(axis=0)
-            scale[at] *= total
-            if grads is not None:
-                e /= total
-                e[mine, own] -= 1
-                grads["wo"][span] += e @ h[at]
-                grads["wb"][span] += e.sum(axis=1)
-                dh[:, at] += weights.T @ e
-        logs -= np.log(scale)
-        out = np.empty_like(logs)
-        out[order] = logs
-        if dh is not None:
-            back = np.empty_like(h)
-            back[order] = dh.T
-            dh = back
-        return out, dh
+        parts = [(slice(cut[k], cut[k + 1]), slice(k * self.g, (k + 1) * self.g)) for k in range(self.groups) if cut[k] < cut[k + 1]]
+        weights, e = np.concatenate((self.p["wo"], self.p["wb"][:, None]), axis=1), np.empty((self.g, len(y)), h.dtype)
+        for at, span in parts:
+            np.matmul(weights[span], ht[:, at], out=e[:, at])
+        e -= e.max(axis=0)
+        logs += e[inner, rows]
+        np.exp(e, out=e)
+        total = e.sum(axis=0)
+        logs -= np.log(scale * total)
+        back = np.empty_like(order)
+        back[order] = rows
+        if grads is None:
+            return logs.take(back), None
+        a /= scale
+        a[g, rows] -= 1
+        e /= total
+        e[inner, rows] -= 1
+        of_group, of_class, dh = a @ ht.T, np.zeros_like(weights), np.empty((n, len(y)), h.dtype)
+        for at, span in parts:
+            np.matmul(e[:, at], ht[:, at].T, out=of_class[span])
+            np.matmul(self.p["wo"][span].T, e[:, at], out=dh[:, at])
+        grads["go"] += of_group[:, :n].T
+        grads["gb"] += of_group[:, n]
+        grads["wo"] += of_class[:, :n]
+        grads["wb"] += of_class[:, n]
+        dh += self.p["go"] @ a
+        return logs.take(back), np.ascontiguousarray(dh.T).take(back, axis=0)
 
     def run(self, x: np.ndarray, h: np.ndarray):
-        """States before and after each step of x (steps by rows) from h; also the gates, the gated states and the candidates of all steps."""
+        """States before and after each step of x (steps by rows) from h; also the gates, the gated states and the candidates of all steps.
+
+        They are made and lie in memory as steps by features by rows, so that the parts of a step are whole runs.
+        """
         n, (steps, rows) = self.h, x.shape
-        e = self.p["e"][x]
-        gates = 0.5 * e[:, :, : 2 * n]  # halves, as a sigmoid is half a tanh of the half
-        c, u, w = np.ascontiguousarray(e[:, :, 2 * n :]), 0.5 * self.p["u"], self.p["c"]
-        states, gated = np.empty((steps + 1, rows, n), h.dtype), np.empty((steps, rows, n), h.dtype)
-        states[0] = h
-        for t in range(steps):
-            h, zr, new = states[t], gates[t], states[t + 1]
-            zr += h @ u
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= 0.5
-            np.multiply(zr[:, n:], h, out=gated[t])
-            c[t] += gated[t] @ w
-            np.tanh(c[t], out=c[t])
-            np.subtract(c[t], h, out=new)
-            new *= zr[:, :n]
-            new += h
-        return states, gates, gated, c
+        e = self.p["e"].copy()
+        e[:, : 2 * n] *= -1  # a sigmoid is 1 / (1 + exp(-x))
+        e = np.ascontiguousarray(e.take(x.reshape(-1), axis=0).reshape(steps, rows, 3 * n).transpose(0, 2, 1))
+        gates, c, u, w = e[:, : 2 * n], e[:, 2 * n :], np.ascontiguousarray(-self.p["u"].T), np.ascontiguousarray(self.p["c"].T)
+        states, gated = np.empty((steps + 1, n, rows), h.dtype), np.empty((steps, n, rows), h.dtype)
+        to_gates, to_c = np.empty((2 * n, rows), h.dtype), np.empty((n, rows), h.dtype)
+        states[0] = h.T
+        with np.errstate(over="ignore"):  # a gate is zero then
+            for h, new, zr, own, reset in zip(states, states[1:], gates, c, gated, strict=False):
+                zr += np.dot(u, h, out=to_gates)
+                np.exp(zr, out=zr)
+                zr += 1
+                np.reciprocal(zr, out=zr)
+                np.multiply(zr[n:], h, out=reset)
+                own += np.dot(w, reset, out=to_c)
+                np.tanh(own, out=own)
+                np.subtract(own, h, out=new)
+                new *= zr[:n]
+                new += h
+        return tuple(a.transpose(0, 2, 1) for a in (states, gates, gated, c))
 
     def train_window(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, grads: dict) -> tuple[np.ndarray, float, int]:
         """Gradients of one window by backpropagation to its start; x, y: steps by rows, y -1 where a text has ended."""
-        n = self.h
-        states, gates, gated, c = self.run(x, h)
-        after, before = states[1:].reshape(-1, n), states[:-1]
-        flat = y.reshape(-1)
+        n, (steps, rows) = self.h, x.shape
+        made = self.run(x, h)
+        states, gates, gated, c = (a.transpose(0, 2, 1) for a in made)
+        after, flat = made[0][1:].reshape(-1, n), y.reshape(-1)
         on = np.flatnonzero(flat >= 0)
-        d = np.zeros_like(after)
-        loss, d[on] = self.log_probs(after[on], flat[on], grads)
-        d = d.reshape(len(x), -1, n)
-        # what does not depend on later steps, for all steps at once
-        z, r = np.ascontiguousarray(gates[:, :, :n]), np.ascontiguousarray(gates[:, :, n:])
-        of_z = (c - before) * z
-        of_z *= (stay := 1 - z)
-        of_r = before * r
-        of_r *= 1 - r
-        of_c = 1 - c * c
+        if len(on) == len(flat):
+            loss, d = self.log_probs(after, flat, grads)
+        else:
+            d = np.zeros_like(after)
+            loss, d[on] = self.log_probs(after.take(on, axis=0), flat.take(on), grads)
+        d = np.ascontiguousarray(d.reshape(steps, rows, n).transpose(0, 2, 1))
+        # what does not depend on later steps, for all steps at once: of the candidate, what stays, of both gates, the reset
+        # gate; each is then multiplied in its place by the gradient that it meets
+        z, r, before = gates[:, :n], gates[:, n:], states[:-1]
+        m = np.empty((steps, 5, n, rows), h.dtype)
+        of_c, stay, of_z, of_r, reset = (m[:, i] for i in range(5))
+        np.subtract(1, z, out=stay)
+        np.subtract(c, before, out=of_z)
+        of_z *= z
+        of_z *= stay
+        np.multiply(c, c, out=of_c)
+        np.subtract(1, of_c, out=of_c)
         of_c *= z
-        dc, dg = np.empty_like(c), np.empty_like(gates)
-        wt, ut = np.ascontiguousarray(self.p["c"].T), np.ascontiguousarray(self.p["u"].T)
-        back = np.zeros_like(h)
-        for t in reversed(range(len(x))):
-            dh = d[t]
+        np.subtract(1, r, out=of_r)
+        of_r *= r
+        of_r *= before
+        reset[...] = r
+        one = np.eye(n, dtype=h.dtype)
+        wt, ut = np.ascontiguousarray(self.p["c"]), np.concatenate((one, self.p["u"], one), axis=1)
+        back, drh = np.zeros((n, rows), h.dtype), np.empty((n, rows), h.dtype)
+        for dh, own in zip(d[::-1], m[::-1], strict=True):
             dh += back
-            drh = np.multiply(dh, of_c[t], out=dc[t]) @ wt
-            np.multiply(dh, of_z[t], out=dg[t, :, :n])
-            np.multiply(drh, of_r[t], out=dg[t, :, n:])
-            drh *= r[t]
-            back = dg[t] @ ut
-            back += drh
-            dh *= stay[t]
-            back += dh
-        dc, dg = dc.reshape(-1, n), dg.reshape(-1, 2 * n)
-        grads["c"] += gated.reshape(-1, n).T @ dc
-        grads["u"] += before.reshape(-1, n).T @ dg
+            own[:3] *= dh
+            own[3:] *= np.dot(wt, own[0], out=drh)
+            np.dot(ut, own[1:].reshape(4 * n, rows), out=back)
+        dg = np.empty((steps, rows, 3 * n), h.dtype)
+        dg[:, :, : 2 * n] = m[:, 2:4].reshape(steps, 2 * n, rows).transpose(0, 2, 1)
+        dg[:, :, 2 * n :] = of_c.transpose(0, 2, 1)
+        dg = dg.reshape(-1, 3 * n)
+        grads["u"] += before.transpose(1, 0, 2).reshape(n, -1) @ dg[:, : 2 * n]
+        grads["c"] += gated.transpose(1, 0, 2).reshape(n, -1) @ dg[:, 2 * n :]
         # of equal inputs together
         seen = x.reshape(-1)
         order = np.argsort(seen.astype(np.int16 if self.k < 1 << 15 else np.int64), kind="stable")
-        ordered = seen[order]
-        first = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-        grads["e"][ordered[first]] += np.add.reduceat(np.concatenate((dg, dc), axis=1)[order], first, axis=0)
-        return states[-1], -float(loss.sum()), len(on)
+        ordered = seen.take(order)
+        first = np.flatnonzero(np.diff(ordered, prepend=-1))
+        grads["e"][ordered.take(first)] += np.add.reduceat(dg.take(order, axis=0), first, axis=0)
+        return made[0][-1], -float(loss.sum()), len(on)
+
+    def parts_of(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The weights' names and shapes for another vector of their size."""
+        out, at = {}, 0
+        for name, shape in self.slices.items():
+            n = int(np.prod(shape))
+            out[name] = flat[at : at + n].reshape(shape)
+            at += n
+        return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
+def windows(texts: list[np.ndarray], none: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Windows of texts that are read side by side, longest first: inputs and classes to come, steps by rows.
+
+    Only the texts that reach a window are in it, so it is in memory and never the group up to its longest text.
+    none: the input before a text's first class, and after its end, where the class to come is -1.
+    """
+    sizes = np.array([len(t) for t in texts])
+    words, start, last = np.concatenate(texts), np.cumsum(sizes) - sizes, np.full(len(texts), none)
+    for a in range(0, int(sizes[0]), WINDOW):
+        live = int(np.searchsorted(-sizes, -a, side="left"))
+        own, at = sizes[:live], np.arange(a, min(a + WINDOW, int(sizes[0])))[:, None]
+        place = at + start[:live]
+        if own[-1] > at[-1, 0]:
+            y = words.take(place)
+        else:
+            y = np.where(at < own, words.take(np.minimum(place, start[:live] + own - 1)), -1)
+        x = np.concatenate((last[None, :live], y[:-1]))
+        last = y[-1]
+        yield np.where(x < 0, none, x), y
+
+
 def train(network: Network, texts: list[np.ndarray], rate: float = RATE, rows: int = ROWS, seed: int = 0) -> int:
     """Adam over windows of the texts' classes, each text read from its start with its state carried; tokens seen."""
-    first, second = np.zeros_like(network.w), np.zeros_like(network.w)
+    first, second, flat = np.zeros_like(network.w), np.zeros_like(network.w), np.empty_like(network.w)
+    grads = network.parts_of(flat)
     seen = steps = 0
     order = np.argsort([len(t) for t in texts], kind="stable")
     groups = [order[i : i + rows] for i in range(0, len(order), rows)]
     np.random.default_rng(seed).shuffle(groups)
     for own in groups:
-        sizes = np.array([len(texts[i]) for i in own])
-        longest, words, start = int(sizes.max()), np.concatenate([texts[i] for i in own]), np.cumsum(sizes) - sizes
         h = np.zeros((len(own), network.h), network.w.dtype)
-        for a in range(0, longest, WINDOW):
-            # a window of the texts that reach it is in memory, never the group up to its longest text
-            live = sizes > a
-            at = a + np.arange(min(WINDOW, longest - a))[:, None]
-            inside = at < sizes[live]
-            place = np.minimum(at, sizes[live] - 1) + start[live]
-            y = np.where(inside, words[place], -1)
-            x = np.full_like(y, network.k)
-            x[1:] = np.where(inside[:-1], y[:-1], network.k)
-            if a:
-                x[0] = words[place[0] - 1]
-            flat = np.zeros_like(network.w)
-            grads, at = {}, 0
-            for name, shape in network.slices.items():
-                n = int(np.prod(shape))
-                grads[name] = flat[at : at + n].reshape(shape)
-                at += n
-            h[live], _, n = network.train_window(x, y, h[live], grads)
+        for x, y in windows([texts[i] for i in own[::-1]], network.k):
+            flat[...] = 0
+            h, _, n = network.train_window(x, y, h[: x.shape[1]], grads)
             flat /= max(n, 1)
             norm = float(np.sqrt(flat @ flat))
             if norm > 1:
@@ -290,26 +311,16 @@ def log_likelihoods(network: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of every text's classes, window by window with the state carried to the end of the text."""
     out = np.zeros(len(texts))
     order = np.argsort([-len(t) for t in texts], kind="stable")
-    sizes = np.array([len(texts[i]) for i in order])
-    if not len(order):
-        return out
-    flat = np.concatenate([texts[i] for i in order])
-    start = np.cumsum(sizes) - sizes
-    h = np.zeros((len(order), network.h), network.w.dtype)
-    x = np.full(len(order), network.k)
-    for a in range(0, int(sizes[0]), WINDOW):
-        states, ys, rows = [], [], []
-        for t in range(a, min(a + WINDOW, int(sizes[0]))):
-            live = int(np.searchsorted(-sizes, -t, side="left"))  # texts longer than t
-            if not live:
-                break
-            h, _ = network.step(x[:live], h[:live])
-            x = flat[start[:live] + t]
-            states.append(h)
-            ys.append(x)
-            rows.append(order[:live])
-        logs, _ = network.log_probs(np.concatenate(states), np.concatenate(ys))
-        out += np.bincount(np.concatenate(rows), logs, len(texts))
+    for i in range(0, len(order), SCORE_ROWS):
+        own = order[i : i + SCORE_ROWS]
+        h = np.zeros((len(own), network.h), network.w.dtype)
+        for x, y in windows([texts[j] for j in own], network.k):
+            live = x.shape[1]
+            states = network.run(x, h[:live])[0]
+            h, after, flat = states[-1], states[1:].reshape(-1, network.h), y.reshape(-1)
+            on = np.flatnonzero(flat >= 0)
+            logs, _ = network.log_probs(after.take(on, axis=0), flat.take(on))
+            out[own[:live]] += np.bincount(on % live, logs, live)
     return out
 
 
@@ -317,25 +328,22 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
+def text_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Array]:
+    """The texts of all batches in runs of bounded size."""
+    for batch in batches:
+        texts = batch.column("text")
+        for a, b in row_parts(len(texts), byte_sizes(texts), BATCH_BYTES):
+            yield texts.slice(a, b - a)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
-    """w (binary), c: how often each token occurs in the texts, the end of a text as the empty word; counted per task first."""
+    """w (binary), c: how often each token occurs in the texts, the end of a text as the empty word; counted per part of a task first."""
 
     def count(batches):
-        own: Counter = Counter()
-
-        def full():
-            b = pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["w", "c"])
-            own.clear()
-            return b
-
-        for batch in batches:
-            for text in as_bytes(batch.column("text")):
-                own.update(space_words(text))
-                own[END] += 1
-                if len(own) > FLUSH:
-                    yield full()
-        if own:
-            yield full()
+        for texts in text_parts(batches):
+            words = all_space_words(texts)[0].cast(pa.binary()).value_counts()
+            yield pa.RecordBatch.from_arrays([words.field(0), words.field(1).cast(pa.int64())], names=["w", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([len(texts)], pa.int64())], names=["w", "c"])
 
     return docs.select("text").mapInArrow(count, "w binary, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
@@ -372,10 +380,12 @@ def fit(docs: DataFrame, counts: DataFrame, known_words: int = KNOWN_WORDS, roun
                 slower = (1 + rounds_done) * (1 + seen / SHARD_TOKENS)
                 return train(own, group, rate / slower, seed=seen)
 
-            for batch in batches:
-                for text in as_bytes(batch.column("text")):
-                    group.append(classes(shared.value, space_words(text)))
-                    size += len(group[-1])
+            reader = Reader(shared.value)
+            for texts in text_parts(batches):
+                tokens = reader.read(texts)
+                for text in np.split(shared.value.classes[tokens.ids], tokens.starts[1:]):
+                    group.append(text)
+                    size += len(text)
                     if size > TRAIN_TOKENS:
                         seen += learn()
                         group, size = [], 0
@@ -410,6 +420,43 @@ def classes(words: Vocabulary, tokens: list[bytes]) -> np.ndarray:
     return words.classes[numbers(words, tokens)]
 
 
+class Tokens(NamedTuple):
+    """Tokens of some texts, one text after another, each with its end."""
+
+    ids: np.ndarray  # numbers of the tokens; the last number is that of words which are not known
+    starts: np.ndarray  # where each text begins
+    rows: np.ndarray  # of each token that is not known: its text
+    strange: pa.Array  # and the token
+
+
+class Reader:
+    """`numbers` for many texts at once, by Arrow."""
+
+    def __init__(self, words: Vocabulary):
+        self.known, self.other = pa.array(list(words.number), pa.binary()), len(words.number)
+        self.end = words.number.get(END, self.other)
+
+    def read(self, texts: pa.Array) -> Tokens:
+        words, sizes = all_space_words(texts)
+        rows = np.repeat(np.arange(len(sizes)), sizes)
+        found = pc.fill_null(pc.index_in(words, value_set=self.known.cast(words.type)), self.other).to_numpy()
+        ids = np.full(len(words) + len(sizes), self.end)
+        ids[np.arange(len(words)) + rows] = found  # each text before it has an end
+        strange = np.flatnonzero(found == self.other)
+        rows, strange = rows[strange], words.take(pa.array(strange)).cast(pa.binary())
+        if self.end == self.other:
+            rows, strange = np.concatenate((rows, np.arange(len(sizes)))), pa.concat_arrays([strange, pa.array([END] * len(sizes), pa.binary())])
+        return Tokens(ids, np.cumsum(sizes + 1) - sizes - 1, rows, strange)
+
+
+def bags(rows: np.ndarray, words: pa.Array, n: int) -> pa.Array:
+    """For each of n rows, its different words with their numbers."""
+    t = pa.table({"row": rows, "w": words}).group_by(["row", "w"], use_threads=False).aggregate([([], "count_all")]).sort_by("row").combine_chunks()
+    row, w, c = (pa.concat_arrays(t.column(k).chunks) if t.num_rows else pa.array([], t.column(k).type) for k in ("row", "w", "count_all"))
+    at = np.searchsorted(row.to_numpy(), np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([w, c.cast(pa.int64())], ["w", "n"]))
+
+
 @apart
 def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataFrame) -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score to every row.
@@ -427,28 +474,19 @@ def score(docs: DataFrame, words: Vocabulary, weights: np.ndarray, counts: DataF
     def run(batches):
         own = shared.value
         network = Network(own.start, weights=net.value.astype(np.float32))
-        other = len(own.number)
+        reader = Reader(own)
         task, row = TaskContext.get().partitionId(), 0
         for whole in batches:
-            texts = as_bytes(whole.column("text"))
-            for a, b in row_parts(len(texts), [len(t or b"") for t in texts], BATCH_BYTES):
+            for a, b in row_parts(whole.num_rows, byte_sizes(whole.column("text")), BATCH_BYTES):
                 batch = whole.slice(a, b - a)
-                ids, sums, fixed, tokens, known, others = [], [], [], [], [], []
-                for text in texts[a:b]:
-                    split = space_words(text)
-                    at = numbers(own, split)
-                    c = own.classes[at]
-                    ids.append(c)
-                    strange = np.flatnonzero(at == other).tolist()
-                    others.append(Counter(split[i] if i < len(split) else END for i in strange))
-                    logs = float(own.log_count[at].sum())
-                    sums.append(logs)
-                    fixed.append(logs - float(own.log_mass[c].sum()))
-                    tokens.append(len(at))
-                    known.append(len(at) - len(strange))
-                like = log_likelihoods(network, ids) / np.log(10)
-                bags = pa.array([[{"w": w, "n": n} for w, n in o.items()] for o in others], pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())])))
-                made = [pa.array([task] * (b - a), pa.int64()), pa.array(range(row, row + b - a), pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(sums, pa.float64()), pa.array((like + np.array(fixed)).tolist(), pa.float64()), bags]
+                ids, starts, strange_rows, strange = reader.read(batch.column("text"))
+                in_class = own.classes[ids]
+                tokens = np.diff(starts, append=len(ids))
+                known = tokens - np.bincount(strange_rows, minlength=b - a)
+                logs = np.add.reduceat(own.log_count[ids], starts)
+                fixed = logs - np.add.reduceat(own.log_mass[in_class], starts)
+                like = log_likelihoods(network, np.split(in_class, starts[1:])) / np.log(10)
+                made = [pa.array([task] * (b - a), pa.int64()), pa.array(range(row, row + b - a), pa.int64()), *map(pa.array, (tokens, known, logs, like + fixed)), bags(strange_rows, strange, b - a)]
                 row += b - a
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + made, names=[*keep, *names])
 

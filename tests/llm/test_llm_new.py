@@ -282,3 +282,41 @@ def test_network_trains_on_long_texts_without_padding():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 30e6 and np.isfinite(network.w).all()  # arrays padded to the longest text would take 3 x 30,000 x 64 x 8 bytes
+
+
+def test_words_by_arrow_equal_plain_splits():
+    from loomgrade.llm import language_model as L
+    from loomgrade.llm.common import all_space_words, space_words
+
+    rng = random.Random(1)
+    marks = [" ", "\t", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\xa0", "\0", "a", "B", "é", "ab"]
+    texts = [None, "", " ", *("".join(rng.choices(marks, k=rng.randrange(30))) for _ in range(500))]
+    plain = [space_words((t or "").encode()) for t in texts]
+    for kind in (pa.string(), pa.large_string()):
+        words, sizes = all_space_words(pa.array(["cut", *texts, "cut off"], kind).slice(1, len(texts)))
+        assert words.to_pylist() == [w for p in plain for w in p] and sizes.tolist() == [len(p) for p in plain]
+    for counts in ([(b"a", 9), (b"", 7), (b"ab", 3)], [(b"a", 9)], []):  # with and without a known end
+        words = L.vocabulary(counts, 50, 9)
+        got, want = L.Reader(words).read(pa.array(texts)), [L.numbers(words, p) for p in plain]
+        assert [x.tolist() for x in np.split(got.ids, got.starts[1:])] == [x.tolist() for x in want]
+        for bag, p, x in zip(L.bags(got.rows, got.strange, len(texts)).to_pylist(), plain, want, strict=True):
+            assert sorted((b["w"], b["n"]) for b in bag) == sorted(Counter(w for w, i in zip([*p, b""], x, strict=True) if i == len(counts)).items())
+
+
+def test_scoring_reads_a_bounded_number_of_texts_side_by_side():
+    """Memory is that of a window of some texts, not of all; and the texts that stand beside a text change nothing."""
+    import tracemalloc
+
+    from loomgrade.llm import language_model as L
+
+    words = L.vocabulary([(f"w{i}".encode(), 1000 - i) for i in range(300)] + [(b"", 64)], 200_000, 400)
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(0, 100, n) for n in (3000, *rng.integers(1, 60, 8000))]
+    network = L.Network(words.start)
+    network.w += rng.normal(0, 0.05, network.w.shape) * (network.w > -100)
+    tracemalloc.start()
+    got = L.log_likelihoods(network, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # the states of all texts in a window, and the products of their classes, would take 100e6
+    assert np.allclose(got[:9], [L.log_likelihoods(network, [t])[0] for t in texts[:9]], rtol=1e-9)
